@@ -1 +1,55 @@
-"""tillroll: retail point-of-sale analytics as plain Spark DataFrame functions."""
+"""tillroll: retail point-of-sale analytics as plain Spark DataFrame functions.
+
+Every public operator takes and returns a ``pyspark.sql.DataFrame``; nothing is
+collected to the driver. Column names are parameters, so the same operators run
+on the coffee-shop ``sales`` layout and on any other item-grain sales table.
+"""
+
+from tillroll.operators.basket import pair_counts, pair_rules
+from tillroll.operators.clean import clean_sales
+from tillroll.operators.customers import retention, rfm
+from tillroll.operators.kpi import kpi_by, seasonality
+from tillroll.operators.orders import sessionize_orders
+from tillroll.operators.pricing import price_range, product_history
+from tillroll.operators.quality import (
+    check_rules,
+    crosstab,
+    distinct_counts,
+    extremes,
+    functional_dependency,
+    non_null_counts,
+    null_audit,
+    null_percent,
+    numeric_describe,
+    value_counts,
+)
+from tillroll.operators.trends import deviation, growth
+from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales
+
+__all__ = [
+    "SALES_SCHEMA",
+    "check_rules",
+    "clean_sales",
+    "crosstab",
+    "deviation",
+    "distinct_counts",
+    "export_report",
+    "extremes",
+    "functional_dependency",
+    "growth",
+    "kpi_by",
+    "non_null_counts",
+    "null_audit",
+    "null_percent",
+    "numeric_describe",
+    "pair_counts",
+    "pair_rules",
+    "price_range",
+    "product_history",
+    "read_sales",
+    "retention",
+    "rfm",
+    "seasonality",
+    "sessionize_orders",
+    "value_counts",
+]

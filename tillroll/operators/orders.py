@@ -44,6 +44,7 @@ def sessionize_orders(
     order_id: str = "order_id",
     items_col: str = "total_products_in_order",
     value_col: str = "total_value_of_order",
+    tie_break: list[str] | None = None,
 ) -> DataFrame:
     """Add ``order_id``, ``total_products_in_order``, ``total_value_of_order``.
 
@@ -51,15 +52,18 @@ def sessionize_orders(
     also returns ``customer_key``, ``previous_datetime``, ``time_diff_seconds``
     and ``order_group_id``. ``bucket_seconds`` only affects how work is split,
     never the result; make it smaller when one customer has bursts of activity.
+    ``tie_break`` orders items of one customer at the same instant for
+    ``previous_datetime`` only (which of them sees the earlier instant); order
+    assignment never depends on it.
     """
     ntz = is_ntz(df, ts)
     k = customer_key() if key is None else (F.col(key) if isinstance(key, str) else key)
     base_cols = df.columns
     d = df.withColumn("customer_key", k).withColumn("__cents", to_cents(value))
     if method == "window":
-        out = _by_window(d, ts, ntz, gap_seconds)
+        out = _by_window(d, ts, ntz, gap_seconds, tie_break or [])
     elif method == "bucketed":
-        out = _by_bucket(d, ts, ntz, gap_seconds, bucket_seconds)
+        out = _by_bucket(d, ts, ntz, gap_seconds, bucket_seconds, tie_break or [])
     else:
         raise ValueError(f"method must be 'bucketed' or 'window', not {method!r}")
     oid = F.concat(timestamp_text(F.col("__ostart"), ntz, id_digits), F.lit("+00_"), F.col("customer_key"))
@@ -73,9 +77,9 @@ def sessionize_orders(
     )
 
 
-def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int) -> DataFrame:
+def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int, tie: list[str]) -> DataFrame:
     w = Window.partitionBy("customer_key").orderBy(ts)
-    d = d.withColumn("previous_datetime", F.lag(ts).over(w))
+    d = d.withColumn("previous_datetime", F.lag(ts).over(Window.partitionBy("customer_key").orderBy(ts, *tie)))
     d = d.withColumn("time_diff_seconds", whole_seconds_between(F.col("previous_datetime"), F.col(ts), ntz))
     start = F.col("time_diff_seconds").isNull() | (F.col("time_diff_seconds") >= gap)
     d = d.withColumn("order_group_id", F.count_if(start).over(w))
@@ -86,7 +90,7 @@ def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int) -> DataFrame:
              .withColumn("__tnn", F.count("__cents").over(wo)))
 
 
-def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, bucket_seconds: int) -> DataFrame:
+def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, bucket_seconds: int, tie: list[str]) -> DataFrame:
     t = F.col(ts)
     # Null-safe customer identity as two plain columns, so every join below is
     # an ordinary equi-join on the same keys the rows are partitioned by.
@@ -98,7 +102,7 @@ def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, bucket_seconds: int)
 
     # Pass over each (customer, bucket), ordered by time: starts inside the bucket.
     wb = Window.partitionBy(*p).orderBy(ts)
-    a = d.withColumn("__lag", F.lag(ts).over(wb))
+    a = d.withColumn("__lag", F.lag(ts).over(Window.partitionBy(*p).orderBy(ts, *tie)))
     a = a.withColumn("__istart", F.col("__lag").isNotNull() & (whole_seconds_between(F.col("__lag"), t, ntz) >= gap))
     a = (a.withColumn("__run", F.count_if("__istart").over(wb))
           .withColumn("__last_is", F.max(F.when(F.col("__istart"), t)).over(wb)))
