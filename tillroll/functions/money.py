@@ -42,8 +42,18 @@ def mean_amount(cents_sum: Column, n: Column) -> Column:
     return cents_sum / (n * F.lit(_UNIT))
 
 
+def small_floor_div(n: Column, d: Column | int) -> Column:
+    """floor(n / d) for integers with |n| < 2**53 and d >= 1 (bigint).
+
+    Exact: n and d are exact doubles, and a true quotient k - j/d (j >= 1)
+    lies further below k than half an ulp of k whenever |n| < 2**53. One
+    reference to ``n``, so no expression is duplicated.
+    """
+    return F.floor(n / (F.lit(d) if isinstance(d, int) else d))
+
+
 def floor_div(n: Column, d: Column) -> Column:
-    """Exact floor(n / d) for bigint n >= 0, d > 0.
+    """Exact floor(n / d) for any bigint n and d > 0.
 
     A double quotient is within one unit of the answer; the remainder corrects it.
     """

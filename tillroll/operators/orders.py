@@ -11,12 +11,12 @@ Two exact forms give the same rows:
 * ``method="window"``: one window partitioned by customer, as the SQL reads.
   Every row of a customer lands in one task, so one hot key (all cash sales
   share ``CASH_cash``) becomes one giant task.
-* ``method="bucketed"`` (default): rows are shuffled once by (customer, time
-  bucket). Each bucket finds its order starts with a local window; what
-  crosses bucket edges (last timestamp of the previous bucket, start counts,
-  the open order's start, totals of orders spanning edges) is carried by small
-  per-bucket tables whose size is the number of non-empty buckets, never the
-  number of rows. A hot key is spread over its buckets.
+* ``method="bucketed"`` (default): time is cut into buckets ``gap_seconds``
+  wide. Inside one bucket no gap can reach the threshold, so order starts,
+  order numbers and order totals are all computed on one aggregated row per
+  (customer, bucket); the item rows then take their order from that table in
+  one join on (customer, bucket). A hot key is spread over its buckets and no
+  task ever holds all rows of one customer.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.clock import epoch_micros, is_ntz, timestamp_text, whole_seconds_between
+from tillroll.functions.clock import epoch_seconds, is_ntz, timestamp_text, whole_seconds_between
 from tillroll.functions.keys import customer_key
-from tillroll.functions.money import cents_to_amount, floor_div, to_cents
+from tillroll.functions.money import cents_to_amount, small_floor_div, to_cents
 
 HELPERS = ["customer_key", "previous_datetime", "time_diff_seconds", "order_group_id"]
 
@@ -38,7 +38,6 @@ def sessionize_orders(
     gap_seconds: int = 300,
     key: Column | str | None = None,
     method: str = "bucketed",
-    bucket_seconds: int = 3600,
     keep_helpers: bool = False,
     id_digits: int = 6,
     order_id: str = "order_id",
@@ -50,8 +49,7 @@ def sessionize_orders(
 
     ``key`` defaults to the card, else ``'CASH_' || cash_type``. ``keep_helpers``
     also returns ``customer_key``, ``previous_datetime``, ``time_diff_seconds``
-    and ``order_group_id``. ``bucket_seconds`` only affects how work is split,
-    never the result; make it smaller when one customer has bursts of activity.
+    and ``order_group_id``.
     ``tie_break`` orders items of one customer at the same instant for
     ``previous_datetime`` only (which of them sees the earlier instant); order
     assignment never depends on it.
@@ -63,7 +61,7 @@ def sessionize_orders(
     if method == "window":
         out = _by_window(d, ts, ntz, gap_seconds, tie_break or [])
     elif method == "bucketed":
-        out = _by_bucket(d, ts, ntz, gap_seconds, bucket_seconds, tie_break or [])
+        out = _by_bucket(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [])
     else:
         raise ValueError(f"method must be 'bucketed' or 'window', not {method!r}")
     oid = F.concat(timestamp_text(F.col("__ostart"), ntz, id_digits), F.lit("+00_"), F.col("customer_key"))
@@ -90,75 +88,46 @@ def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int, tie: list[str]) -> Da
              .withColumn("__tnn", F.count("__cents").over(wo)))
 
 
-def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, bucket_seconds: int, tie: list[str]) -> DataFrame:
+def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str]) -> DataFrame:
     t = F.col(ts)
     # Null-safe customer identity as two plain columns, so every join below is
-    # an ordinary equi-join on the same keys the rows are partitioned by.
+    # an ordinary equi-join on the keys the data is partitioned by. The keys are
+    # non-nullable (rows without a timestamp share the lowest bucket), so the
+    # optimizer infers no IS NOT NULL filter to push into the source.
     kp = ["__k", "__kn"]
     p = kp + ["__b"]
     d = (d.withColumn("__k", F.coalesce(F.col("customer_key"), F.lit("")))
           .withColumn("__kn", F.col("customer_key").isNull())
-          .withColumn("__b", floor_div(epoch_micros(t, ntz), F.lit(bucket_seconds * 1_000_000))))
-
-    # Pass over each (customer, bucket), ordered by time: starts inside the bucket.
-    wb = Window.partitionBy(*p).orderBy(ts)
-    a = d.withColumn("__lag", F.lag(ts).over(Window.partitionBy(*p).orderBy(ts, *tie)))
-    a = a.withColumn("__istart", F.col("__lag").isNotNull() & (whole_seconds_between(F.col("__lag"), t, ntz) >= gap))
-    a = (a.withColumn("__run", F.count_if("__istart").over(wb))
-          .withColumn("__last_is", F.max(F.when(F.col("__istart"), t)).over(wb)))
-
-    # One row per non-empty bucket: what the next bucket needs to know.
-    s = a.groupBy(*p).agg(
+          .withColumn("__b", F.coalesce(small_floor_div(epoch_seconds(t, ntz), gap), F.lit(-(2**63)))))
+
+    # Buckets are ``gap`` wide: two items in one bucket are less than ``gap``
+    # apart, so an order can only start at a bucket's first item, and only when
+    # the previous non-empty bucket of the customer ended at least ``gap``
+    # earlier. Everything is decided on one row per (customer, bucket), built
+    # with min/max/sum/count (partial aggregation before the shuffle).
+    s = d.groupBy(*p).agg(
         F.min(ts).alias("__bmin"), F.max(ts).alias("__bmax"),
-        F.count_if("__istart").alias("__nint"), F.max(F.when(F.col("__istart"), t)).alias("__lastint"))
+        F.count(F.lit(1)).alias("__n"), F.sum("__cents").alias("__sc"), F.count("__cents").alias("__snn"))
+    # Per customer this table has at most (time span / gap) rows, however many
+    # items the customer has.
     wk = Window.partitionBy(*kp).orderBy("__b")
-    before = wk.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("__prevmax", F.lag("__bmax").over(wk))
     s = s.withColumn("__fstart", F.col("__prevmax").isNull()
                      | (whole_seconds_between(F.col("__prevmax"), F.col("__bmin"), ntz) >= gap))
-    s = (s.withColumn("__nst", F.col("__nint") + F.col("__fstart").cast("long"))
-          .withColumn("__lastst", F.coalesce(F.col("__lastint"), F.when(F.col("__fstart"), F.col("__bmin")))))
-    s = (s.withColumn("__off", F.coalesce(F.sum("__nst").over(before), F.lit(0).cast("long")))
-          .withColumn("__carry", F.last("__lastst", ignorenulls=True).over(before))
-          .select(*p, "__bmin", "__prevmax", "__fstart", "__off", "__carry"))
-
-    j = a.join(s, on=p, how="inner")
-    j = (j.withColumn("previous_datetime", F.coalesce(F.col("__lag"), F.col("__prevmax")))
-          .withColumn("time_diff_seconds", whole_seconds_between(F.col("previous_datetime"), t, ntz))
-          .withColumn("order_group_id", F.col("__off") + F.col("__fstart").cast("long") + F.col("__run"))
-          .withColumn("__ostart", F.coalesce(F.col("__last_is"), F.when(F.col("__fstart"), F.col("__bmin")),
-                                             F.col("__carry"))))
-
-    # Order totals. Inside a bucket: a window on (bucket, order), no shuffle.
-    # Only the first and the last order of a bucket can span bucket edges; their
-    # contributions from other buckets come from a table of <= 2 rows per bucket.
-    part = j.groupBy(*p, "__ostart").agg(
-        F.count(F.lit(1)).alias("__pcnt"), F.sum("__cents").alias("__pcents"), F.count("__cents").alias("__pnn"))
-    wbp = Window.partitionBy(*p)
-    edge = (part.withColumn("__omin", F.min("__ostart").over(wbp))
-                .withColumn("__omax", F.max("__ostart").over(wbp))
-                .filter((F.col("__ostart") == F.col("__omin")) | (F.col("__ostart") == F.col("__omax"))))
-    spanning = (edge.groupBy(*kp, "__ostart")
-                    .agg(F.sum("__pcnt").alias("__scnt"), F.sum("__pcents").alias("__scents"),
-                         F.sum("__pnn").alias("__snn"), F.count(F.lit(1)).alias("__nb"))
-                    .filter(F.col("__nb") > 1))
-    extra = (edge.join(spanning, on=[*kp, "__ostart"], how="inner")
-                 .select(*p, "__ostart",
-                         (F.col("__scnt") - F.col("__pcnt")).alias("__xcnt"),
-                         (F.coalesce(F.col("__scents"), F.lit(0)) - F.coalesce(F.col("__pcents"), F.lit(0))).alias("__xcents"),
-                         (F.col("__snn") - F.col("__pnn")).alias("__xnn")))
-    per_bucket = extra.groupBy(*p).agg(
-        F.min("__ostart").alias("__of"), F.min_by("__xcnt", "__ostart").alias("__fcnt"),
-        F.min_by("__xcents", "__ostart").alias("__fcents"), F.min_by("__xnn", "__ostart").alias("__fnn"),
-        F.max("__ostart").alias("__ol"), F.max_by("__xcnt", "__ostart").alias("__lcnt"),
-        F.max_by("__xcents", "__ostart").alias("__lcents"), F.max_by("__xnn", "__ostart").alias("__lnn"))
-    j = j.join(per_bucket, on=p, how="left")
-
-    def carried(first: str, last: str) -> Column:
-        o = F.col("__ostart")
-        return F.coalesce(F.when(o == F.col("__of"), F.col(first)), F.when(o == F.col("__ol"), F.col(last)), F.lit(0))
-
-    wo = Window.partitionBy(*p, "__ostart")
-    return (j.withColumn("__tcnt", F.count(F.lit(1)).over(wo) + carried("__fcnt", "__lcnt"))
-             .withColumn("__tcents", F.coalesce(F.sum("__cents").over(wo), F.lit(0)) + carried("__fcents", "__lcents"))
-             .withColumn("__tnn", F.count("__cents").over(wo) + carried("__fnn", "__lnn")))
+    s = (s.withColumn("order_group_id", F.count_if("__fstart").over(wk))
+          .withColumn("__ostart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wk)))
+    wo = Window.partitionBy(*kp, "order_group_id")   # same customer partitioning: no new shuffle
+    s = (s.withColumn("__tcnt", F.sum("__n").over(wo))
+          .withColumn("__tcents", F.sum("__sc").over(wo))
+          .withColumn("__tnn", F.sum("__snn").over(wo))
+          .select(*p, "__bmin", "__prevmax", "order_group_id", "__ostart", "__tcnt", "__tcents", "__tnn"))
+
+    # One shuffle of the item rows, by (customer, bucket): a busy customer is
+    # spread over its buckets. When the bucket table is small at run time,
+    # adaptive execution broadcasts it instead and the rows do not move.
+    j = d.join(s, on=p, how="inner")
+    if keep_helpers:
+        lag = F.lag(ts).over(Window.partitionBy(*p).orderBy(ts, *tie))
+        j = j.withColumn("previous_datetime", F.coalesce(lag, F.col("__prevmax")))
+        j = j.withColumn("time_diff_seconds", whole_seconds_between(F.col("previous_datetime"), t, ntz))
+    return j

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.money import floor_div
+from tillroll.functions.money import small_floor_div
 
 # The product that follows each event type for the second item.
 NEXT_PRODUCT = {"view": "click", "click": "purchase", "purchase": "signup", "signup": "error", "error": "view"}
@@ -38,6 +38,10 @@ def _second_item_offset_us(m: Column) -> Column:
             .otherwise(F.lit(0)))
 
 
+def _digits4(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 4, "0")
+
+
 def sales_from_events(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     m = F.pmod(e, F.lit(50))
@@ -63,9 +67,9 @@ def sales_from_events(events: DataFrame) -> DataFrame:
     cash = F.pmod(F.col("_e"), F.lit(40)) == 0
     card_no = F.col("_user") * 20 + F.pmod(F.col("_e") * 7919, F.lit(20))
     cents = F.col("_cents")
-    whole = floor_div(cents, F.lit(100))
+    whole = small_floor_div(cents, 100)
     money_card = F.concat(F.lit("R"), whole.cast("string"), F.lit(","), F.lpad((cents - whole * 100).cast("string"), 2, "0"))
-    money_cash = F.concat(F.lit("R"), floor_div(cents + 99, F.lit(100)).cast("string"))
+    money_cash = F.concat(F.lit("R"), small_floor_div(cents + 99, 100).cast("string"))
     hour = F.hour(ts)
     iso_wd = (F.weekday(F.to_date(ts)) + 1).cast("long")
     month = F.month(F.to_date(ts)).cast("long")
@@ -74,9 +78,9 @@ def sales_from_events(events: DataFrame) -> DataFrame:
         ts.alias("datetime"),
         F.when(F.pmod(F.col("_e"), F.lit(997)) == 0, F.pmod(hour + 1, F.lit(24))).otherwise(hour).cast("long").alias("hour_of_day"),
         F.when(cash, F.lit("cash")).otherwise(F.lit("card")).alias("cash_type"),
-        F.when(~cash, F.format_string("ANON-%04d-%04d-%04d", floor_div(card_no, F.lit(10**8)),
-                                      F.pmod(floor_div(card_no, F.lit(10**4)), F.lit(10**4)),
-                                      F.pmod(card_no, F.lit(10**4)))).alias("card"),
+        F.when(~cash, F.concat(F.lit("ANON-"), _digits4(small_floor_div(card_no, 10**8)), F.lit("-"),
+                               _digits4(F.pmod(small_floor_div(card_no, 10**4), F.lit(10**4))), F.lit("-"),
+                               _digits4(F.pmod(card_no, F.lit(10**4))))).alias("card"),
         F.when(cash, money_cash).otherwise(money_card).alias("money"),
         F.col("_product").alias("coffee_name"),
         F.when(hour < 12, F.lit("Morning")).when(hour < 17, F.lit("Afternoon")).otherwise(F.lit("Night")).alias("Time_of_Day"),
