@@ -53,13 +53,15 @@ def small_floor_div(n: Column, d: Column | int) -> Column:
 
 
 def floor_div(n: Column, d: Column) -> Column:
-    """Exact floor(n / d) for any bigint n and d > 0.
+    """Exact floor(n / d) for any bigint n and 0 < d < 2**40.
 
-    A double quotient is within one unit of the answer; the remainder corrects it.
+    The double quotient q0 is off by at most a few hundred units; the
+    remainder n - q0*d is exact in bigint arithmetic and small enough that its
+    own floor division by d is exact, which corrects q0.
     """
-    q0 = F.floor(n / d).cast("long")
+    q0 = F.floor(n / d)
     r = n - q0 * d
-    return F.when(r < 0, q0 - 1).when(r >= d, q0 + 1).otherwise(q0)
+    return q0 + F.floor(r / d)
 
 
 def round_ratio(num: Column, den: Column, places: int) -> Column:
