@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.clock import is_ntz, time_of_day_text
@@ -54,289 +54,139 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# ---- preparation and profiling ------------------------------------------------
-
-def _extreme_dates(desc: bool):
-    return lambda spark, d: extremes(sales(spark, d), "date", 10, desc=desc)
-
-
-def _extreme_times(desc: bool):
-    def q(spark, d):
-        s = sales(spark, d)
-        return extremes(s, time_of_day_text(F.col("datetime"), is_ntz(s, "datetime")), 10, desc=desc, name="order_time")
-    return q
-
-
-def _value_counts(column: str, mode: str = "sql", count_name: str = "total_transactions", clean: bool = False):
-    def q(spark, d):
-        src = sales_clean(spark, d) if clean else sales(spark, d)
-        return value_counts(src, column, mode=mode, count_name=count_name)
-    return q
-
-
-def _price(dims, avg_name=None, having=None):
-    return lambda spark, d: price_range(sales_clean(spark, d), dims, avg_name=avg_name, having=having() if having else None)
-
-
-def q_null_audit(spark, d):
-    return null_audit(sales(spark, d))
-
-
-def q_null_pct(spark, d):
-    return null_percent(sales(spark, d))
+# ---- sources ----------------------------------------------------------------
 
+def _brand_lines(spark: SparkSession, d: str) -> DataFrame:
+    li = _table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    part = _table(spark, d, "part").select("p_partkey", "p_brand")
+    return li.join(part, li.l_partkey == part.p_partkey, "inner")
 
-def q_rule_card_null(spark, d):
-    return rule_rows(sales(spark, d), F.col("card").isNull())
 
+def _orders_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").withColumn("o_day", F.to_date("o_orderdate"))
 
-def q_rule_card_cash(spark, d):
-    return check_rules(sales(spark, d), {"card_null_not_cash": F.col("card").isNull() & (F.col("cash_type") != "cash")})
 
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "sales": sales,
+    "clean": sales_clean,
+    "tx": transactions,
+    "tx_debug": lambda spark, d: transactions(spark, d, keep_helpers=True),
+    "brand_lines": _brand_lines,
+    "orders": _orders_by_day,
+}
 
-def q_rule_hour_value(spark, d):
-    return rule_rows(sales(spark, d), F.col("hour_of_day") == CHECK_HOUR)
 
+# ---- reports: each is a function of its source table --------------------------
 
-def q_daypart_hour_crosstab(spark, d):
-    return crosstab(sales(spark, d), "Time_of_Day", "hour_of_day", count_name="total_count")
+def _time_text(s: DataFrame) -> Column:
+    return time_of_day_text(F.col("datetime"), is_ntz(s, "datetime"))
 
 
-def q_hour_crosstab(spark, d):
-    return crosstab(sales(spark, d), F.hour("datetime").cast("long").alias("hour"), "hour_of_day",
-                    count_of="hour_of_day", count_name="row_count")
+def _hour() -> Column:
+    return F.hour("datetime").cast("long").alias("hour_of_day")
 
 
-def q_fd_weekday(spark, d):
-    return functional_dependency(sales(spark, d), "Weekday", "Weekdaysort")
+def _vc(column: str, mode: str = "sql", count_name: str = "total_transactions"):
+    return lambda df: value_counts(df, column, mode=mode, count_name=count_name)
 
 
-def q_fd_month(spark, d):
-    return functional_dependency(sales(spark, d), "Month_name", "Monthsort")
+def _price(dims, avg_name=None, having=None):
+    return lambda df: price_range(df, dims, avg_name=avg_name, having=having() if having else None)
 
 
-def q_rule_hour_mismatch(spark, d):
-    s = sales(spark, d)
+def _hour_mismatch(df: DataFrame) -> DataFrame:
     extracted = F.hour("datetime").cast("long")
-    return rule_rows(s, F.col("hour_of_day") != extracted,
-                     ["datetime", "hour_of_day", extracted.alias("extracted_hour")])
-
-
-def q_sales_clean(spark, d):
-    return sales_clean(spark, d)
-
-
-def q_rule_hour_mismatch_after_clean(spark, d):
-    return check_rules(sales_clean(spark, d), {"hour_mismatch": F.col("hour_of_day") != F.hour("datetime")})
-
-
-def q_non_null_counts(spark, d):
-    return non_null_counts(sales(spark, d))
-
-
-def q_numeric_describe(spark, d):
-    return numeric_describe(sales_clean(spark, d), scales={"money": 2})
-
-
-def q_distinct_counts(spark, d):
-    return distinct_counts(sales(spark, d))
-
-
-# ---- analysis -----------------------------------------------------------------
-
-def q_price_april_card(spark, d):
-    return price_range(sales_clean(spark, d), ["coffee_name", "cash_type", "Monthsort"], avg_name="avg_payment_price",
-                       having=(F.col("Monthsort") == APRIL) & (F.col("cash_type") == "card"))
-
-
-def q_product_history(spark, d):
-    return product_history(sales_clean(spark, d), HISTORY_PRODUCT)
-
-
-def q_orders_debug(spark, d):
-    return transactions(spark, d, keep_helpers=True)
-
-
-def q_sales_transactions(spark, d):
-    return transactions(spark, d)
-
-
-def q_kpi_cube(spark, d):
-    return kpi_by(transactions(spark, d), KPI_DIMS)
-
-
-def q_kpi_cube_order_grain(spark, d):
-    return kpi_by(transactions(spark, d), KPI_DIMS, grain="order")
-
-
-def q_top_pairs(spark, d):
-    return pair_counts(transactions(spark, d), k=10)
-
-
-def q_pair_rules(spark, d):
-    return pair_rules(transactions(spark, d), k=10)
-
-
-def q_rfm(spark, d):
-    return rfm(transactions(spark, d))
-
-
-def q_rfm_order_grain(spark, d):
-    return rfm(transactions(spark, d), grain="order")
-
-
-def q_retention_month(spark, d):
-    return retention(transactions(spark, d), period="month", cutoff=MONTH_CUTOFF)
-
-
-def q_retention_month_adjacent(spark, d):
-    return retention(transactions(spark, d), period="month", cutoff=MONTH_CUTOFF, adjacent=True)
-
-
-def q_retention_quarter(spark, d):
-    # The reference's quarter cutoff compares '2025-Q' < '2025-Q1', which holds
-    # for every row: no rows are cut.
-    return retention(transactions(spark, d), period="quarter", cutoff=None)
-
-
-def q_growth_month(spark, d):
-    return growth(transactions(spark, d), period="month", revenue="money")
-
-
-def q_growth_quarter(spark, d):
-    return growth(transactions(spark, d), period="quarter", revenue="total_value_of_order",
-                  cutoff=MONTH_CUTOFF, drop_first=True)
-
-
-def q_growth_quarter_order_grain(spark, d):
-    return growth(transactions(spark, d), period="quarter", revenue="money", cutoff=MONTH_CUTOFF, drop_first=True)
-
-
-def q_season_weekday(spark, d):
-    return seasonality(transactions(spark, d), ["Weekday"], sort_key="Weekdaysort")
-
-
-def q_season_weekday_by_orders(spark, d):
-    return seasonality(transactions(spark, d), ["Weekday"], sort_key="Weekdaysort", rank_by="total_orders")
-
-
-def q_season_weekday_by_revenue(spark, d):
-    return seasonality(transactions(spark, d), ["Weekday"], sort_key="Weekdaysort", rank_by="total_revenue")
-
-
-def q_season_weekday_hour(spark, d):
-    return seasonality(transactions(spark, d),
-                       ["Weekday", "Weekdaysort", F.hour("datetime").cast("long").alias("hour_of_day")])
-
-
-def q_season_one_weekday(spark, d):
-    return seasonality(transactions(spark, d), [F.hour("datetime").cast("long").alias("hour_of_day")],
-                       where=F.col("Weekday") == BUSY_WEEKDAY)
-
-
-def q_season_daypart(spark, d):
-    return seasonality(transactions(spark, d), ["Time_of_Day"])
-
-
-def q_daily_deviation(spark, d):
-    return deviation(transactions(spark, d), k=100)
-
-
-def q_daily_deviation_order_grain(spark, d):
-    return deviation(transactions(spark, d), k=100, grain="order")
-
-
-# ---- the same operators on the star-schema tables ----------------------------
-
-def _brand_lines(spark, d):
-    li = _table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    part = _table(spark, d, "part").select("p_partkey", "p_brand")
-    return li.join(part, li.l_partkey == part.p_partkey, "inner")
-
-
-def q_brand_pairs(spark, d):
-    return pair_counts(_brand_lines(spark, d), basket="l_orderkey", item="p_brand", k=10, names=("brand_a", "brand_b"))
-
+    return rule_rows(df, F.col("hour_of_day") != extracted, ["datetime", "hour_of_day", extracted.alias("extracted_hour")])
+
+
+REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    # preparation and profiling (raw sales)
+    "date_extremes_first": ("sales", lambda s: extremes(s, "date", 10)),
+    "date_extremes_last": ("sales", lambda s: extremes(s, "date", 10, desc=True)),
+    "time_extremes_first": ("sales", lambda s: extremes(s, _time_text(s), 10, name="order_time")),
+    "time_extremes_last": ("sales", lambda s: extremes(s, _time_text(s), 10, desc=True, name="order_time")),
+    "null_audit": ("sales", null_audit),
+    "null_pct": ("sales", null_percent),
+    "rule_card_null": ("sales", lambda s: rule_rows(s, F.col("card").isNull())),
+    "rule_card_cash": ("sales", lambda s: check_rules(
+        s, {"card_null_not_cash": F.col("card").isNull() & (F.col("cash_type") != "cash")})),
+    "rule_hour_value": ("sales", lambda s: rule_rows(s, F.col("hour_of_day") == CHECK_HOUR)),
+    "value_counts_hour": ("sales", _vc("hour_of_day")),
+    "value_counts_payment": ("sales", _vc("cash_type")),
+    "value_counts_product": ("sales", _vc("coffee_name")),
+    "value_counts_daypart": ("sales", _vc("Time_of_Day")),
+    "value_counts_weekday": ("sales", _vc("Weekday")),
+    "value_counts_month": ("sales", _vc("Month_name")),
+    "value_counts_weekdaysort": ("sales", _vc("Weekdaysort")),
+    "value_counts_monthsort": ("sales", _vc("Monthsort")),
+    "value_counts_card": ("sales", _vc("card", mode="keepna", count_name="count")),
+    "value_counts_money": ("clean", _vc("money", mode="dropna", count_name="count")),
+    "daypart_hour_crosstab": ("sales", lambda s: crosstab(s, "Time_of_Day", "hour_of_day", count_name="total_count")),
+    "hour_crosstab": ("sales", lambda s: crosstab(s, F.hour("datetime").cast("long").alias("hour"), "hour_of_day",
+                                                  count_of="hour_of_day", count_name="row_count")),
+    "fd_weekday": ("sales", lambda s: functional_dependency(s, "Weekday", "Weekdaysort")),
+    "fd_month": ("sales", lambda s: functional_dependency(s, "Month_name", "Monthsort")),
+    "rule_hour_mismatch": ("sales", _hour_mismatch),
+    "sales_clean": ("clean", lambda c: c),
+    "rule_hour_mismatch_after_clean": ("clean", lambda c: check_rules(
+        c, {"hour_mismatch": F.col("hour_of_day") != F.hour("datetime")})),
+    "non_null_counts": ("sales", non_null_counts),
+    "numeric_describe": ("clean", lambda c: numeric_describe(c, scales={"money": 2})),
+    "distinct_counts": ("sales", distinct_counts),
+    # price consistency (clean sales)
+    "price_by_month_weekday": ("clean", _price(["coffee_name", "Monthsort", "Weekdaysort"])),
+    "price_by_hour": ("clean", _price(["coffee_name", "hour_of_day"])),
+    "price_by_daypart": ("clean", _price(["coffee_name", "Time_of_Day"], avg_name="avg_time_of_day_price")),
+    "price_by_payment": ("clean", _price(["coffee_name", "cash_type"], avg_name="avg_payment_price")),
+    "price_april_card": ("clean", lambda c: price_range(
+        c, ["coffee_name", "cash_type", "Monthsort"], avg_name="avg_payment_price",
+        having=(F.col("Monthsort") == APRIL) & (F.col("cash_type") == "card"))),
+    "product_history": ("clean", lambda c: product_history(c, HISTORY_PRODUCT)),
+    # orders and reports on them
+    "orders_sessionized_debug": ("tx_debug", lambda t: t),
+    "sales_transactions": ("tx", lambda t: t),
+    "kpi_cube": ("tx", lambda t: kpi_by(t, KPI_DIMS)),
+    "kpi_cube_order_grain": ("tx", lambda t: kpi_by(t, KPI_DIMS, grain="order")),
+    "top_pairs": ("tx", lambda t: pair_counts(t, k=10)),
+    "pair_rules": ("tx", lambda t: pair_rules(t, k=10)),
+    "rfm": ("tx", rfm),
+    "rfm_order_grain": ("tx", lambda t: rfm(t, grain="order")),
+    "retention_month": ("tx", lambda t: retention(t, period="month", cutoff=MONTH_CUTOFF)),
+    "retention_month_adjacent": ("tx", lambda t: retention(t, period="month", cutoff=MONTH_CUTOFF, adjacent=True)),
+    # The reference's quarter cutoff compares '2025-Q' < '2025-Q1', true for every row: nothing is cut.
+    "retention_quarter": ("tx", lambda t: retention(t, period="quarter", cutoff=None)),
+    "growth_month": ("tx", lambda t: growth(t, period="month", revenue="money")),
+    "growth_quarter": ("tx", lambda t: growth(t, period="quarter", revenue="total_value_of_order",
+                                              cutoff=MONTH_CUTOFF, drop_first=True)),
+    "growth_quarter_order_grain": ("tx", lambda t: growth(t, period="quarter", revenue="money",
+                                                          cutoff=MONTH_CUTOFF, drop_first=True)),
+    "season_weekday": ("tx", lambda t: seasonality(t, ["Weekday"], sort_key="Weekdaysort")),
+    "season_weekday_by_orders": ("tx", lambda t: seasonality(t, ["Weekday"], sort_key="Weekdaysort",
+                                                             rank_by="total_orders")),
+    "season_weekday_by_revenue": ("tx", lambda t: seasonality(t, ["Weekday"], sort_key="Weekdaysort",
+                                                              rank_by="total_revenue")),
+    "season_weekday_hour": ("tx", lambda t: seasonality(t, ["Weekday", "Weekdaysort", _hour()])),
+    "season_one_weekday": ("tx", lambda t: seasonality(t, [_hour()], where=F.col("Weekday") == BUSY_WEEKDAY)),
+    "season_daypart": ("tx", lambda t: seasonality(t, ["Time_of_Day"])),
+    "daily_deviation": ("tx", lambda t: deviation(t, k=100)),
+    "daily_deviation_order_grain": ("tx", lambda t: deviation(t, k=100, grain="order")),
+    # the same operators on the star-schema tables
+    "brand_pairs": ("brand_lines", lambda b: pair_counts(b, basket="l_orderkey", item="p_brand", k=10,
+                                                         names=("brand_a", "brand_b"))),
+    "brand_rules": ("brand_lines", lambda b: pair_rules(b, basket="l_orderkey", item="p_brand", k=10,
+                                                        names=("brand_a", "brand_b"))),
+    "customer_retention_month": ("orders", lambda o: retention(o, customer="o_custkey", date="o_day", period="month")),
+    "order_growth_month": ("orders", lambda o: growth(o, period="month", revenue="o_totalprice", ts="o_orderdate",
+                                                      order_id="o_orderkey")),
+}
 
-def q_brand_rules(spark, d):
-    return pair_rules(_brand_lines(spark, d), basket="l_orderkey", item="p_brand", k=10, names=("brand_a", "brand_b"))
 
+def _bind(source: str, report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(SOURCES[source](spark, sf_dir))
+    return query
 
-def _orders_by_day(spark, d):
-    return _table(spark, d, "orders").withColumn("o_day", F.to_date("o_orderdate"))
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _bind(src, fn) for name, (src, fn) in REPORTS.items()}
 
-def q_customer_retention_month(spark, d):
-    return retention(_orders_by_day(spark, d), customer="o_custkey", date="o_day", period="month")
-
-
-def q_order_growth_month(spark, d):
-    return growth(_table(spark, d, "orders"), period="month", revenue="o_totalprice", ts="o_orderdate",
-                  order_id="o_orderkey")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "date_extremes_first": _extreme_dates(False),
-    "date_extremes_last": _extreme_dates(True),
-    "time_extremes_first": _extreme_times(False),
-    "time_extremes_last": _extreme_times(True),
-    "null_audit": q_null_audit,
-    "null_pct": q_null_pct,
-    "rule_card_null": q_rule_card_null,
-    "rule_card_cash": q_rule_card_cash,
-    "rule_hour_value": q_rule_hour_value,
-    "value_counts_hour": _value_counts("hour_of_day"),
-    "value_counts_payment": _value_counts("cash_type"),
-    "value_counts_product": _value_counts("coffee_name"),
-    "value_counts_daypart": _value_counts("Time_of_Day"),
-    "value_counts_weekday": _value_counts("Weekday"),
-    "value_counts_month": _value_counts("Month_name"),
-    "value_counts_weekdaysort": _value_counts("Weekdaysort"),
-    "value_counts_monthsort": _value_counts("Monthsort"),
-    "value_counts_card": _value_counts("card", mode="keepna", count_name="count"),
-    "value_counts_money": _value_counts("money", mode="dropna", count_name="count", clean=True),
-    "daypart_hour_crosstab": q_daypart_hour_crosstab,
-    "hour_crosstab": q_hour_crosstab,
-    "fd_weekday": q_fd_weekday,
-    "fd_month": q_fd_month,
-    "rule_hour_mismatch": q_rule_hour_mismatch,
-    "sales_clean": q_sales_clean,
-    "rule_hour_mismatch_after_clean": q_rule_hour_mismatch_after_clean,
-    "non_null_counts": q_non_null_counts,
-    "numeric_describe": q_numeric_describe,
-    "distinct_counts": q_distinct_counts,
-    "price_by_month_weekday": _price(["coffee_name", "Monthsort", "Weekdaysort"]),
-    "price_by_hour": _price(["coffee_name", "hour_of_day"]),
-    "price_by_daypart": _price(["coffee_name", "Time_of_Day"], avg_name="avg_time_of_day_price"),
-    "price_by_payment": _price(["coffee_name", "cash_type"], avg_name="avg_payment_price"),
-    "price_april_card": q_price_april_card,
-    "product_history": q_product_history,
-    "orders_sessionized_debug": q_orders_debug,
-    "sales_transactions": q_sales_transactions,
-    "kpi_cube": q_kpi_cube,
-    "kpi_cube_order_grain": q_kpi_cube_order_grain,
-    "top_pairs": q_top_pairs,
-    "pair_rules": q_pair_rules,
-    "rfm": q_rfm,
-    "rfm_order_grain": q_rfm_order_grain,
-    "retention_month": q_retention_month,
-    "retention_month_adjacent": q_retention_month_adjacent,
-    "retention_quarter": q_retention_quarter,
-    "growth_month": q_growth_month,
-    "growth_quarter": q_growth_quarter,
-    "growth_quarter_order_grain": q_growth_quarter_order_grain,
-    "season_weekday": q_season_weekday,
-    "season_weekday_by_orders": q_season_weekday_by_orders,
-    "season_weekday_by_revenue": q_season_weekday_by_revenue,
-    "season_weekday_hour": q_season_weekday_hour,
-    "season_one_weekday": q_season_one_weekday,
-    "season_daypart": q_season_daypart,
-    "daily_deviation": q_daily_deviation,
-    "daily_deviation_order_grain": q_daily_deviation_order_grain,
-    "brand_pairs": q_brand_pairs,
-    "brand_rules": q_brand_rules,
-    "customer_retention_month": q_customer_retention_month,
-    "order_growth_month": q_order_growth_month,
-}
-
-__all__ = ["HELPERS", "QUERIES", "sales", "sales_clean", "transactions"]
+__all__ = ["HELPERS", "QUERIES", "REPORTS", "SOURCES", "sales", "sales_clean", "transactions"]
