@@ -21,6 +21,8 @@ from tillroll.operators.quality import (
     null_audit,
     null_percent,
     numeric_describe,
+    preview,
+    rule_rows,
     value_counts,
 )
 from tillroll.operators.trends import deviation, growth
@@ -44,11 +46,13 @@ __all__ = [
     "numeric_describe",
     "pair_counts",
     "pair_rules",
+    "preview",
     "price_range",
     "product_history",
     "read_sales",
     "retention",
     "rfm",
+    "rule_rows",
     "seasonality",
     "sessionize_orders",
     "value_counts",

@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 
 
 def basket_items(tx: DataFrame, basket: str = "order_id", item: str = "coffee_name") -> DataFrame:
-    """Distinct (basket, item) rows, NULLs dropped (they never join)."""
+    """Distinct (basket, item) rows of baskets with an id; the item may be NULL
+    (such rows count the basket but never pair)."""
     return (tx.select(F.col(basket).alias("__basket"), F.col(item).alias("__item"))
-              .filter(F.col("__basket").isNotNull() & F.col("__item").isNotNull())
+              .filter(F.col("__basket").isNotNull())
               .distinct())
 
 
 def _pairs(items: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
-    left = items.select("__basket", F.col("__item").alias(a))
-    right = items.select("__basket", F.col("__item").alias(b))
+    named = items.filter(F.col("__item").isNotNull())
+    left = named.select("__basket", F.col("__item").alias(a))
+    right = named.select("__basket", F.col("__item").alias(b))
     return (left.join(right, on="__basket", how="inner")
                 .filter(F.col(a) < F.col(b))
                 .groupBy(a, b)
@@ -66,12 +68,14 @@ def pair_rules(
     a, b = names
     items = basket_items(tx, basket, item)
     pairs = _pairs(items, a, b, count_name)
-    per_item = items.groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
-    total = tx.agg(F.countDistinct(basket)).scalar()
+    per_item = items.filter(F.col("__item").isNotNull()).groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
+    # N from the same distinct set: the scalar subquery reads the shuffle the
+    # pairs already produced instead of scanning the input again.
+    total = items.agg(F.countDistinct("__basket")).scalar()
     na = per_item.select(F.col("__item").alias(a), F.col("__n").alias("__na"))
     nb = per_item.select(F.col("__item").alias(b), F.col("__n").alias("__nb"))
-    j = pairs.join(na, on=a, how="inner").join(nb, on=b, how="inner")
-    ab, cnt_a, cnt_b = F.col(count_name), F.col("__na"), F.col("__nb")
+    j = pairs.join(na, on=a, how="inner").join(nb, on=b, how="inner").withColumn("__total", total)
+    ab, cnt_a, cnt_b, total = F.col(count_name), F.col("__na"), F.col("__nb"), F.col("__total")
     out = j.select(
         a, b, count_name,
         (ab / total).alias("Support_AB"),

@@ -33,8 +33,10 @@ def rfm(
     repeated order totals. ``grain="order"``: value = sum of item prices,
     averages per order.
     """
-    last_day = tx.agg(F.max(F.to_date(ts))).scalar()
-    per = tx.filter(F.col(customer).isNotNull()).groupBy(customer).agg(
+    # One aggregation over all rows, unidentified customers (NULL) included;
+    # the last day of the table is then the max over that small result, and the
+    # scalar subquery reuses its shuffle instead of scanning the rows again.
+    per = tx.groupBy(customer).agg(
         F.max(F.to_date(ts)).alias("__last"),
         F.countDistinct(order_id).alias("F_total_orders"),
         F.sum(to_cents(value_col)).alias("__vc"),
@@ -44,7 +46,8 @@ def rfm(
         F.sum(to_cents(money)).alias("__mc"),
         F.count(F.lit(1)).alias("__rows"),
     )
-    per = per.filter(F.col("F_total_orders") >= min_orders)
+    last_day = per.agg(F.max("__last")).scalar()
+    per = per.filter(F.col(customer).isNotNull() & (F.col("F_total_orders") >= min_orders))
     if grain == "item":
         m = F.col("__vc")
         upt = F.col("__items") / F.col("__in")

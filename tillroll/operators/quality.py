@@ -119,6 +119,11 @@ def functional_dependency(df: DataFrame, determinant: str, dependent: str,
     return df.groupBy(determinant).agg(F.countDistinct(dependent).alias(count_name))
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """Any ``n`` rows (a look at the data; which rows is not defined)."""
+    return df.limit(n)
+
+
 def extremes(df: DataFrame, expr: str | Column, k: int = 10, desc: bool = False, name: str | None = None) -> DataFrame:
     """The ``k`` smallest (or largest) values of an expression: a distributed top-k."""
     c = F.col(expr) if isinstance(expr, str) else expr

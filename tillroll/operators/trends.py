@@ -83,8 +83,9 @@ def deviation(
 
     The daily mean is a per-day aggregate joined back on the day (its size is
     the number of calendar days, so adaptive execution broadcasts it after
-    measuring it), and the overall mean is a one-row scalar subquery: no window
-    without partition, no single-partition exchange of the data.
+    measuring it), and the overall mean is a one-row scalar subquery over that
+    per-day table: no window without partition, no single-partition exchange
+    of the data, no second pass over the rows.
     """
     if grain == "item":
         rows = tx.select(order_id, F.to_date(ts).alias("order_date"), *extra_cols, value)
@@ -100,7 +101,7 @@ def deviation(
     j = rows.join(daily, on="order_date", how="inner")
     cols = [order_id, "order_date", *extra_cols, value]
     if with_overall:
-        overall = rows.agg(round_ratio(F.sum("__c"), F.count("__c") * 100, 2)).scalar()
+        overall = daily.agg(round_ratio(F.sum("__ds"), F.sum("__dn") * 100, 2)).scalar()
         cols.append(overall.alias("avg_overall_aov"))
     out = j.select(
         *cols,
@@ -109,4 +110,5 @@ def deviation(
     )
     if k is None:
         return out
-    return out.orderBy(F.desc("daily_aov_variance_percent"), F.asc(order_id), F.asc("order_date")).limit(k)
+    ties = [F.asc(c) for c in (order_id, "order_date", *extra_cols)]
+    return out.orderBy(F.desc("daily_aov_variance_percent"), *ties).limit(k)

@@ -170,6 +170,9 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "season_daypart": ("tx", lambda t: seasonality(t, ["Time_of_Day"])),
     "daily_deviation": ("tx", lambda t: deviation(t, k=100)),
     "daily_deviation_order_grain": ("tx", lambda t: deviation(t, k=100, grain="order")),
+    # the layout of the exported deviation file: with card and product, without the overall mean
+    "daily_deviation_export": ("tx", lambda t: deviation(t, k=100, extra_cols=("card", "coffee_name"),
+                                                         with_overall=False)),
     # the same operators on the star-schema tables
     "brand_pairs": ("brand_lines", lambda b: pair_counts(b, basket="l_orderkey", item="p_brand", k=10,
                                                          names=("brand_a", "brand_b"))),
