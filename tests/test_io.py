@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.operators.quality import preview
 from tillroll.operators.trends import growth
 from tillroll.plans.catalog import sales, transactions
-from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales
+from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales, write_table
 
 
 def test_read_sales_parquet_and_csv_round_trip(spark):
@@ -46,3 +46,14 @@ def test_cutoff_reaches_parquet_scan(spark):
                   drop_first=True)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(datetime), LessThan(datetime,2025-03-01T00:00)]" in plan
     assert "ReadSchema: struct<datetime:timestamp_ntz,order_id:string,total_value_of_order:double>" in plan
+
+
+def test_write_table_replaces(spark):
+    root = tempfile.mkdtemp(prefix="tillroll-tbl-")
+    path = os.path.join(root, "sales_clean")
+    write_table(spark.range(5), path)
+    write_table(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+    write_table(spark.range(4), "tillroll_test_table")
+    write_table(spark.range(2), "tillroll_test_table")
+    assert spark.table("tillroll_test_table").count() == 2

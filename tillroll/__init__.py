@@ -26,7 +26,7 @@ from tillroll.operators.quality import (
     value_counts,
 )
 from tillroll.operators.trends import deviation, growth
-from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales
+from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales, write_table
 
 __all__ = [
     "SALES_SCHEMA",
@@ -56,4 +56,5 @@ __all__ = [
     "seasonality",
     "sessionize_orders",
     "value_counts",
+    "write_table",
 ]

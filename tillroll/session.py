@@ -50,11 +50,15 @@ def build_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    Falls back to a fresh local scratch folder only when the setting is unset
-    (local tests); on a cluster the setting is expected to point at shared storage.
+    A fresh scratch folder is made only when the setting is unset and the
+    session runs in local mode (tests, local benches). On a cluster an unset
+    setting is an error: a machine-local folder would not survive a lost
+    executor.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or object storage)")
         root = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, root)
     spark.sparkContext.setCheckpointDir(root)

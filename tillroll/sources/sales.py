@@ -39,6 +39,16 @@ def read_sales(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return reader.load(path)
 
 
+def write_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
+    """Create or replace a table: a path (``/``, ``:`` in it) is overwritten as
+    files, anything else is a catalog table name, replaced with ``saveAsTable``."""
+    w = df.write.mode("overwrite").format(fmt)
+    if "/" in target or ":" in target:
+        w.save(target)
+    else:
+        w.saveAsTable(target)
+
+
 def export_report(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
     """Write a result set as CSV with a header row.
 
