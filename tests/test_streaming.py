@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ def test_append_to_parquet_with_checkpoint(spark):
     root = tempfile.mkdtemp(prefix="tillroll-stream-")
     clean.write.parquet(os.path.join(root, "in"))
     src = spark.readStream.schema(clean.schema).parquet(os.path.join(root, "in"))
-    q = start_order_stream(stream_orders(src, lateness="0 seconds"), os.path.join(root, "out"), name="t1")
+    # a stream name is a persistent checkpoint (same name = resume); a fresh one per run
+    q = start_order_stream(stream_orders(src, lateness="0 seconds"), os.path.join(root, "out"), name=f"t-{uuid.uuid4().hex}")
     q.processAllAvailable()
     q.stop()
     out = spark.read.parquet(os.path.join(root, "out"))

@@ -60,7 +60,8 @@ def start_order_stream(orders: DataFrame, path: str, name: str = "orders", trigg
     """Append closed orders to Parquet at ``path``.
 
     The stream's checkpoint lives under the session's shared checkpoint folder,
-    so a restarted driver or lost executors resume from the last committed batch.
+    keyed by ``name``: a restarted driver or lost executors resume from the
+    last committed batch of the stream with that name.
     """
     spark = orders.sparkSession
     w = (orders.writeStream.outputMode("append").format("parquet")
