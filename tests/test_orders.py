@@ -104,3 +104,9 @@ def test_item_rows_partition_input(spark):
     assert bad.count() == 0
     assert tx.count() == 1280
     assert tx.select("order_id").distinct().count() == 1020
+
+
+def test_null_timestamps_agree(spark):
+    rows = [(None, "A", "card", "x", 1.0), (None, "A", "card", "y", 2.0), (_s(0), "A", "card", "z", 3.0),
+            (_s(100), "A", "card", "w", 4.0), (None, None, None, "v", 5.0)]
+    assert _orders(spark, rows, "window") == _orders(spark, rows, "bucketed")

@@ -114,7 +114,10 @@ def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, t
     s = s.withColumn("__prevmax", F.lag("__bmax").over(wk))
     s = s.withColumn("__fstart", F.col("__prevmax").isNull()
                      | (whole_seconds_between(F.col("__prevmax"), F.col("__bmin"), ntz) >= gap))
-    s = (s.withColumn("order_group_id", F.count_if("__fstart").over(wk))
+    # Rows without a timestamp (lowest bucket) each count as a start but share one
+    # order, as peers do in the single-window form.
+    starts = F.when(F.col("__fstart"), F.when(F.col("__bmin").isNull(), F.col("__n")).otherwise(F.lit(1))).otherwise(F.lit(0))
+    s = (s.withColumn("order_group_id", F.sum(starts).over(wk).cast("long"))
           .withColumn("__ostart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wk)))
     wo = Window.partitionBy(*kp, "order_group_id")   # same customer partitioning: no new shuffle
     s = (s.withColumn("__tcnt", F.sum("__n").over(wo))
