@@ -15,8 +15,9 @@ Two exact forms give the same rows:
   wide. Inside one bucket no gap can reach the threshold, so order starts,
   order numbers and order totals are all computed on one aggregated row per
   (customer, bucket); the item rows then take their order from that table in
-  one join on (customer, bucket). A hot key is spread over its buckets and no
-  task ever holds all rows of one customer.
+  one join on (customer, bucket). A hot key's rows are spread over its
+  buckets; the only per-customer step runs on the bucket table, which has at
+  most (time span / gap) rows per customer however many items it has.
 """
 
 from __future__ import annotations
