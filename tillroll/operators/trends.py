@@ -83,9 +83,9 @@ def deviation(
 
     The daily mean is a per-day aggregate joined back on the day (its size is
     the number of calendar days, so adaptive execution broadcasts it after
-    measuring it), and the overall mean is a one-row scalar subquery over that
-    per-day table: no window without partition, no single-partition exchange
-    of the data, no second pass over the rows.
+    measuring it); the overall mean is a window over that per-day table,
+    carried by the same join. No window over the rows, no single-partition
+    exchange of the rows, one pass over them.
     """
     if grain == "item":
         rows = tx.select(order_id, F.to_date(ts).alias("order_date"), *extra_cols, value)
@@ -98,11 +98,15 @@ def deviation(
         raise ValueError(f"grain must be 'item' or 'order', not {grain!r}")
     rows = rows.withColumn("__c", to_cents(value))
     daily = rows.groupBy("order_date").agg(F.sum("__c").alias("__ds"), F.count("__c").alias("__dn"))
-    j = rows.join(daily, on="order_date", how="inner")
     cols = [order_id, "order_date", *extra_cols, value]
     if with_overall:
-        overall = daily.agg(round_ratio(F.sum("__ds"), F.sum("__dn") * 100, 2)).scalar()
-        cols.append(overall.alias("avg_overall_aov"))
+        # the per-day table has one row per calendar day, so totals over it are a
+        # tiny unpartitioned window, carried to the rows by the same join
+        everything = Window.partitionBy()
+        daily = (daily.withColumn("__os", F.sum("__ds").over(everything))
+                      .withColumn("__on", F.sum("__dn").over(everything)))
+        cols.append(round_ratio(F.col("__os"), F.col("__on") * 100, 2).alias("avg_overall_aov"))
+    j = rows.join(daily, on="order_date", how="inner")
     out = j.select(
         *cols,
         round_ratio(F.col("__ds"), F.col("__dn") * 100, 2).alias("avg_daily_aov"),
