@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,18 +31,19 @@ def _tx(spark, rows):
     return spark.createDataFrame(full, TX)
 
 
-def test_pairs_ignore_repeats_and_break_ties_by_name(spark):
+@pytest.mark.parametrize("method", ["mask", "join"])
+def test_pairs_ignore_repeats_and_break_ties_by_name(spark, method):
     d = dt.date(2024, 3, 1)
     tx = _tx(spark, [
         ("o1", "Latte", "c", d, 1.0, 3, 3.0), ("o1", "Latte", "c", d, 1.0, 3, 3.0), ("o1", "Mocha", "c", d, 1.0, 3, 3.0),
         ("o2", "Americano", "c", d, 1.0, 2, 2.0), ("o2", "Latte", "c", d, 1.0, 2, 2.0),
         ("o3", "Espresso", "c", d, 1.0, 1, 1.0), ("o4", "Espresso", "c", d, 1.0, 1, 1.0),
     ])
-    got = [tuple(r) for r in pair_counts(tx, k=1).collect()]
+    got = [tuple(r) for r in pair_counts(tx, k=1, method=method).collect()]
     assert got == [("Americano", "Latte", 1)]
-    allp = sorted(tuple(r) for r in pair_counts(tx, k=None).collect())
+    allp = sorted(tuple(r) for r in pair_counts(tx, k=None, method=method).collect())
     assert allp == [("Americano", "Latte", 1), ("Latte", "Mocha", 1)]
-    rules = {(r.coffee_a, r.coffee_b): r for r in pair_rules(tx, k=None).collect()}
+    rules = {(r.coffee_a, r.coffee_b): r for r in pair_rules(tx, k=None, method=method).collect()}
     r = rules[("Latte", "Mocha")]
     assert r.Support_AB == 1 / 4 and r.Confidence_A_to_B == 1 / 2 and r.Confidence_B_to_A == 1.0
     assert abs(r.Lift - (1 / 4) / ((2 / 4) * (1 / 4))) < 1e-12
@@ -136,3 +138,23 @@ def test_golden_formulas(spark):
     assert abs(nab / na - 0.047872340425531915) < 1e-15
     assert abs(nab / nb - 0.049180327868852458) < 1e-15
     assert abs((nab / n) / ((na / n) * (nb / n)) - 0.19515172654342519) < 1e-12
+
+
+def test_pair_methods_agree_on_test_data(spark):
+    from tillroll.plans.catalog import SOURCES
+    for src, basket, item in [("tx", "order_id", "coffee_name"), ("brand_lines", "l_orderkey", "p_brand")]:
+        base = SOURCES[src](spark, "/root/testdata/sf0.001")
+        for fn in (pair_counts, pair_rules):
+            m = fn(base, basket=basket, item=item, k=None, method="mask")
+            j = fn(base, basket=basket, item=item, k=None, method="join")
+            assert m.exceptAll(j).count() == 0 and j.exceptAll(m).count() == 0
+
+
+def test_large_catalogue_uses_join(spark):
+    rows = [(b, f"item{(b * 3 + i) % 100:03d}") for b in range(40) for i in range(3)]  # 100 items
+    tx = spark.createDataFrame(rows, "order_id long, coffee_name string")
+    auto = pair_counts(tx, k=None)
+    join = pair_counts(tx, k=None, method="join")
+    assert auto.exceptAll(join).count() == 0 and join.exceptAll(auto).count() == 0
+    with pytest.raises(ValueError):
+        pair_counts(tx, method="mask")

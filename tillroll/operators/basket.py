@@ -1,19 +1,31 @@
 """Basket analysis: co-purchased pairs (O11) and association rules (O12).
 
-A pair (A, B), A < B, counts the baskets that hold both. Baskets are first
-reduced to their distinct (basket, item) set -- duplicates of an item inside a
-basket collapse map-side before any shuffle -- so the self-join on the basket
-emits at most d(d-1)/2 rows for a basket with d distinct items, each one a
-distinct pair of that basket, and counting pairs needs no distinct aggregate.
-A basket holding many distinct items is one skewed join key; adaptive
-execution splits such a partition on both sides.
+A pair (A, B), A < B, counts the baskets that hold both. Two exact methods:
+
+* ``"mask"`` (chosen by ``"auto"`` when the catalogue has at most 63 items,
+  checked with one count of the distinct items): every item gets a bit, and
+  each basket becomes the ``bit_or`` of its items' bits -- one aggregation by
+  basket, partially aggregated before its shuffle, so repeated rows and hot
+  baskets collapse map-side. Baskets are then counted per distinct mask (a
+  small table: at most 2**items rows, usually far fewer), and pairs, per-item
+  counts and the basket total are all read from that table, each mask
+  expanded once and weighted by its basket count. No pair is ever emitted per
+  basket.
+* ``"join"`` (larger catalogues): baskets are reduced to distinct (basket,
+  item) rows (deduplicated map-side), then joined with themselves on the basket
+  with ``a.item < b.item``. A basket with d distinct items yields d(d-1)/2
+  rows, each a distinct pair of that basket; adaptive execution splits a
+  skewed basket across tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: item bits must fit a signed 64-bit mask.
+MASK_ITEMS = 63
+
 
 def basket_items(tx: DataFrame, basket: str = "order_id", item: str = "coffee_name") -> DataFrame:
     """Distinct (basket, item) rows of baskets with an id; the item may be NULL
@@ -23,7 +35,61 @@ def basket_items(tx: DataFrame, basket: str = "order_id", item: str = "coffee_na
               .distinct())
 
 
-def _pairs(items: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
+def _catalog(tx: DataFrame, item: str) -> DataFrame:
+    return tx.select(F.col(item).alias("__item")).filter(F.col("__item").isNotNull()).distinct()
+
+
+def _method(method: str, catalog: DataFrame) -> str:
+    if method == "join":
+        return "join"
+    if method not in ("auto", "mask"):
+        raise ValueError(f"method must be 'auto', 'mask' or 'join', not {method!r}")
+    n = catalog.count()  # the size check that allows a broadcast of the catalogue
+    if n <= MASK_ITEMS:
+        return "mask"
+    if method == "mask":
+        raise ValueError(f"{n} distinct items do not fit a {MASK_ITEMS}-bit basket mask; use method='join'")
+    return "join"
+
+
+def _mask_table(tx: DataFrame, basket: str, item: str, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(indexed catalogue, baskets per distinct mask). The catalogue index
+    follows the item order, so bit order is item order."""
+    indexed = catalog.withColumn("__ix", (F.dense_rank().over(Window.orderBy("__item")) - 1).cast("int"))
+    rows = (tx.select(F.col(basket).alias("__basket"), F.col(item).alias("__item"))
+              .filter(F.col("__basket").isNotNull())
+              .join(F.broadcast(indexed), on="__item", how="left"))   # catalogue size checked: <= 63 rows
+    bit = F.coalesce(F.expr("shiftleft(1L, __ix)"), F.lit(0).cast("long"))
+    per_basket = rows.groupBy("__basket").agg(F.bit_or(bit).alias("__mask"))
+    masks = per_basket.groupBy("__mask").agg(F.count(F.lit(1)).alias("__baskets"))
+    return indexed, masks
+
+
+def _mask_bits(masks: DataFrame) -> DataFrame:
+    return masks.select("__baskets", F.expr(
+        f"filter(sequence(0, {MASK_ITEMS - 1}), i -> (shiftright(__mask, i) & 1L) = 1L)").alias("__bits"))
+
+
+def _named(df: DataFrame, indexed: DataFrame, ix: str, name: str) -> DataFrame:
+    return df.join(F.broadcast(indexed.select(F.col("__ix").alias(ix), F.col("__item").alias(name))), on=ix)
+
+
+def _mask_pairs(masks: DataFrame, indexed: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
+    bits = _mask_bits(masks)
+    pairs = (bits.select("__baskets", "__bits", F.explode("__bits").alias("__ia"))
+                 .select("__baskets", "__ia", F.explode("__bits").alias("__ib"))
+                 .filter(F.col("__ia") < F.col("__ib"))
+                 .groupBy("__ia", "__ib").agg(F.sum("__baskets").alias(count_name)))
+    return _named(_named(pairs, indexed, "__ia", a), indexed, "__ib", b).select(a, b, count_name)
+
+
+def _mask_items(masks: DataFrame, indexed: DataFrame) -> DataFrame:
+    per = (_mask_bits(masks).select("__baskets", F.explode("__bits").alias("__ix"))
+                            .groupBy("__ix").agg(F.sum("__baskets").alias("__n")))
+    return _named(per, indexed, "__ix", "__item").select("__item", "__n")
+
+
+def _join_pairs(items: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
     named = items.filter(F.col("__item").isNotNull())
     left = named.select("__basket", F.col("__item").alias(a))
     right = named.select("__basket", F.col("__item").alias(b))
@@ -40,11 +106,17 @@ def pair_counts(
     k: int | None = 10,
     names: tuple[str, str] = ("product_a", "product_b"),
     count_name: str = "co_occurrence_count",
+    method: str = "auto",
 ) -> DataFrame:
     """Pairs of items bought in the same basket, most frequent first (top ``k``,
     ties broken by the item names)."""
     a, b = names
-    out = _pairs(basket_items(tx, basket, item), a, b, count_name)
+    catalog = _catalog(tx, item)
+    if _method(method, catalog) == "mask":
+        indexed, masks = _mask_table(tx, basket, item, catalog)
+        out = _mask_pairs(masks, indexed, a, b, count_name)
+    else:
+        out = _join_pairs(basket_items(tx, basket, item), a, b, count_name)
     if k is None:
         return out
     return out.orderBy(F.desc(count_name), F.asc(a), F.asc(b)).limit(k)
@@ -57,21 +129,28 @@ def pair_rules(
     k: int | None = 10,
     names: tuple[str, str] = ("coffee_a", "coffee_b"),
     count_name: str = "co_occurrence_count",
+    method: str = "auto",
 ) -> DataFrame:
     """Support, confidence both ways and lift of every pair, top ``k`` by pair count.
 
     N = distinct baskets; n(A) = baskets holding A. support = n(AB)/N,
     confidence A->B = n(AB)/n(A), B->A = n(AB)/n(B),
-    lift = support / ((n(A)/N) * (n(B)/N)). N is a one-row scalar subquery;
-    the per-item counts have one row per distinct item.
+    lift = support / ((n(A)/N) * (n(B)/N)). N is a one-row scalar subquery
+    over the mask table (or the distinct basket-item set, whose shuffle the
+    pairs already produced); the per-item counts have one row per item.
     """
     a, b = names
-    items = basket_items(tx, basket, item)
-    pairs = _pairs(items, a, b, count_name)
-    per_item = items.filter(F.col("__item").isNotNull()).groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
-    # N from the same distinct set: the scalar subquery reads the shuffle the
-    # pairs already produced instead of scanning the input again.
-    total = items.agg(F.countDistinct("__basket")).scalar()
+    catalog = _catalog(tx, item)
+    if _method(method, catalog) == "mask":
+        indexed, masks = _mask_table(tx, basket, item, catalog)
+        pairs = _mask_pairs(masks, indexed, a, b, count_name)
+        per_item = _mask_items(masks, indexed)
+        total = masks.agg(F.sum("__baskets")).scalar()
+    else:
+        items = basket_items(tx, basket, item)
+        pairs = _join_pairs(items, a, b, count_name)
+        per_item = items.filter(F.col("__item").isNotNull()).groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
+        total = items.agg(F.countDistinct("__basket")).scalar()
     na = per_item.select(F.col("__item").alias(a), F.col("__n").alias("__na"))
     nb = per_item.select(F.col("__item").alias(b), F.col("__n").alias("__nb"))
     j = pairs.join(na, on=a, how="inner").join(nb, on=b, how="inner").withColumn("__total", total)
