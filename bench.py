@@ -9,7 +9,8 @@ same reports are submitted together from 4 threads to the one session, and
 that wall time is reported as ``concurrent_reports_sec`` (throughput of a
 shared session; the per-query numbers are sequential latencies).
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_DRIVER_MEMORY (default 8g; in local mode the driver heap is all the memory).
 """
 
 from __future__ import annotations
@@ -79,7 +80,10 @@ def concurrent_pass(spark, sf_dir: str, threads: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(app="tillroll-bench", master=f"local[{cpus}]", shuffle_partitions=cpus)
+    # local mode: the driver JVM is the whole cluster, so its heap is the executor memory
+    mem = os.environ.get("BENCH_DRIVER_MEMORY", "8g")
+    spark = build_session(app="tillroll-bench", master=f"local[{cpus}]", shuffle_partitions=cpus,
+                          extra={"spark.driver.memory": mem})
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
     one_pass(spark, sf_dir)                    # warm-up: JIT, file cache
