@@ -57,3 +57,17 @@ def test_write_table_replaces(spark):
     write_table(spark.range(4), "tillroll_test_table")
     write_table(spark.range(2), "tillroll_test_table")
     assert spark.table("tillroll_test_table").count() == 2
+
+
+def test_export_reference_set(spark):
+    from tillroll.plans.exports import EXPORTS, export_reference_set
+    out = tempfile.mkdtemp(prefix="tillroll-export-")
+    written = export_reference_set(sales(spark, "/root/testdata/sf0.001"), out)
+    assert set(written) == set(EXPORTS)
+    growth_csv = [f for f in os.listdir(written["growth_month"]) if f.endswith(".csv")]
+    assert len(growth_csv) == 1
+    lines = open(os.path.join(written["growth_month"], growth_csv[0])).read().splitlines()
+    assert lines[0] == "sales_month,monthly_orders,monthly_revenue,orders_growth_mom,revenue_growth_mom"
+    assert len(lines) == 14
+    rfm = spark.read.option("header", "true").csv(written["rfm"])
+    assert rfm.count() == 255
