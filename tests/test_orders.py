@@ -25,13 +25,15 @@ def _s(seconds, micros=0):
 
 def _orders(spark, rows, method, **kw):
     df = spark.createDataFrame(rows, SCHEMA)
+    if method == "chunked":
+        method, kw = "bucketed", {**kw, "chunk_buckets": 2}
     out = sessionize_orders(df, method=method, keep_helpers=True, tie_break=["coffee_name", "money"], **kw)
     got = [(r.datetime, r.coffee_name, r.customer_key, r.order_group_id, r.order_id, r.total_products_in_order,
             r.total_value_of_order, r.previous_datetime, r.time_diff_seconds) for r in out.collect()]
     return sorted(got, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-@pytest.mark.parametrize("method", ["window", "bucketed"])
+@pytest.mark.parametrize("method", ["window", "bucketed", "chunked"])
 def test_gap_boundaries(spark, method):
     # gaps: 300.000 s (new order), then 299.999 s twice (joined)
     rows = [(_s(0), "A", "card", "x", 1.0), (_s(300), "A", "card", "y", 2.0),
@@ -45,7 +47,7 @@ def test_gap_boundaries(spark, method):
     assert [g[8] for g in got] == [None, 300, 299, 299]
 
 
-@pytest.mark.parametrize("method", ["window", "bucketed"])
+@pytest.mark.parametrize("method", ["window", "bucketed", "chunked"])
 def test_whole_seconds_not_clock_boundaries(spark, method):
     rows = [(_s(0, 900000), "A", "card", "x", 1.0), (_s(300, 100000), "A", "card", "y", 2.0)]
     got = _orders(spark, rows, method)
@@ -53,7 +55,7 @@ def test_whole_seconds_not_clock_boundaries(spark, method):
     assert got[1][8] == 299
 
 
-@pytest.mark.parametrize("method", ["window", "bucketed"])
+@pytest.mark.parametrize("method", ["window", "bucketed", "chunked"])
 def test_ties_share_one_order(spark, method):
     rows = [(_s(0), "A", "card", "x", 1.5), (_s(0), "A", "card", "y", 2.25), (_s(1000), "A", "card", "z", 1.0)]
     got = _orders(spark, rows, method)
@@ -63,7 +65,7 @@ def test_ties_share_one_order(spark, method):
     assert [g[8] for g in got] == [None, 0, 1000]
 
 
-@pytest.mark.parametrize("method", ["window", "bucketed"])
+@pytest.mark.parametrize("method", ["window", "bucketed", "chunked"])
 def test_cash_and_null_keys(spark, method):
     rows = [(_s(0), None, "cash", "x", 1.0), (_s(10), None, "cash", "y", 2.0),
             (_s(0), None, None, "x", 5.0), (_s(20), None, None, "y", 6.0)]
@@ -73,12 +75,13 @@ def test_cash_and_null_keys(spark, method):
     assert ("CASH_cash", "2024-03-01 10:00:00.000000+00_CASH_cash", 2, 3.0) in keys
 
 
-def test_methods_agree_on_test_data(spark):
+@pytest.mark.parametrize("chunk", [None, 1, 7])
+def test_methods_agree_on_test_data(spark, chunk):
     from tillroll.plans.catalog import sales_clean
     c = sales_clean(spark, "/root/testdata/sf0.001")
-    a = sessionize_orders(c, method="window").exceptAll(sessionize_orders(c, method="bucketed"))
-    b = sessionize_orders(c, method="bucketed").exceptAll(sessionize_orders(c, method="window"))
-    assert a.count() == 0 and b.count() == 0
+    w = sessionize_orders(c, method="window", keep_helpers=True, tie_break=["coffee_name", "money"])
+    k = sessionize_orders(c, method="bucketed", keep_helpers=True, tie_break=["coffee_name", "money"], chunk_buckets=chunk)
+    assert w.exceptAll(k).count() == 0 and k.exceptAll(w).count() == 0
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -90,7 +93,7 @@ def test_bucketed_equals_window(spark, events):
         card = None if cust == 0 else f"C{cust}"
         rows.append((T0 + dt.timedelta(milliseconds=ms * 7), card, "cash" if card is None else "card",
                      f"p{i}", float(price) + 0.25))
-    assert _orders(spark, rows, "window") == _orders(spark, rows, "bucketed")
+    assert _orders(spark, rows, "window") == _orders(spark, rows, "bucketed") == _orders(spark, rows, "chunked")
 
 
 def test_item_rows_partition_input(spark):
@@ -109,4 +112,4 @@ def test_item_rows_partition_input(spark):
 def test_null_timestamps_agree(spark):
     rows = [(None, "A", "card", "x", 1.0), (None, "A", "card", "y", 2.0), (_s(0), "A", "card", "z", 3.0),
             (_s(100), "A", "card", "w", 4.0), (None, None, None, "v", 5.0)]
-    assert _orders(spark, rows, "window") == _orders(spark, rows, "bucketed")
+    assert _orders(spark, rows, "window") == _orders(spark, rows, "bucketed") == _orders(spark, rows, "chunked")

@@ -53,7 +53,7 @@ def small_floor_div(n: Column, d: Column | int) -> Column:
 
 
 def floor_div(n: Column, d: Column) -> Column:
-    """Exact floor(n / d) for any bigint n and 0 < d < 2**40.
+    """Exact floor(n / d) for any bigint n and 0 < d < 2**50.
 
     The double quotient q0 is off by at most a few hundred units; the
     remainder n - q0*d is exact in bigint arithmetic and small enough that its

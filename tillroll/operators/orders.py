@@ -45,6 +45,7 @@ def sessionize_orders(
     items_col: str = "total_products_in_order",
     value_col: str = "total_value_of_order",
     tie_break: list[str] | None = None,
+    chunk_buckets: int | None = None,
 ) -> DataFrame:
     """Add ``order_id``, ``total_products_in_order``, ``total_value_of_order``.
 
@@ -53,7 +54,11 @@ def sessionize_orders(
     and ``order_group_id``.
     ``tie_break`` orders items of one customer at the same instant for
     ``previous_datetime`` only (which of them sees the earlier instant); order
-    assignment never depends on it.
+    assignment never depends on it. ``chunk_buckets`` (bucketed form only)
+    computes the per-customer running values in two levels, over chunks of that
+    many buckets and then over one row per chunk, so no task holds a whole
+    customer even on the bucket table; use it for very small gaps over long
+    time spans.
     """
     ntz = is_ntz(df, ts)
     k = customer_key() if key is None else (F.col(key) if isinstance(key, str) else key)
@@ -62,7 +67,7 @@ def sessionize_orders(
     if method == "window":
         out = _by_window(d, ts, ntz, gap_seconds, tie_break or [])
     elif method == "bucketed":
-        out = _by_bucket(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [])
+        out = _by_bucket(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [], chunk_buckets)
     else:
         raise ValueError(f"method must be 'bucketed' or 'window', not {method!r}")
     oid = F.concat(timestamp_text(F.col("__ostart"), ntz, id_digits), F.lit("+00_"), F.col("customer_key"))
@@ -89,7 +94,8 @@ def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int, tie: list[str]) -> Da
              .withColumn("__tnn", F.count("__cents").over(wo)))
 
 
-def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str]) -> DataFrame:
+def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str],
+               chunk: int | None) -> DataFrame:
     t = F.col(ts)
     # Null-safe customer identity as two plain columns, so every join below is
     # an ordinary equi-join on the keys the data is partitioned by. The keys are
@@ -109,22 +115,7 @@ def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, t
     s = d.groupBy(*p).agg(
         F.min(ts).alias("__bmin"), F.max(ts).alias("__bmax"),
         F.count(F.lit(1)).alias("__n"), F.sum("__cents").alias("__sc"), F.count("__cents").alias("__snn"))
-    # Per customer this table has at most (time span / gap) rows, however many
-    # items the customer has.
-    wk = Window.partitionBy(*kp).orderBy("__b")
-    s = s.withColumn("__prevmax", F.lag("__bmax").over(wk))
-    s = s.withColumn("__fstart", F.col("__prevmax").isNull()
-                     | (whole_seconds_between(F.col("__prevmax"), F.col("__bmin"), ntz) >= gap))
-    # Rows without a timestamp (lowest bucket) each count as a start but share one
-    # order, as peers do in the single-window form.
-    starts = F.when(F.col("__fstart"), F.when(F.col("__bmin").isNull(), F.col("__n")).otherwise(F.lit(1))).otherwise(F.lit(0))
-    s = (s.withColumn("order_group_id", F.sum(starts).over(wk).cast("long"))
-          .withColumn("__ostart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wk)))
-    wo = Window.partitionBy(*kp, "order_group_id")   # same customer partitioning: no new shuffle
-    s = (s.withColumn("__tcnt", F.sum("__n").over(wo))
-          .withColumn("__tcents", F.sum("__sc").over(wo))
-          .withColumn("__tnn", F.sum("__snn").over(wo))
-          .select(*p, "__bmin", "__prevmax", "order_group_id", "__ostart", "__tcnt", "__tcents", "__tnn"))
+    s = _orders_on_buckets(s, kp, ntz, gap) if chunk is None else _orders_on_chunks(s, kp, ntz, gap, chunk)
 
     # One shuffle of the item rows, by (customer, bucket): a busy customer is
     # spread over its buckets. When the bucket table is small at run time,
@@ -135,3 +126,63 @@ def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, t
         j = j.withColumn("previous_datetime", F.coalesce(lag, F.col("__prevmax")))
         j = j.withColumn("time_diff_seconds", whole_seconds_between(F.col("previous_datetime"), t, ntz))
     return j
+
+
+def _starts(gap: int, ntz: bool) -> tuple[Column, Column]:
+    """(is this bucket an order start, how many starts it counts). Rows without a
+    timestamp (lowest bucket) each count as a start but share one order, as
+    peers do in the single-window form."""
+    fstart = F.col("__prevmax").isNull() | (whole_seconds_between(F.col("__prevmax"), F.col("__bmin"), ntz) >= gap)
+    n = F.when(F.col("__bmin").isNull(), F.col("__n")).otherwise(F.lit(1))
+    return fstart, F.when(F.col("__fstart"), n).otherwise(F.lit(0))
+
+
+_BUCKET_OUT = ["__bmin", "__prevmax", "order_group_id", "__ostart", "__tcnt", "__tcents", "__tnn"]
+
+
+def _orders_on_buckets(s: DataFrame, kp: list[str], ntz: bool, gap: int) -> DataFrame:
+    """Running values per customer over its bucket rows (at most time span / gap
+    rows per customer, however many items it has)."""
+    wk = Window.partitionBy(*kp).orderBy("__b")
+    s = s.withColumn("__prevmax", F.lag("__bmax").over(wk))
+    fstart, starts = _starts(gap, ntz)
+    s = s.withColumn("__fstart", fstart)
+    s = (s.withColumn("order_group_id", F.sum(starts).over(wk).cast("long"))
+          .withColumn("__ostart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wk)))
+    wo = Window.partitionBy(*kp, "order_group_id")   # same customer partitioning: no new shuffle
+    return (s.withColumn("__tcnt", F.sum("__n").over(wo))
+             .withColumn("__tcents", F.sum("__sc").over(wo))
+             .withColumn("__tnn", F.sum("__snn").over(wo))
+             .select(*kp, "__b", *_BUCKET_OUT))
+
+
+def _orders_on_chunks(s: DataFrame, kp: list[str], ntz: bool, gap: int, chunk: int) -> DataFrame:
+    """The same running values in two levels: inside chunks of ``chunk`` buckets,
+    then over one row per chunk; order totals by aggregation and join."""
+    kc = kp + ["__c"]
+    s = s.withColumn("__c", small_floor_div(F.col("__b"), chunk))
+    wc = Window.partitionBy(*kc).orderBy("__b")
+    before = Window.partitionBy(*kp).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    # previous bucket's last timestamp: inside the chunk, else the previous chunk's last
+    s = s.withColumn("__lag_in", F.lag("__bmax").over(wc))
+    ends = s.groupBy(*kc).agg(F.max("__bmax").alias("__cmax"))
+    ends = ends.withColumn("__prev_cmax", F.lag("__cmax").over(Window.partitionBy(*kp).orderBy("__c")))
+    s = s.join(ends.select(*kc, "__prev_cmax"), on=kc, how="inner")
+    s = s.withColumn("__prevmax", F.coalesce(F.col("__lag_in"), F.col("__prev_cmax")))
+    fstart, starts = _starts(gap, ntz)
+    s = s.withColumn("__fstart", fstart).withColumn("__starts", starts)
+    s = (s.withColumn("__lcount", F.sum("__starts").over(wc))
+          .withColumn("__lstart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wc)))
+    # starts and the open order's start carried from earlier chunks
+    carry = (s.groupBy(*kc).agg(F.sum("__starts").alias("__cn"),
+                                F.max(F.when(F.col("__fstart"), F.col("__bmin"))).alias("__clast"))
+              .withColumn("__off", F.coalesce(F.sum("__cn").over(before), F.lit(0)))
+              .withColumn("__carry", F.max("__clast").over(before)))
+    s = s.join(carry.select(*kc, "__off", "__carry"), on=kc, how="inner")
+    s = (s.withColumn("order_group_id", (F.col("__off") + F.col("__lcount")).cast("long"))
+          .withColumn("__ostart", F.coalesce(F.col("__lstart"), F.col("__carry"))))
+    # order totals: partial aggregation, then a join on the order (a long order is
+    # one skewed key on a bucket-sized table, which adaptive execution can split)
+    totals = s.groupBy(*kp, "order_group_id").agg(
+        F.sum("__n").alias("__tcnt"), F.sum("__sc").alias("__tcents"), F.sum("__snn").alias("__tnn"))
+    return s.join(totals, on=[*kp, "order_group_id"], how="inner").select(*kp, "__b", *_BUCKET_OUT)
