@@ -3,7 +3,8 @@
 A pair (A, B), A < B, counts the baskets that hold both. Two exact methods:
 
 * ``"mask"`` (chosen by ``"auto"`` when the catalogue has at most 63 items,
-  checked with one count of the distinct items): every item gets a bit, and
+  checked with one count of the distinct items; given explicitly, a larger
+  catalogue fails the job rather than giving wrong counts): every item gets a bit, and
   each basket becomes the ``bit_or`` of its items' bits -- one aggregation by
   basket, partially aggregated before its shuffle, so repeated rows and hot
   baskets collapse map-side. Baskets are then counted per distinct mask (a
@@ -40,25 +41,25 @@ def _catalog(tx: DataFrame, item: str) -> DataFrame:
 
 
 def _method(method: str, catalog: DataFrame) -> str:
-    if method == "join":
-        return "join"
-    if method not in ("auto", "mask"):
+    """``"mask"`` and ``"join"`` as given; ``"auto"`` counts the catalogue (one
+    small job) and picks ``"mask"`` when it fits."""
+    if method in ("mask", "join"):
+        return method
+    if method != "auto":
         raise ValueError(f"method must be 'auto', 'mask' or 'join', not {method!r}")
-    n = catalog.count()  # the size check that allows a broadcast of the catalogue
-    if n <= MASK_ITEMS:
-        return "mask"
-    if method == "mask":
-        raise ValueError(f"{n} distinct items do not fit a {MASK_ITEMS}-bit basket mask; use method='join'")
-    return "join"
+    return "mask" if catalog.count() <= MASK_ITEMS else "join"
 
 
 def _mask_table(tx: DataFrame, basket: str, item: str, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(indexed catalogue, baskets per distinct mask). The catalogue index
     follows the item order, so bit order is item order."""
-    indexed = catalog.withColumn("__ix", (F.dense_rank().over(Window.orderBy("__item")) - 1).cast("int"))
+    rank = (F.dense_rank().over(Window.orderBy("__item")) - 1).cast("int")
+    # a catalogue too large for the mask fails the job instead of wrapping bits
+    indexed = catalog.withColumn("__ix", F.when(rank < MASK_ITEMS, rank).otherwise(F.raise_error(F.lit(
+        f"more than {MASK_ITEMS} distinct items do not fit a basket mask; use method='join'")).cast("int")))
     rows = (tx.select(F.col(basket).alias("__basket"), F.col(item).alias("__item"))
               .filter(F.col("__basket").isNotNull())
-              .join(F.broadcast(indexed), on="__item", how="left"))   # catalogue size checked: <= 63 rows
+              .join(F.broadcast(indexed), on="__item", how="left"))   # catalogue size bounded: <= 63 rows
     bit = F.coalesce(F.expr("shiftleft(1L, __ix)"), F.lit(0).cast("long"))
     per_basket = rows.groupBy("__basket").agg(F.bit_or(bit).alias("__mask"))
     masks = per_basket.groupBy("__mask").agg(F.count(F.lit(1)).alias("__baskets"))

@@ -147,8 +147,9 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "sales_transactions": ("tx", lambda t: t),
     "kpi_cube": ("tx", lambda t: kpi_by(t, KPI_DIMS)),
     "kpi_cube_order_grain": ("tx", lambda t: kpi_by(t, KPI_DIMS, grain="order")),
-    "top_pairs": ("tx", lambda t: pair_counts(t, k=10)),
-    "pair_rules": ("tx", lambda t: pair_rules(t, k=10)),
+    # the product menu and the brand list are fixed, short catalogues: bitmask baskets without a size job
+    "top_pairs": ("tx", lambda t: pair_counts(t, k=10, method="mask")),
+    "pair_rules": ("tx", lambda t: pair_rules(t, k=10, method="mask")),
     "rfm": ("tx", rfm),
     "rfm_order_grain": ("tx", lambda t: rfm(t, grain="order")),
     "retention_month": ("tx", lambda t: retention(t, period="month", cutoff=MONTH_CUTOFF)),
@@ -175,9 +176,9 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
                                                          with_overall=False)),
     # the same operators on the star-schema tables
     "brand_pairs": ("brand_lines", lambda b: pair_counts(b, basket="l_orderkey", item="p_brand", k=10,
-                                                         names=("brand_a", "brand_b"))),
+                                                         names=("brand_a", "brand_b"), method="mask")),
     "brand_rules": ("brand_lines", lambda b: pair_rules(b, basket="l_orderkey", item="p_brand", k=10,
-                                                        names=("brand_a", "brand_b"))),
+                                                        names=("brand_a", "brand_b"), method="mask")),
     "customer_retention_month": ("orders", lambda o: retention(o, customer="o_custkey", date="o_day", period="month")),
     "order_growth_month": ("orders", lambda o: growth(o, period="month", revenue="o_totalprice", ts="o_orderdate",
                                                       order_id="o_orderkey")),
