@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tillroll.operators.basket import pair_counts, pair_rules
 from tillroll.operators.customers import retention, rfm
 from tillroll.operators.kpi import kpi_by, seasonality
-from tillroll.operators.quality import check_rules, numeric_describe, value_counts
+from tillroll.operators.quality import check_rules, numeric_describe, profile, value_counts
 from tillroll.operators.trends import deviation, growth
 
 TX = T.StructType([
@@ -158,3 +158,13 @@ def test_large_catalogue_uses_join(spark):
     assert auto.exceptAll(join).count() == 0 and join.exceptAll(auto).count() == 0
     with pytest.raises(Exception, match="do not fit a basket mask"):
         pair_counts(tx, method="mask").collect()
+
+
+def test_profile_long_table(spark):
+    df = spark.createDataFrame([(1, 2.5, "x"), (2, 3.75, None), (4, None, "x")], "h long, m double, s string")
+    got = {(r.column_name, r.metric): r.value for r in profile(df, scales={"m": 2}).collect()}
+    assert got[("s", "rows")] == 3 and got[("s", "nulls")] == 1 and got[("s", "null_pct")] == 33.33
+    assert got[("s", "distinct")] == 1 and ("s", "mean") not in got
+    assert got[("h", "mean")] == 7 / 3 and got[("h", "q50")] == 2.0 and got[("m", "max")] == 3.75
+    assert abs(got[("h", "std")] - 1.5275252316519468) < 1e-15
+    assert len(got) == 3 * 5 + 2 * 7

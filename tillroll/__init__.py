@@ -22,6 +22,7 @@ from tillroll.operators.quality import (
     null_percent,
     numeric_describe,
     preview,
+    profile,
     rule_rows,
     value_counts,
 )
@@ -49,6 +50,7 @@ __all__ = [
     "preview",
     "price_range",
     "product_history",
+    "profile",
     "read_sales",
     "retention",
     "rfm",

@@ -66,8 +66,7 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
     scales = dict(scales or {})
     aggs, per = [], {}
     for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        scale = scales.get(c, 0 if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else None)
+        scale = _exact_scale(df, c, scales)
         x = F.col(c)
         aggs += [F.count(c).alias(f"__n{i}"), F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}"),
                  F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__q{i}")]
@@ -90,6 +89,57 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
     return _long_from_row(row, per, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
+def _exact_scale(df: DataFrame, c: str, scales: dict[str, int]) -> int | None:
+    dt = df.schema[c].dataType
+    return scales.get(c, 0 if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else None)
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, int] | None = None) -> DataFrame:
+    """Everything a first look at a table reports, as one long table
+    ``column_name, metric, value`` (value as double), from one aggregation pass.
+
+    Every column: ``rows``, ``non_null``, ``nulls``, ``null_pct`` (rounded to 2
+    places), ``distinct`` (NULLs not counted). Numeric columns add ``mean``,
+    ``std``, ``min``, ``q25``, ``q50``, ``q75``, ``max`` as in
+    :func:`numeric_describe` (exact mean and std for columns with a known
+    number of decimals in ``scales``).
+    """
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+    cols = columns or df.columns
+    scales = dict(scales or {})
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    metrics: list[tuple[str, str, Column]] = []
+    rows = F.col("__rows")
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"__v{i}"), F.countDistinct(c).alias(f"__d{i}")]
+        nn = F.col(f"__v{i}")
+        metrics += [(c, "rows", rows), (c, "non_null", nn), (c, "nulls", rows - nn),
+                    (c, "null_pct", round_ratio((rows - nn) * 100, rows, 2)), (c, "distinct", F.col(f"__d{i}"))]
+        if not isinstance(df.schema[c].dataType, numeric):
+            continue
+        x = F.col(c)
+        aggs += [F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}"),
+                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__q{i}")]
+        scale = _exact_scale(df, c, scales)
+        if scale is not None:
+            xi = F.round(x * (10**scale)).cast("long").cast("decimal(38,0)")
+            aggs += [F.sum(xi).alias(f"__s{i}"), F.sum(xi * xi).alias(f"__ss{i}")]
+            s_, ss = F.col(f"__s{i}"), F.col(f"__ss{i}")
+            nd = nn.cast("decimal(38,0)")
+            mean = s_.cast("double") / (nn * (10**scale))
+            std = F.when(nn > 1, F.sqrt((nd * ss - s_ * s_).cast("double") / (nd * (nd - 1)).cast("double")) / (10**scale))
+        else:
+            aggs += [F.avg(x.cast("double")).alias(f"__m{i}"), F.stddev_samp(x.cast("double")).alias(f"__sd{i}")]
+            mean, std = F.col(f"__m{i}"), F.col(f"__sd{i}")
+        q = F.col(f"__q{i}")
+        metrics += [(c, "mean", mean), (c, "std", std), (c, "min", F.col(f"__lo{i}")),
+                    (c, "q25", F.round(q[0], 6)), (c, "q50", F.round(q[1], 6)), (c, "q75", F.round(q[2], 6)),
+                    (c, "max", F.col(f"__hi{i}"))]
+    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
+               for c, m, v in metrics]
+    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("__m")).select("__m.*")
+
+
 def value_counts(df: DataFrame, column: str, mode: str = "sql", count_name: str = "count") -> DataFrame:
     """Rows per value of ``column``.
 

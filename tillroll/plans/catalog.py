@@ -22,7 +22,7 @@ from tillroll.operators.orders import HELPERS, sessionize_orders
 from tillroll.operators.pricing import price_range, product_history
 from tillroll.operators.quality import (
     check_rules, crosstab, distinct_counts, extremes, functional_dependency, non_null_counts,
-    null_audit, null_percent, numeric_describe, rule_rows, value_counts,
+    null_audit, null_percent, numeric_describe, profile, rule_rows, value_counts,
 )
 from tillroll.operators.trends import deviation, growth
 from tillroll.sources.fixture import load_sales
@@ -133,6 +133,8 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "non_null_counts": ("sales", non_null_counts),
     "numeric_describe": ("clean", lambda c: numeric_describe(c, scales={"money": 2})),
     "distinct_counts": ("sales", distinct_counts),
+    # all of the above in one long table, from one pass (the clean table: numeric money)
+    "profile": ("clean", lambda c: profile(c, scales={"money": 2})),
     # price consistency (clean sales)
     "price_by_month_weekday": ("clean", _price(["coffee_name", "Monthsort", "Weekdaysort"])),
     "price_by_hour": ("clean", _price(["coffee_name", "hour_of_day"])),
