@@ -51,3 +51,18 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 13
     assert df.columns == ["sales_month", "monthly_orders", "monthly_revenue", "orders_growth_mom", "revenue_growth_mom"]
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def test_column_types_match_oracle(spark, con):
+    """Same type per column on both sides (counts BIGINT, money DOUBLE, no INTEGER or HUGEINT leaks)."""
+    bad = []
+    for name, fn in entry.queries().items():
+        st = {f.name: f.dataType.simpleString() for f in fn(spark, SF).schema.fields}
+        rel = con.sql(entry.oracle_sql()[name])
+        dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        bad += [(name, c, t, dt.get(c)) for c, t in st.items() if SPARK_TO_DUCK.get(t, t) != dt.get(c)]
+    assert bad == []
