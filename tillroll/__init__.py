@@ -5,6 +5,7 @@ collected to the driver. Column names are parameters, so the same operators run
 on the coffee-shop ``sales`` layout and on any other item-grain sales table.
 """
 
+from tillroll.functions.money import parse_money
 from tillroll.operators.basket import pair_counts, pair_rules
 from tillroll.operators.clean import clean_sales
 from tillroll.operators.customers import retention, rfm
@@ -27,10 +28,18 @@ from tillroll.operators.quality import (
     value_counts,
 )
 from tillroll.operators.trends import deviation, growth
+from tillroll.session import build_session, checkpoint_root, materialize
 from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales, write_table
+from tillroll.streaming.orders import start_order_stream, stream_orders
 
 __all__ = [
     "SALES_SCHEMA",
+    "build_session",
+    "checkpoint_root",
+    "materialize",
+    "parse_money",
+    "start_order_stream",
+    "stream_orders",
     "check_rules",
     "clean_sales",
     "crosstab",
