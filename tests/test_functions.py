@@ -87,3 +87,12 @@ def test_customer_key_and_period_keys(spark):
     got = df.select(customer_key(), period_key(F.col("d"), "month"), period_key(F.col("d"), "quarter")).collect()
     assert [tuple(r) for r in got] == [("ANON-1", "2024-05", "2024-Q2"), ("CASH_cash", "2024-11", "2024-Q4"),
                                        (None, "2025-01", "2025-Q1")]
+
+
+def test_scale_conf():
+    from tillroll.session import scale_conf
+    big = scale_conf(100 * 10**12, cores=8000)
+    assert big["spark.sql.shuffle.partitions"] == "93133"
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert scale_conf(10**6, cores=8)["spark.sql.shuffle.partitions"] == "16"
+    assert scale_conf(10**17, cores=8)["spark.sql.shuffle.partitions"] == "100000"

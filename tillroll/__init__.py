@@ -28,7 +28,7 @@ from tillroll.operators.quality import (
     value_counts,
 )
 from tillroll.operators.trends import deviation, growth
-from tillroll.session import build_session, checkpoint_root, materialize
+from tillroll.session import build_session, checkpoint_root, materialize, scale_conf
 from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales, write_table
 from tillroll.streaming.orders import start_order_stream, stream_orders
 
@@ -61,6 +61,7 @@ __all__ = [
     "product_history",
     "profile",
     "read_sales",
+    "scale_conf",
     "retention",
     "rfm",
     "rule_rows",
