@@ -61,34 +61,43 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
     Spark's exact ``percentile``, whose state is a map of distinct values, so
     they suit low-cardinality columns (hours, prices, sort keys).
     """
-    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-    cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
+    cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     scales = dict(scales or {})
     aggs, per = [], {}
     for i, c in enumerate(cols):
-        scale = _exact_scale(df, c, scales)
-        x = F.col(c)
-        aggs += [F.count(c).alias(f"__n{i}"), F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}"),
-                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__q{i}")]
-        n = F.col(f"__n{i}")
-        if scale is not None:
-            xi = F.round(x * (10**scale)).cast("long").cast("decimal(38,0)")
-            aggs += [F.sum(xi).alias(f"__s{i}"), F.sum(xi * xi).alias(f"__ss{i}")]
-            s, ss = F.col(f"__s{i}"), F.col(f"__ss{i}")
-            mean = s.cast("double") / (n * (10**scale))
-            nd = n.cast("decimal(38,0)")
-            var = (nd * ss - s * s).cast("double") / (nd * (nd - 1)).cast("double")
-            std = F.when(n > 1, F.sqrt(var) / (10**scale))
-        else:
-            aggs += [F.avg(x.cast("double")).alias(f"__m{i}"), F.stddev_samp(x.cast("double")).alias(f"__sd{i}")]
-            mean, std = F.col(f"__m{i}"), F.col(f"__sd{i}")
-        q = F.col(f"__q{i}")
-        per[c] = [n, mean, std, F.col(f"__lo{i}"),
-                  F.round(q[0], 6), F.round(q[1], 6), F.round(q[2], 6), F.col(f"__hi{i}")]
+        aggs.append(F.count(c).alias(f"__n{i}"))
+        more, stats = _numeric_stats(df, c, i, F.col(f"__n{i}"), scales)
+        aggs += more
+        per[c] = [F.col(f"__n{i}")] + [v for _, v in stats]
     row = df.agg(*aggs)
     return _long_from_row(row, per, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _numeric_stats(df: DataFrame, c: str, i: int, n: Column, scales: dict[str, int]) -> tuple[list[Column], list[tuple[str, Column]]]:
+    """Aggregates to add for numeric column ``c`` (number ``i``; ``n`` its non-null
+    count) and the metrics read from them: mean, std, min, q25, q50, q75, max."""
+    x = F.col(c)
+    aggs = [F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}"),
+            F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__q{i}")]
+    scale = _exact_scale(df, c, scales)
+    if scale is not None:
+        xi = F.round(x * (10**scale)).cast("long").cast("decimal(38,0)")
+        aggs += [F.sum(xi).alias(f"__s{i}"), F.sum(xi * xi).alias(f"__ss{i}")]
+        s_, ss = F.col(f"__s{i}"), F.col(f"__ss{i}")
+        nd = n.cast("decimal(38,0)")
+        mean = s_.cast("double") / (n * (10**scale))
+        std = F.when(n > 1, F.sqrt((nd * ss - s_ * s_).cast("double") / (nd * (nd - 1)).cast("double")) / (10**scale))
+    else:
+        aggs += [F.avg(x.cast("double")).alias(f"__m{i}"), F.stddev_samp(x.cast("double")).alias(f"__sd{i}")]
+        mean, std = F.col(f"__m{i}"), F.col(f"__sd{i}")
+    q = F.col(f"__q{i}")
+    return aggs, [("mean", mean), ("std", std), ("min", F.col(f"__lo{i}")), ("q25", F.round(q[0], 6)),
+                  ("q50", F.round(q[1], 6)), ("q75", F.round(q[2], 6)), ("max", F.col(f"__hi{i}"))]
+
+
 def _exact_scale(df: DataFrame, c: str, scales: dict[str, int]) -> int | None:
     dt = df.schema[c].dataType
     return scales.get(c, 0 if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else None)
@@ -101,10 +110,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, i
     Every column: ``rows``, ``non_null``, ``nulls``, ``null_pct`` (rounded to 2
     places), ``distinct`` (NULLs not counted). Numeric columns add ``mean``,
     ``std``, ``min``, ``q25``, ``q50``, ``q75``, ``max`` as in
-    :func:`numeric_describe` (exact mean and std for columns with a known
-    number of decimals in ``scales``).
+    :func:`numeric_describe`.
     """
-    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
     cols = columns or df.columns
     scales = dict(scales or {})
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -115,26 +122,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, i
         nn = F.col(f"__v{i}")
         metrics += [(c, "rows", rows), (c, "non_null", nn), (c, "nulls", rows - nn),
                     (c, "null_pct", round_ratio((rows - nn) * 100, rows, 2)), (c, "distinct", F.col(f"__d{i}"))]
-        if not isinstance(df.schema[c].dataType, numeric):
-            continue
-        x = F.col(c)
-        aggs += [F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}"),
-                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__q{i}")]
-        scale = _exact_scale(df, c, scales)
-        if scale is not None:
-            xi = F.round(x * (10**scale)).cast("long").cast("decimal(38,0)")
-            aggs += [F.sum(xi).alias(f"__s{i}"), F.sum(xi * xi).alias(f"__ss{i}")]
-            s_, ss = F.col(f"__s{i}"), F.col(f"__ss{i}")
-            nd = nn.cast("decimal(38,0)")
-            mean = s_.cast("double") / (nn * (10**scale))
-            std = F.when(nn > 1, F.sqrt((nd * ss - s_ * s_).cast("double") / (nd * (nd - 1)).cast("double")) / (10**scale))
-        else:
-            aggs += [F.avg(x.cast("double")).alias(f"__m{i}"), F.stddev_samp(x.cast("double")).alias(f"__sd{i}")]
-            mean, std = F.col(f"__m{i}"), F.col(f"__sd{i}")
-        q = F.col(f"__q{i}")
-        metrics += [(c, "mean", mean), (c, "std", std), (c, "min", F.col(f"__lo{i}")),
-                    (c, "q25", F.round(q[0], 6)), (c, "q50", F.round(q[1], 6)), (c, "q75", F.round(q[2], 6)),
-                    (c, "max", F.col(f"__hi{i}"))]
+        if isinstance(df.schema[c].dataType, _NUMERIC):
+            more, stats = _numeric_stats(df, c, i, nn, scales)
+            aggs += more
+            metrics += [(c, m, v) for m, v in stats]
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
                for c, m, v in metrics]
     return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("__m")).select("__m.*")
