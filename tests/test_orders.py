@@ -113,3 +113,10 @@ def test_null_timestamps_agree(spark):
     rows = [(None, "A", "card", "x", 1.0), (None, "A", "card", "y", 2.0), (_s(0), "A", "card", "z", 3.0),
             (_s(100), "A", "card", "w", 4.0), (None, None, None, "v", 5.0)]
     assert _orders(spark, rows, "window") == _orders(spark, rows, "bucketed") == _orders(spark, rows, "chunked")
+
+
+@pytest.mark.parametrize("bad", [{"gap_seconds": 0}, {"gap_seconds": -5}, {"gap_seconds": 2.5}, {"chunk_buckets": 0}])
+def test_rejects_bad_parameters(spark, bad):
+    df = spark.createDataFrame([(_s(0), "A", "card", "x", 1.0)], SCHEMA)
+    with pytest.raises(ValueError):
+        sessionize_orders(df, **bad)

@@ -60,6 +60,10 @@ def sessionize_orders(
     customer even on the bucket table; use it for very small gaps over long
     time spans.
     """
+    if not isinstance(gap_seconds, int) or gap_seconds < 1:
+        raise ValueError(f"gap_seconds must be a whole number of seconds >= 1, not {gap_seconds!r}")
+    if chunk_buckets is not None and chunk_buckets < 1:
+        raise ValueError(f"chunk_buckets must be >= 1, not {chunk_buckets!r}")
     ntz = is_ntz(df, ts)
     k = customer_key() if key is None else (F.col(key) if isinstance(key, str) else key)
     base_cols = df.columns

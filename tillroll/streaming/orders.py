@@ -37,6 +37,8 @@ def stream_orders(
     """One row per order: ``order_id, customer_key, order_start, order_end,
     total_products_in_order, total_value_of_order`` (same ids and totals as
     :func:`tillroll.operators.orders.sessionize_orders`)."""
+    if not isinstance(gap_seconds, int) or gap_seconds < 1:
+        raise ValueError(f"gap_seconds must be a whole number of seconds >= 1, not {gap_seconds!r}")
     ntz = is_ntz(sales, ts)
     k = customer_key() if key is None else (F.col(key) if isinstance(key, str) else key)
     event = F.timestamp_micros(epoch_micros(F.col(ts), ntz)) if ntz else F.col(ts)
