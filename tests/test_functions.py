@@ -96,3 +96,9 @@ def test_scale_conf():
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
     assert scale_conf(10**6, cores=8)["spark.sql.shuffle.partitions"] == "16"
     assert scale_conf(10**17, cores=8)["spark.sql.shuffle.partitions"] == "100000"
+
+
+def test_timestamp_text_whole_seconds(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.12' AS n, timestamp'2024-03-10 02:30:00.12' AS i")
+    r = df.select(timestamp_text(F.col("n"), True, 0), timestamp_text(F.col("i"), False, 0)).collect()[0]
+    assert r[0] == "2024-03-10 02:30:00" and r[1] == "2024-03-10 02:30:00"

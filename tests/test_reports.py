@@ -168,3 +168,20 @@ def test_profile_long_table(spark):
     assert got[("h", "mean")] == 7 / 3 and got[("h", "q50")] == 2.0 and got[("m", "max")] == 3.75
     assert abs(got[("h", "std")] - 1.5275252316519468) < 1e-15
     assert len(got) == 3 * 5 + 2 * 7
+
+
+def test_rank_ties_broken_by_column_dimensions(spark):
+    d = dt.date(2024, 3, 1)
+    rows = [(f"o{i}", "a", "c", d, 1.0, 1, 1.0) for i in range(4)]
+    tx = _tx(spark, rows).withColumn("datetime", F.col("datetime") + F.make_interval(hours=F.lit(0)))
+    tx = tx.withColumn("h", F.when(F.col("order_id") < "o2", 9).otherwise(8))
+    got = sorted((r.hour, r["rank"]) for r in seasonality(tx, [F.col("h").alias("hour")], rank_by="total_orders").collect())
+    assert got == [(8, 1), (9, 2)]
+
+
+def test_describe_bigint_uses_floating_std_unless_scaled(spark):
+    df = spark.createDataFrame([(1_700_000_000_000_000 + i,) for i in range(5)], "us long")
+    r = numeric_describe(df).collect()[0]
+    assert abs(r["std"] - 1.5811388300841898) < 1e-3
+    r2 = numeric_describe(df, scales={"us": 0}).collect()[0]
+    assert r2["std"] == 1.5811388300841898

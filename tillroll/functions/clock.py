@@ -53,8 +53,8 @@ def whole_seconds_between(start: Column, end: Column, ntz: bool) -> Column:
 def timestamp_text(ts: Column, ntz: bool, digits: int = 6) -> Column:
     """``yyyy-MM-dd HH:mm:ss.ffffff`` with exactly ``digits`` fraction digits."""
     if not ntz:
-        frac = "S" * digits
-        return F.date_format(ts, f"yyyy-MM-dd HH:mm:ss.{frac}")
+        frac = "." + "S" * digits if digits > 0 else ""
+        return F.date_format(ts, f"yyyy-MM-dd HH:mm:ss{frac}")
     s = ts.cast("string")  # wall clock, trailing fraction zeros trimmed
     padded = F.rpad(F.when(F.length(s) == 19, F.concat(s, F.lit("."))).otherwise(s), 26, "0")
     return F.substring(padded, 1, 20 + digits) if digits > 0 else F.substring(padded, 1, 19)

@@ -83,6 +83,8 @@ def retention(
     earlier period (the reference's reading); ``adjacent=True`` requires the
     immediately preceding period. ``cutoff`` keeps days before that date. The
     first period (no base) is dropped; rate = round(retained * 100 / base, 2).
+    The base is the previous period present in the data (a period with no
+    active customers has no row), as in the original.
     After the distinct (period, customer) step a customer has one row per
     period, so the per-customer window is bounded by the number of periods even
     for the heaviest customer.

@@ -74,9 +74,9 @@ def seasonality(
         F.countDistinct(order_id).alias("total_orders"),
         mean_amount(F.sum(to_cents(value_col)), F.count(value_col)).alias("avg_order_value"),
     )
-    dim_names = [c if isinstance(c, str) else None for c in dims]
     if rank_by:
-        ties = [F.asc(c) for c in dim_names if c]
+        # group keys come first in the aggregate's output, Column dimensions included
+        ties = [F.asc(c) for c in out.columns[:len(dims)]]
         out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(rank_by), *ties)).cast("long"))
     if sort_key:
         out = out.orderBy(sort_key).drop(sort_key)

@@ -55,9 +55,10 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
     """count, mean, sample std, min, quartiles (linear interpolation) and max per numeric column.
 
     ``scales`` gives the number of decimals a column is exact to (0 for
-    integers, 2 for prices; integral types default to 0). Such columns get an
-    exact mean and standard deviation from integer sums, independent of how
-    the rows are partitioned; other columns use ``stddev_samp``. Quartiles use
+    integers, 2 for prices; integer types up to 32 bits default to 0). Such
+    columns get an exact mean and standard deviation from integer sums,
+    independent of how the rows are partitioned (values beyond decimal(38,0)
+    fail loudly); other columns use ``stddev_samp``. Quartiles use
     Spark's exact ``percentile``, whose state is a map of distinct values, so
     they suit low-cardinality columns (hours, prices, sort keys).
     """
@@ -99,8 +100,11 @@ def _numeric_stats(df: DataFrame, c: str, i: int, n: Column, scales: dict[str, i
 
 
 def _exact_scale(df: DataFrame, c: str, scales: dict[str, int]) -> int | None:
+    """Decimals a column is exact to, for the exact mean / std path: as given in
+    ``scales``, else 0 for integer types up to 32 bits (whose squares summed
+    stay far inside decimal(38,0)); other columns use floating statistics."""
     dt = df.schema[c].dataType
-    return scales.get(c, 0 if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else None)
+    return scales.get(c, 0 if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType)) else None)
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, int] | None = None) -> DataFrame:
@@ -166,7 +170,11 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def extremes(df: DataFrame, expr: str | Column, k: int = 10, desc: bool = False, name: str | None = None) -> DataFrame:
-    """The ``k`` smallest (or largest) values of an expression: a distributed top-k."""
+    """The ``k`` smallest (or largest) values of an expression: a distributed top-k.
+
+    SQL ordering: NULLs come first ascending and last descending, as in the
+    original warehouse; filter them out first to see only real values.
+    """
     c = F.col(expr) if isinstance(expr, str) else expr
     name = name or (expr if isinstance(expr, str) else "value")
     out = df.select(c.alias(name))

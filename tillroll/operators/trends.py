@@ -39,9 +39,10 @@ def growth(
     ``revenue="money"`` sums item prices; ``revenue="total_value_of_order"`` sums
     the order total repeated on every item row (the reference's quarterly form,
     which over-weights multi-item orders). Growth is rounded to 4 places; the
-    first period has NULL growth and is removed by ``drop_first``. The change
-    is computed after aggregation, over one row per period, so its
-    unpartitioned window is tiny.
+    first period has NULL growth and is removed by ``drop_first``. The
+    previous period is the previous one present in the data, as in the
+    original. The change is computed after aggregation, over one row per
+    period, so its unpartitioned window is tiny.
     """
     pname, oname, rname, ogname, rgname = _GROWTH_NAMES[period]
     rows = before_cutoff(tx, ts, cutoff)

@@ -34,6 +34,8 @@ CHECK_HOUR = 6                        # the suspicious opening hour
 APRIL = 4
 HISTORY_PRODUCT = "purchase"          # a product of the test data
 BUSY_WEEKDAY = "pon."
+# decimals the numeric sales columns are exact to (exact mean and std)
+EXACT_SCALES = {"Weekdaysort": 0, "Monthsort": 0, "hour_of_day": 0, "money": 2}
 KPI_DIMS = ["Month_name", "Monthsort", "Weekday", "Weekdaysort", "Time_of_Day", "hour_of_day", "cash_type"]
 
 
@@ -131,10 +133,10 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "rule_hour_mismatch_after_clean": ("clean", lambda c: check_rules(
         c, {"hour_mismatch": F.col("hour_of_day") != F.hour("datetime")})),
     "non_null_counts": ("sales", non_null_counts),
-    "numeric_describe": ("clean", lambda c: numeric_describe(c, scales={"money": 2})),
+    "numeric_describe": ("clean", lambda c: numeric_describe(c, scales=EXACT_SCALES)),
     "distinct_counts": ("sales", distinct_counts),
     # all of the above in one long table, from one pass (the clean table: numeric money)
-    "profile": ("clean", lambda c: profile(c, scales={"money": 2})),
+    "profile": ("clean", lambda c: profile(c, scales=EXACT_SCALES)),
     # price consistency (clean sales)
     "price_by_month_weekday": ("clean", _price(["coffee_name", "Monthsort", "Weekdaysort"])),
     "price_by_hour": ("clean", _price(["coffee_name", "hour_of_day"])),
