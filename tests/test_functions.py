@@ -102,3 +102,13 @@ def test_timestamp_text_whole_seconds(spark):
     df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.12' AS n, timestamp'2024-03-10 02:30:00.12' AS i")
     r = df.select(timestamp_text(F.col("n"), True, 0), timestamp_text(F.col("i"), False, 0)).collect()[0]
     assert r[0] == "2024-03-10 02:30:00" and r[1] == "2024-03-10 02:30:00"
+
+
+def test_checkpoint_root_resolution():
+    from tillroll.session import _resolve_root
+    assert _resolve_root("hdfs:///shared/ckpt", "yarn", "app-1") == "hdfs:///shared/ckpt"
+    local = _resolve_root(None, "local[8]", "app-2")
+    assert local == _resolve_root(None, "local[*]", "app-2")      # one scratch folder per application
+    assert local != _resolve_root(None, "local[8]", "app-3")
+    with pytest.raises(ValueError):
+        _resolve_root(None, "spark://master:7077", "app-4")       # never a machine-local folder on a cluster

@@ -69,21 +69,32 @@ def scale_conf(input_bytes: int, cores: int, split_bytes: int = 256 << 20) -> di
     }
 
 
+_SCRATCH_ROOTS: dict[str, str] = {}
+
+
+def _resolve_root(configured: str | None, master: str, app_id: str) -> str:
+    """The configured folder; else, in local mode only, one scratch folder per
+    application (kept on the Python side: the setting itself cannot be changed
+    once the session runs)."""
+    if configured:
+        return configured
+    if not master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or object storage)")
+    if app_id not in _SCRATCH_ROOTS:
+        _SCRATCH_ROOTS[app_id] = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+    return _SCRATCH_ROOTS[app_id]
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session.
+    """The shared checkpoint folder named by the session (``spark.checkpoint.dir``).
 
-    A fresh scratch folder is made only when the setting is unset and the
-    session runs in local mode (tests, local benches). On a cluster an unset
-    setting is an error: a machine-local folder would not survive a lost
-    executor.
+    A scratch folder is made only when the setting is unset and the session
+    runs in local mode (tests, local benches). On a cluster an unset setting is
+    an error: a machine-local folder would not survive a lost executor.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or object storage)")
-        root = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    spark.sparkContext.setCheckpointDir(root)
+    sc = spark.sparkContext
+    root = _resolve_root(spark.conf.get(CHECKPOINT_CONF, None), sc.master, sc.applicationId)
+    sc.setCheckpointDir(root)
     return root
 
 
