@@ -122,9 +122,12 @@ def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, t
     s = _orders_on_buckets(s, kp, ntz, gap) if chunk is None else _orders_on_chunks(s, kp, ntz, gap, chunk)
 
     # One shuffle of the item rows, by (customer, bucket): a busy customer is
-    # spread over its buckets. When the bucket table is small at run time,
-    # adaptive execution broadcasts it instead and the rows do not move.
-    j = d.join(s, on=p, how="inner")
+    # spread over its buckets. Shuffled hash join, built on the bucket table: its
+    # partitions are small and even (one row per customer-bucket; a hot customer
+    # adds buckets, not rows per bucket), and the wide item rows stream through
+    # without the sort a sort-merge join would give them. A skewed probe
+    # partition (one very busy bucket) is split by adaptive execution.
+    j = d.join(s.hint("shuffle_hash"), on=p, how="inner")
     if keep_helpers:
         lag = F.lag(ts).over(Window.partitionBy(*p).orderBy(ts, *tie))
         j = j.withColumn("previous_datetime", F.coalesce(lag, F.col("__prevmax")))
