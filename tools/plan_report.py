@@ -27,6 +27,7 @@ KINDS = [
     ("broadcast", r"BroadcastExchange"),
     ("broadcast hash join", r"BroadcastHashJoin"),
     ("sort-merge join", r"SortMergeJoin"),
+    ("shuffled hash join", r"ShuffledHashJoin"),
     ("window", r"\bWindow \["),
     ("expand", r"\bExpand \["),
     ("top-k", r"TakeOrderedAndProject"),
