@@ -7,27 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import table
+from tillroll.llm.common import held_out, materialize, table
 from tillroll.llm.exact_dedup import exact_dedup
+from tillroll.llm.language_id import identify_languages
+from tillroll.llm.merge_codec import decode_documents, encode_documents
 from tillroll.llm.packing import best_fit_packing
+from tillroll.llm.token_counts import token_counts
 from tillroll.llm.topk import exact_top_k
+from tillroll.llm.toxicity import score_toxicity
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, quality, toxic of the rows that may be learned from, with their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return docs.join(labels.where(~held_out("doc_id")), "doc_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, learned_labels(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, docs.where(~held_out("doc_id")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op9_merge_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of ids, a hash of the ids, and the length and SHA-256 of the text decoded from them."""
+    coded = materialize(encode_documents(table(spark, sf_dir, "documents"), seed=20240501, dropout=0.1), "codec_ids")
+    texts = decode_documents(coded.withColumn("digest", F.struct("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
+                                                                 F.xxhash64("ids").alias("ids_xxhash64"))), "digest")
+    return texts.select("digest.*", F.length("text").cast("bigint").alias("n_chars"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_merge_codec": op9_merge_codec,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
