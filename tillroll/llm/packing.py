@@ -39,38 +39,55 @@ class WordIds:
     """Token ids (little-endian unsigned 32-bit bytes) of texts, through a bounded cache of blank-separated words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in turn.
-    Runs of Latin letters skip the tokenizer's normaliser and splitting pattern, which leave lower-cased ones whole.
+    Runs of Latin letters go straight to the tokenizer's merges: its normaliser and splitting pattern leave lower-cased
+    ones whole, and its byte alphabet is applied here.
     """
 
     def __init__(self, model: bytes):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_buffer(model)
         self.full.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain = Tokenizer.from_buffer(model)
-        self.plain.encode_special_tokens = True
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[str, bytes] = {"": b""}
+        self.merges = Tokenizer.from_buffer(model).model
+        self.merges._resize_cache(0)  # each run of letters is asked for once
+        # bytes with a visible character of their own stand for themselves, the others for characters from 256 on
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
+        self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {"": b""}
+        self.others: dict[str, bytes] = {}
 
-    @staticmethod
-    def _fill(cache: dict[str, bytes], wanted: set[str], tokenizer) -> None:
-        new = [w for w in wanted if w not in cache]
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+    def _letters(self, word: str) -> bytes:
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [token.id for token in self.merges.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _other(self, word: str) -> bytes:
+        ids = self.full.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[str]) -> None:
-        """Adds the words that the cache lacks; a full cache starts afresh."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words, self.letters, self.others = {"": b""}, {}, {"": b""}
-        new = [(w, LATIN_WORD.fullmatch(w)) for w in words if w not in self.words]
-        self._fill(self.letters, {m[1].lower() for _, m in new if m}, self.plain)
-        self._fill(self.others, {m[2] if m else w for w, m in new}, self.full)
-        for w, m in new:
-            self.words[w] = self.letters[m[1].lower()] + self.others[m[2]] if m else self.others[w]
+        """Adds the words that the cache lacks; a full cache keeps only those of them that it has."""
+        known, letters, others = self.words, self.letters, self.others
+        if len(known) + len(words) > CACHE_WORDS:
+            known = self.words = {w: known[w] for w in words if w in known}
+            letters.clear()
+            others.clear()
+        for w in words.difference(known):
+            m = LATIN_WORD.fullmatch(w)
+            if m is None:
+                known[w] = self._other(w)
+                continue
+            run, marks = m[1].lower(), m[2]
+            ids = letters.get(run)
+            if ids is None:
+                ids = letters[run] = self._letters(run)
+            if marks:
+                if marks not in others:
+                    others[marks] = self._other(marks)
+                ids += others[marks]
+            known[w] = ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
