@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import materialize
 
-__all__ = ["HELD_OUT_FOLDS", "held_out", "materialize", "public_file", "table", "text_of", "utf8", "word_cache"]
+__all__ = ["HELD_OUT_FOLDS", "held_out", "labelled_sample", "materialize", "public_file", "table", "text_of", "utf8", "word_cache"]
 
 HELD_OUT_FOLDS = 5  # crc32(doc_id as text) mod 5 = 0 is held out
 
@@ -38,6 +38,21 @@ def public_file(name: str) -> bytes:
         return f.read()
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, n: int,
+                    seed: int = 0) -> list[tuple[object, str]]:
+    """(label, text) of about n rows of each label, or all if it has fewer, chosen by a hash of the id.
+
+    The rows are chosen among ``labels`` (id and label, no texts), so only the chosen ids, about n for each label, go
+    to the tasks that read the texts. Null labels are left out. Labels are a small set. In order of label and text.
+    """
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = own.join(sizes, "label").where(draw * F.col("of_label") < n).select("id", "label").dropDuplicates()
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return sorted((r["label"], r["text"]) for r in rows.join(F.broadcast(chosen), "id").select("label", "text").collect())
+
+
 def utf8(text: str) -> bytes:
     """UTF-8 bytes; a lone surrogate, which no Parquet text holds, becomes '?'."""
     return text.encode("utf-8", "replace")

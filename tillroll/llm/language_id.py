@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import public_file, text_of
+from tillroll.llm.common import labelled_sample, public_file, text_of
 from tillroll.llm.token_counts import MARK, piece_trie, unigram_scores
 
 SAMPLE_ROWS = 400  # texts of each language to fit on, about
@@ -129,13 +129,6 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def labelled_sample(rows: DataFrame, label: str, n: int, seed: int = 0) -> DataFrame:
-    """About n rows of each label (all, if it has fewer), chosen by a hash of the id; labels are a small set."""
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("of_label"))
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rows.join(sizes, label).where(draw * F.col("of_label") < n).drop("of_label")
-
-
 class WordTable:
     """Scores of the words met so far, by row of a growing matrix; a full table starts afresh."""
 
@@ -164,22 +157,19 @@ class WordTable:
 _TABLES: dict[str, WordTable] = {}
 
 
-def identify_languages(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def identify_languages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        label_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS,
                        vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """One row per row of ``docs``: id, ``lang_pred``, ``score`` (posterior of the prediction, 0 to 1).
 
-    ``train`` has id, text and label; rows with a null label are not learned from, and about ``sample_rows`` rows of
-    each label are (the bound of the fit). Null texts and texts without a letter are ``und`` with score 0; so is every
-    text if nothing could be learned. Of equal scores the language first in order wins. Labels of ``docs`` are not
-    read. An empty table gives an empty result.
+    ``labels`` has id and label of rows of ``docs``; null labels are not learned from, and of each other label the
+    texts of about ``sample_rows`` rows are (the bound of the fit). Null texts and texts without a letter are ``und`` with score 0; so is every
+    text if nothing could be learned. Of equal scores the language first in order wins. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    labelled = train.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
-                            text_of(text_col).alias("text")).where(F.col("label").isNotNull())
     by_label: dict[str, Counter] = {}
-    for row in labelled_sample(labelled, "label", sample_rows).select("label", "text").toLocalIterator():
-        by_label.setdefault(row["label"], Counter()).update(words_of(row["text"]))
+    for label, text in labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows):
+        by_label.setdefault(str(label), Counter()).update(words_of(text))
     languages = sorted(by_label)
     model = fit([by_label[x] for x in languages], unigram_scores(public_file(vocabulary))) if languages else {}
     names, matrix = list(model), np.array(list(model.values()), dtype=np.float64)

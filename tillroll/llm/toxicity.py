@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import text_of, utf8, word_cache
-from tillroll.llm.language_id import labelled_sample
+from tillroll.llm.common import labelled_sample, text_of, utf8, word_cache
 
 SAMPLE_ROWS = 500  # texts of each class to fit on, about
 WINDOW = 8
@@ -160,19 +159,16 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> tuple[np.ndarra
 _WORDS: dict[str, dict] = {}
 
 
-def score_toxicity(docs: DataFrame, train_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", *, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: id, ``score`` (0 to 1, higher: likelier toxic), ``predicted`` (1 from ``threshold``).
 
-    ``train_rows`` has id, text and label (1: toxic, 0: not, null: not learned from); about ``sample_rows`` rows of
-    each label are fitted on. Null and empty texts score as a passage whose words say nothing. With labels of one kind
-    only, every text gets that kind. Labels of ``docs`` are not read. An empty table gives an empty result.
+    ``labels`` has id and label (1: toxic, 0: not, others: not learned from) of rows of ``docs``; the texts of about
+    ``sample_rows`` rows of each label are fitted on. Null and empty texts score as a passage whose words say nothing. With labels of one kind
+    only, every text gets that kind. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    labelled = train_rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"),
-                                 text_of(text_col).alias("text")).where(F.col("label").isin(0, 1))
-    sample = sorted((r["label"], r["text"]) for r in labelled_sample(labelled, "label", sample_rows)
-                    .select("label", "text").collect())
+    sample = labelled_sample(docs, labels.where(F.col(label_col).isin(0, 1)), id_col, text_col, label_col, sample_rows)
     per_bucket, slope, offset = train([t for _, t in sample], [y for y, _ in sample])
     name = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast(per_bucket)  # BUCKETS numbers
