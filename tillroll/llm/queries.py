@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import held_out, materialize, table
 from tillroll.llm.exact_dedup import exact_dedup
+from tillroll.llm.html_template import extract_main_text
 from tillroll.llm.language_id import identify_languages
 from tillroll.llm.merge_codec import decode_documents, encode_documents
 from tillroll.llm.packing import best_fit_packing
 from tillroll.llm.token_counts import token_counts
+from tillroll.llm.quality import resample
 from tillroll.llm.topk import exact_top_k
 from tillroll.llm.toxicity import score_toxicity
 
@@ -26,10 +28,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, quality, toxic of the rows that may be learned from, with their texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels.where(~held_out("doc_id")), "doc_id")
+    """doc_id, quality and toxic of the rows that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", "quality", "toxic")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +38,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_main_text(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), learned_labels(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify_languages(docs, docs.where(~held_out("doc_id")))
+    found = identify_languages(docs, docs.where(~held_out("doc_id")).select("doc_id", "lang"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
@@ -65,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_main_text": op4_main_text,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_importance_resampling": op6_importance_resampling,
     "op7_language_id": op7_language_id,
     "op9_merge_codec": op9_merge_codec,
     "op10_exact_top_k": op10_exact_top_k,
