@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.session import materialize
 
-__all__ = ["HELD_OUT_FOLDS", "held_out", "labelled_sample", "materialize", "public_file", "table", "text_of", "utf8", "word_cache"]
+__all__ = ["HELD_OUT_FOLDS", "carried", "held_out", "labelled_sample", "materialize", "public_file", "table", "text_of", "uncarried", "utf8", "word_cache"]
 
 HELD_OUT_FOLDS = 5  # crc32(doc_id as text) mod 5 = 0 is held out
 
@@ -38,6 +38,16 @@ def public_file(name: str) -> bytes:
         return f.read()
 
 
+def carried(columns: Sequence[str]) -> Column:
+    """Columns that an operator passes on unread, as one struct; see ``uncarried``."""
+    return F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
+
+
+def uncarried(columns: Sequence[str], taken: Sequence[str] = ()) -> list[Column]:
+    """Those columns again, but for names that the result has already."""
+    return [F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns) if c not in taken]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, n: int,
                     seed: int = 0) -> list[tuple[object, str]]:
     """(label, text) of about n rows of each label, or all if it has fewer, chosen by a hash of the id.

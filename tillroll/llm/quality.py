@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import labelled_sample, materialize, text_of, utf8, word_cache
+from tillroll.llm.common import carried, labelled_sample, materialize, text_of, uncarried, utf8, word_cache
 
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 2000  # texts of each label to fit on, about
@@ -86,8 +86,9 @@ def kth_largest(rows: DataFrame, col: str, k: int, cells: int = 4096) -> int | N
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", *, seed: int = 0, sample_rows: int = SAMPLE_ROWS,
-             k: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, ``log_weight``, ``n_ngrams``, ``key`` (log weight plus noise), ``kept``.
+             k: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, ``log_weight``, ``n_ngrams``, ``key`` (log weight plus noise), ``kept``, and
+    the columns ``carry`` (other names than these) as they were.
 
     ``labels`` has id and label (1: target, 0: not, others: not learned from) of rows of ``docs``. Null and empty texts
     have no n-grams and weight 0 (log). Without a target text all weights are 0; without labels of both kinds every
@@ -96,7 +97,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), carried(carry))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
@@ -126,10 +127,11 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             used = [ngram_buckets(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([float(ratio[at].sum()) for at in used], pa.float64()),
-                 pa.array([len(at) for at in used], pa.int64())], ["id", "log_weight", "n_ngrams"])
+                 pa.array([len(at) for at in used], pa.int64()), batch.column("carried")],
+                ["id", "log_weight", "n_ngrams", "carried"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    weighed = rows.mapInArrow(weigh, f"id {kind}, log_weight double, n_ngrams bigint")
+    kind, rest = (rows.schema[c].dataType.simpleString() for c in ("id", "carried"))
+    weighed = rows.mapInArrow(weigh, f"id {kind}, log_weight double, n_ngrams bigint, carried {rest}")
     even = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = materialize(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(even))).withColumn(
         "place", F.floor(F.col("key") * KEY_UNITS)), "quality_keys")
@@ -138,4 +140,5 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     least = kth_largest(keyed, "place", k)
     # fewer documents than k: all stay; k = 0: none does
     kept = F.lit(k > 0) if least is None else F.col("place") >= F.lit(least)
-    return keyed.select(F.col("id").alias(id_col), "log_weight", "n_ngrams", "key", kept.alias("kept"))
+    return keyed.select(F.col("id").alias(id_col), "log_weight", "n_ngrams", "key", kept.alias("kept"),
+                        *uncarried(carry, [id_col]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import held_out, materialize, table
 from tillroll.llm.exact_dedup import exact_dedup
 from tillroll.llm.html_template import extract_main_text
+from tillroll.llm.jaccard_join import jaccard_join
 from tillroll.llm.language_id import identify_languages
 from tillroll.llm.merge_codec import decode_documents, encode_documents
 from tillroll.llm.packing import best_fit_packing
@@ -57,6 +58,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_merge_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of ids, a hash of the ids, and the length and SHA-256 of the text decoded from them."""
     coded = materialize(encode_documents(table(spark, sf_dir, "documents"), seed=20240501, dropout=0.1), "codec_ids")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_merge_codec": op9_merge_codec,
     "op10_exact_top_k": op10_exact_top_k,
 }

@@ -15,14 +15,14 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import labelled_sample, text_of, utf8, word_cache
+from tillroll.llm.common import carried, labelled_sample, text_of, uncarried, utf8, word_cache
 
 SAMPLE_ROWS = 500  # texts of each class to fit on, about
 WINDOW = 8
@@ -160,8 +160,10 @@ _WORDS: dict[str, dict] = {}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic", *, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: id, ``score`` (0 to 1, higher: likelier toxic), ``predicted`` (1 from ``threshold``).
+                   label_col: str = "toxic", *, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5,
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, ``score`` (0 to 1, higher: likelier toxic), ``predicted`` (1 from ``threshold``)
+    and the columns ``carry`` (other names than these) as they were.
 
     ``labels`` has id and label (1: toxic, 0: not, others: not learned from) of rows of ``docs``; the texts of about
     ``sample_rows`` rows of each label are fitted on. Null and empty texts score as a passage whose words say nothing. With labels of one kind
@@ -192,9 +194,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 out.append(slope * float(passage_means(values).max()) + offset)
             probs = 1 / (1 + np.exp(-np.clip(np.array(out), -500, 500)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(probs, pa.float64()),
-                 pa.array((probs >= threshold).astype(np.int32))], ["id", "score", "predicted"])
+                [batch.column("id"), pa.array(probs, pa.float64()), pa.array((probs >= threshold).astype(np.int32)),
+                 batch.column("carried")], ["id", "score", "predicted", "carried"])
 
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), carried(carry))
+    kind, rest = (rows.schema[c].dataType.simpleString() for c in ("id", "carried"))
+    return rows.mapInArrow(score, f"id {kind}, score double, predicted int, carried {rest}").select(
+        F.col("id").alias(id_col), "score", "predicted", *uncarried(carry, [id_col]))
