@@ -1,14 +1,15 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tokens of a page are its elements (by path: tags and classes from the root) and its text nodes (by path and text). The
-occurrence vector of a token counts it on each page of one host. Tokens with the same vector form an equivalence class;
-a class is valid if it has several tokens, on most pages of the host, and each of them the same number of times
-wherever it occurs. A text token of a valid class belongs to the host's template if the element around it does too:
+occurrence vector of a token counts it on each page of one host. Tokens that come the same number of times wherever
+they occur, and whose vectors are the same up to that number, form an equivalence class; a class is valid if it has
+several tokens and is on most pages of the host. A text token of a valid class belongs to the host's template if the element around it does too:
 valid classes nest along the element paths. What the template leaves are slots. The slot region that holds most of the
 host's text is its main region.
 
-Vectors are never built: each page adds a hash of (page, count) to a token's signature by exclusive or, so classes come
-from partial aggregations by (host, token), and the page side of the last join is a plain equi-join on the host.
+Vectors are never built: each page adds its hash to a token's signature by exclusive or, and the least and the largest
+count are kept, so classes come from partial aggregations by (host, token), and the page side of the last join is a
+plain equi-join on the host.
 
 The text of a page is that of its slots inside its article (the ``article`` or ``main`` element or, if it has none, the
 host's main region), without menus, headers, footers, sidebars, notices, adverts, forms and comments, which are known
@@ -226,11 +227,8 @@ def host_templates(rows: DataFrame) -> DataFrame:
                     while path:
                         chars[path, 0] = chars.get((path, 0), 0) + size
                         path = path.rpartition("/")[0]
-                marks: dict[int, int] = {}
+                mark = _hash(key)
                 for (path, token), k in counts.items():
-                    mark = marks.get(k)
-                    if mark is None:
-                        mark = marks[k] = _hash(key, k)
                     size = chars.get((path, token), 0)
                     old = seen.get((host, path, token))
                     if old is None:
@@ -249,7 +247,6 @@ def host_templates(rows: DataFrame) -> DataFrame:
         "host", F.col("pages").alias("of_host"), F.col("chars").alias("host_chars"))
     common = found.where(F.col("pages") >= LEAST_PAGES).join(whole, "host").where(
         (F.col("pages") >= LEAST_SHARE * F.col("of_host")) & (F.col("path") != ""))
-    # tokens of a class share their vector, hence their pages; each must be as frequent wherever it occurs
     classes = common.where(F.col("least") == F.col("most")).groupBy("host", "vector", "pages").agg(
         F.count(F.lit(1)).alias("size"),
         F.collect_set(F.when(F.col("token") == 0, F.col("path"))).alias("elements"),
@@ -260,8 +257,9 @@ def host_templates(rows: DataFrame) -> DataFrame:
                                          F.flatten(F.collect_list("texts")).alias("texts")).select(
         "host", F.expr("transform(filter(texts, t -> array_contains(elements, t.path)), t -> t.token)").alias("template"))
     depth = F.size(F.split("path", "/"))
-    region = common.where((F.col("token") == 0) & (F.col("chars") >= 0.5 * F.col("host_chars")) & (
-        F.col("chars") > 0)).groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("region"))
+    name = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1)
+    holds = (F.col("token") == 0) & ~name.isin(*RUNNING, *INLINE)  # elements that hold blocks, not running text
+    region = common.where(holds & (F.col("chars") >= 0.5 * F.col("host_chars")) & (F.col("chars") > 0)).groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("region"))
     return nested.join(region, "host", "full")
 
 
