@@ -1,103 +1,51 @@
 """Basket analysis: co-purchased pairs (O11) and association rules (O12).
 
-A pair (A, B), A < B, counts the baskets that hold both. Two exact methods:
-
-* ``"mask"`` (chosen by ``"auto"`` when the catalogue has at most 63 items,
-  checked with one count of the distinct items; given explicitly, a larger
-  catalogue fails the job rather than giving wrong counts): every item gets a bit, and
-  each basket becomes the ``bit_or`` of its items' bits -- one aggregation by
-  basket, partially aggregated before its shuffle, so repeated rows and hot
-  baskets collapse map-side. Baskets are then counted per distinct mask (a
-  small table: at most 2**items rows, usually far fewer), and pairs, per-item
-  counts and the basket total are all read from that table, each mask
-  expanded once and weighted by its basket count. No pair is ever emitted per
-  basket.
-* ``"join"`` (larger catalogues): baskets are reduced to distinct (basket,
-  item) rows (deduplicated map-side), then joined with themselves on the basket
-  with ``a.item < b.item``. A basket with d distinct items yields d(d-1)/2
-  rows, each a distinct pair of that basket; adaptive execution splits a
-  skewed basket across tasks.
+A pair (A, B), A < B, counts the baskets that hold both. One exact method for
+every catalogue size: each basket becomes its set of distinct items, baskets
+are counted per distinct set, and pairs, per-item counts and the basket total
+all come from that table, each set expanded once and weighted by its count. So
+repeated rows collapse before their shuffle, baskets that hold the same items
+are paired once, and the input is read once. Sets expand by a join of their
+(set, item) rows on the set, so that adaptive execution can split a set with
+very many items across tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: item bits must fit a signed 64-bit mask.
-MASK_ITEMS = 63
 
+def basket_sets(tx: DataFrame, basket: str = "order_id", item: str = "coffee_name") -> DataFrame:
+    """``__set`` (id), ``__items`` (distinct items, in order), ``__baskets`` (how many baskets hold just these).
 
-def basket_items(tx: DataFrame, basket: str = "order_id", item: str = "coffee_name") -> DataFrame:
-    """Distinct (basket, item) rows of baskets with an id; the item may be NULL
-    (such rows count the basket but never pair)."""
-    return (tx.select(F.col(basket).alias("__basket"), F.col(item).alias("__item"))
-              .filter(F.col("__basket").isNotNull())
-              .distinct())
-
-
-def _catalog(tx: DataFrame, item: str) -> DataFrame:
-    return tx.select(F.col(item).alias("__item")).filter(F.col("__item").isNotNull()).distinct()
-
-
-def _method(method: str, catalog: DataFrame) -> str:
-    """``"mask"`` and ``"join"`` as given; ``"auto"`` counts the catalogue (one
-    small job) and picks ``"mask"`` when it fits."""
-    if method in ("mask", "join"):
-        return method
-    if method != "auto":
-        raise ValueError(f"method must be 'auto', 'mask' or 'join', not {method!r}")
-    return "mask" if catalog.count() <= MASK_ITEMS else "join"
-
-
-def _mask_table(tx: DataFrame, basket: str, item: str, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(indexed catalogue, baskets per distinct mask). The catalogue index
-    follows the item order, so bit order is item order."""
-    rank = (F.dense_rank().over(Window.orderBy("__item")) - 1).cast("int")
-    # a catalogue too large for the mask fails the job instead of wrapping bits
-    indexed = catalog.withColumn("__ix", F.when(rank < MASK_ITEMS, rank).otherwise(F.raise_error(F.lit(
-        f"more than {MASK_ITEMS} distinct items do not fit a basket mask; use method='join'")).cast("int")))
+    Baskets without an id are left out; items that are NULL count for the
+    basket but never pair, so a basket of them only is the empty set. The id
+    is a SHA-256 of the items.
+    """
     rows = (tx.select(F.col(basket).alias("__basket"), F.col(item).alias("__item"))
-              .filter(F.col("__basket").isNotNull())
-              .join(F.broadcast(indexed), on="__item", how="left"))   # catalogue size bounded: <= 63 rows
-    bit = F.coalesce(F.expr("shiftleft(1L, __ix)"), F.lit(0).cast("long"))
-    per_basket = rows.groupBy("__basket").agg(F.bit_or(bit).alias("__mask"))
-    masks = per_basket.groupBy("__mask").agg(F.count(F.lit(1)).alias("__baskets"))
-    return indexed, masks
-
+              .filter(F.col("__basket").isNotNull()))
+    per = rows.groupBy("__basket").agg(F.sort_array(F.collect_set("__item")).alias("__items"))
+    sets = per.groupBy("__items").agg(F.count(F.lit(1)).alias("__baskets"))
+    return sets.select(F.sha2(F.to_json(F.struct("__items")), 256).alias("__set"), "__items", "__baskets")
 
-def _mask_bits(masks: DataFrame) -> DataFrame:
-    return masks.select("__baskets", F.expr(
-        f"filter(sequence(0, {MASK_ITEMS - 1}), i -> (shiftright(__mask, i) & 1L) = 1L)").alias("__bits"))
 
+def _set_items(sets: DataFrame) -> DataFrame:
+    return sets.select("__set", "__baskets", F.explode("__items").alias("__item"))
 
-def _named(df: DataFrame, indexed: DataFrame, ix: str, name: str) -> DataFrame:
-    return df.join(F.broadcast(indexed.select(F.col("__ix").alias(ix), F.col("__item").alias(name))), on=ix)
 
-
-def _mask_pairs(masks: DataFrame, indexed: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
-    bits = _mask_bits(masks)
-    pairs = (bits.select("__baskets", "__bits", F.explode("__bits").alias("__ia"))
-                 .select("__baskets", "__ia", F.explode("__bits").alias("__ib"))
-                 .filter(F.col("__ia") < F.col("__ib"))
-                 .groupBy("__ia", "__ib").agg(F.sum("__baskets").alias(count_name)))
-    return _named(_named(pairs, indexed, "__ia", a), indexed, "__ib", b).select(a, b, count_name)
-
-
-def _mask_items(masks: DataFrame, indexed: DataFrame) -> DataFrame:
-    per = (_mask_bits(masks).select("__baskets", F.explode("__bits").alias("__ix"))
-                            .groupBy("__ix").agg(F.sum("__baskets").alias("__n")))
-    return _named(per, indexed, "__ix", "__item").select("__item", "__n")
-
-
-def _join_pairs(items: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
-    named = items.filter(F.col("__item").isNotNull())
-    left = named.select("__basket", F.col("__item").alias(a))
-    right = named.select("__basket", F.col("__item").alias(b))
-    return (left.join(right, on="__basket", how="inner")
+def _pairs(sets: DataFrame, a: str, b: str, count_name: str) -> DataFrame:
+    rows = _set_items(sets)
+    left = rows.select("__set", "__baskets", F.col("__item").alias(a))
+    right = rows.select("__set", F.col("__item").alias(b))
+    return (left.join(right, on="__set", how="inner")
                 .filter(F.col(a) < F.col(b))
                 .groupBy(a, b)
-                .agg(F.count(F.lit(1)).alias(count_name)))
+                .agg(F.sum("__baskets").alias(count_name)))
+
+
+def _top(out: DataFrame, k: int | None, count_name: str, a: str, b: str) -> DataFrame:
+    return out if k is None else out.orderBy(F.desc(count_name), F.asc(a), F.asc(b)).limit(k)
 
 
 def pair_counts(
@@ -107,20 +55,11 @@ def pair_counts(
     k: int | None = 10,
     names: tuple[str, str] = ("product_a", "product_b"),
     count_name: str = "co_occurrence_count",
-    method: str = "auto",
 ) -> DataFrame:
     """Pairs of items bought in the same basket, most frequent first (top ``k``,
     ties broken by the item names)."""
     a, b = names
-    catalog = _catalog(tx, item)
-    if _method(method, catalog) == "mask":
-        indexed, masks = _mask_table(tx, basket, item, catalog)
-        out = _mask_pairs(masks, indexed, a, b, count_name)
-    else:
-        out = _join_pairs(basket_items(tx, basket, item), a, b, count_name)
-    if k is None:
-        return out
-    return out.orderBy(F.desc(count_name), F.asc(a), F.asc(b)).limit(k)
+    return _top(_pairs(basket_sets(tx, basket, item), a, b, count_name), k, count_name, a, b)
 
 
 def pair_rules(
@@ -130,30 +69,21 @@ def pair_rules(
     k: int | None = 10,
     names: tuple[str, str] = ("coffee_a", "coffee_b"),
     count_name: str = "co_occurrence_count",
-    method: str = "auto",
 ) -> DataFrame:
     """Support, confidence both ways and lift of every pair, top ``k`` by pair count.
 
     N = distinct baskets; n(A) = baskets holding A. support = n(AB)/N,
     confidence A->B = n(AB)/n(A), B->A = n(AB)/n(B),
     lift = support / ((n(A)/N) * (n(B)/N)). N is a one-row scalar subquery
-    over the mask table (or the distinct basket-item set, whose shuffle the
-    pairs already produced); the per-item counts have one row per item.
+    over the sets; the per-item counts have one row per item.
     """
     a, b = names
-    catalog = _catalog(tx, item)
-    if _method(method, catalog) == "mask":
-        indexed, masks = _mask_table(tx, basket, item, catalog)
-        pairs = _mask_pairs(masks, indexed, a, b, count_name)
-        per_item = _mask_items(masks, indexed)
-        total = masks.agg(F.sum("__baskets")).scalar()
-    else:
-        items = basket_items(tx, basket, item)
-        pairs = _join_pairs(items, a, b, count_name)
-        per_item = items.filter(F.col("__item").isNotNull()).groupBy("__item").agg(F.count(F.lit(1)).alias("__n"))
-        total = items.agg(F.countDistinct("__basket")).scalar()
+    sets = basket_sets(tx, basket, item)
+    pairs = _pairs(sets, a, b, count_name)
+    per_item = _set_items(sets).groupBy("__item").agg(F.sum("__baskets").alias("__n"))
     na = per_item.select(F.col("__item").alias(a), F.col("__n").alias("__na"))
     nb = per_item.select(F.col("__item").alias(b), F.col("__n").alias("__nb"))
+    total = sets.agg(F.sum("__baskets")).scalar()
     j = pairs.join(na, on=a, how="inner").join(nb, on=b, how="inner").withColumn("__total", total)
     ab, cnt_a, cnt_b, total = F.col(count_name), F.col("__na"), F.col("__nb"), F.col("__total")
     out = j.select(
@@ -163,6 +93,4 @@ def pair_rules(
         (ab / cnt_b).alias("Confidence_B_to_A"),
         ((ab / total) / ((cnt_a / total) * (cnt_b / total))).alias("Lift"),
     )
-    if k is None:
-        return out
-    return out.orderBy(F.desc(count_name), F.asc(a), F.asc(b)).limit(k)
+    return _top(out, k, count_name, a, b)
