@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tillroll.operators.basket import pair_counts, pair_rules
 from tillroll.operators.customers import retention, rfm
 from tillroll.operators.kpi import kpi_by, seasonality
+from tillroll.operators.pricing import price_range
 from tillroll.operators.quality import check_rules, numeric_describe, profile, value_counts
 from tillroll.operators.trends import deviation, growth
 
@@ -31,19 +32,18 @@ def _tx(spark, rows):
     return spark.createDataFrame(full, TX)
 
 
-@pytest.mark.parametrize("method", ["mask", "join"])
-def test_pairs_ignore_repeats_and_break_ties_by_name(spark, method):
+def test_pairs_ignore_repeats_and_break_ties_by_name(spark):
     d = dt.date(2024, 3, 1)
     tx = _tx(spark, [
         ("o1", "Latte", "c", d, 1.0, 3, 3.0), ("o1", "Latte", "c", d, 1.0, 3, 3.0), ("o1", "Mocha", "c", d, 1.0, 3, 3.0),
         ("o2", "Americano", "c", d, 1.0, 2, 2.0), ("o2", "Latte", "c", d, 1.0, 2, 2.0),
         ("o3", "Espresso", "c", d, 1.0, 1, 1.0), ("o4", "Espresso", "c", d, 1.0, 1, 1.0),
     ])
-    got = [tuple(r) for r in pair_counts(tx, k=1, method=method).collect()]
+    got = [tuple(r) for r in pair_counts(tx, k=1).collect()]
     assert got == [("Americano", "Latte", 1)]
-    allp = sorted(tuple(r) for r in pair_counts(tx, k=None, method=method).collect())
+    allp = sorted(tuple(r) for r in pair_counts(tx, k=None).collect())
     assert allp == [("Americano", "Latte", 1), ("Latte", "Mocha", 1)]
-    rules = {(r.coffee_a, r.coffee_b): r for r in pair_rules(tx, k=None, method=method).collect()}
+    rules = {(r.coffee_a, r.coffee_b): r for r in pair_rules(tx, k=None).collect()}
     r = rules[("Latte", "Mocha")]
     assert r.Support_AB == 1 / 4 and r.Confidence_A_to_B == 1 / 2 and r.Confidence_B_to_A == 1.0
     assert abs(r.Lift - (1 / 4) / ((2 / 4) * (1 / 4))) < 1e-12
@@ -119,45 +119,127 @@ def test_golden_formulas(spark):
 
     Monthly totals (orders, revenue) -> growth; retention counts -> rate; pair and item counts -> rules.
     """
-    months = spark.createDataFrame(
-        [("2024-03", 172, 7050.20), ("2024-04", 156, 6720.56), ("2024-05", 212, 9063.42), ("2024-06", 176, 7758.76)],
-        "m string, o long, r double")
-    from tillroll.functions.money import round_ratio, to_cents
-    from pyspark.sql import Window
-    w = Window.orderBy("m")
-    c = to_cents("r")
-    g = months.select("m", round_ratio(F.col("o") - F.lag("o").over(w), F.lag("o").over(w), 4).alias("og"),
-                      round_ratio(c - F.lag(c).over(w), F.lag(c).over(w), 4).alias("rg")).collect()
-    assert [(r.og, r.rg) for r in g] == [(None, None), (-0.093, -0.0468), (0.359, 0.3486), (-0.1698, -0.1439)]
-    crr = spark.createDataFrame([(16, 89), (19, 69), (23, 127), (29, 110)], "r long, s long")
-    rates = [r[0] for r in crr.select(round_ratio(F.col("r") * 100, F.col("s"), 2)).collect()]
-    assert rates == [17.98, 27.54, 18.11, 26.36]
-    # pair rules from N = 2984 orders and item counts
-    n, na, nb, nab = 2984, 752, 732, 36   # Americano with Milk, Latte
-    assert abs(nab / n - 0.012064343163538873) < 1e-15
-    assert abs(nab / na - 0.047872340425531915) < 1e-15
-    assert abs(nab / nb - 0.049180327868852458) < 1e-15
-    assert abs((nab / n) / ((na / n) * (nb / n)) - 0.19515172654342519) < 1e-12
-
-
-def test_pair_methods_agree_on_test_data(spark):
-    from tillroll.plans.catalog import SOURCES
-    for src, basket, item in [("tx", "order_id", "coffee_name"), ("brand_lines", "l_orderkey", "p_brand")]:
-        base = SOURCES[src](spark, "/root/testdata/sf0.001")
-        for fn in (pair_counts, pair_rules):
-            m = fn(base, basket=basket, item=item, k=None, method="mask")
-            j = fn(base, basket=basket, item=item, k=None, method="join")
-            assert m.exceptAll(j).count() == 0 and j.exceptAll(m).count() == 0
-
-
-def test_large_catalogue_uses_join(spark):
-    rows = [(b, f"item{(b * 3 + i) % 100:03d}") for b in range(40) for i in range(3)]  # 100 items
+    import datetime as dt
+    months = [(2024, 3, 172, 7050.20), (2024, 4, 156, 6720.56), (2024, 5, 212, 9063.42), (2024, 6, 176, 7758.76)]
+    rows = [(f"{m}-{i}", dt.datetime(y, m, 1 + i % 28), revenue if i == 0 else 0.0)
+            for y, m, orders, revenue in months for i in range(orders)]
+    tx = spark.createDataFrame(rows, "order_id string, datetime timestamp_ntz, money double")
+    got = growth(tx, period="month").collect()
+    assert [(r.sales_month, r.monthly_orders, r.monthly_revenue) for r in got] == [(f"{y}-{m:02d}", o, r) for y, m, o, r in months]
+    assert [(r.orders_growth_mom, r.revenue_growth_mom) for r in got] == [
+        (None, None), (-0.093, -0.0468), (0.359, 0.3486), (-0.1698, -0.1439)]
+    for retained, base, rate in [(16, 89, 17.98), (19, 69, 27.54), (23, 127, 18.11), (29, 110, 26.36)]:
+        visits = [(f"c{i}", dt.date(2024, 4, 1)) for i in range(base)] + [(f"c{i}", dt.date(2024, 5, 3)) for i in range(retained)]
+        one, = retention(spark.createDataFrame(visits, "card string, date date")).collect()
+        assert (one.start_period_customers, one.retained_customers, one.monthly_retention_rate) == (base, retained, rate)
+    n, na, nb, nab = 2984, 752, 732, 36   # orders, with Americano with Milk, with Latte, with both
+    items = [(i, "Americano with Milk") for i in range(na)] + [(i, "Latte") for i in range(na - nab, na - nab + nb)]
+    items += [(i, "Cocoa") for i in range(na + nb - nab, n)]
+    one, = pair_rules(spark.createDataFrame(items, "order_id long, coffee_name string")).collect()
+    assert (one.coffee_a, one.coffee_b, one.co_occurrence_count) == ("Americano with Milk", "Latte", nab)
+    assert abs(one.Support_AB - 0.012064343163538873) < 1e-15
+    assert abs(one.Confidence_A_to_B - 0.047872340425531915) < 1e-15
+    assert abs(one.Confidence_B_to_A - 0.049180327868852458) < 1e-15
+    assert abs(one.Lift - 0.19515172654342519) < 1e-12
+
+
+def _pairs_by_hand(rows):
+    baskets = {}
+    for b, i in rows:
+        if b is not None:
+            baskets.setdefault(b, set()).update([i] if i is not None else [])
+    out = {}
+    for items in baskets.values():
+        for x in items:
+            for y in items:
+                if x < y:
+                    out[x, y] = out.get((x, y), 0) + 1
+    return out
+
+
+def test_pairs_of_a_large_catalogue_and_a_large_basket(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(b, f"item{rng.randrange(5000):04d}") for b in range(400) for _ in range(4)]
+    rows += [(1000, f"item{i:04d}") for i in range(0, 5000, 25)] * 2        # one basket with 200 items, twice
+    rows += [(None, "item0001"), (1001, None), (1002, None), (1002, "item0001")]
     tx = spark.createDataFrame(rows, "order_id long, coffee_name string")
-    auto = pair_counts(tx, k=None)
-    join = pair_counts(tx, k=None, method="join")
-    assert auto.exceptAll(join).count() == 0 and join.exceptAll(auto).count() == 0
-    with pytest.raises(Exception, match="do not fit a basket mask"):
-        pair_counts(tx, method="mask").collect()
+    got = {(r.product_a, r.product_b): r.co_occurrence_count for r in pair_counts(tx, k=None).collect()}
+    assert got == _pairs_by_hand(rows)
+    one = pair_rules(tx, k=1).first()
+    assert abs(one.Support_AB - one.co_occurrence_count / 403) < 1e-15
+    plan = pair_counts(tx, k=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mask" not in plan
+
+
+def test_money_beyond_64_bits(spark):
+    """Totals of 1e17 cents, an order total repeated on very many rows, and amounts with three decimals."""
+    import datetime as dt
+    rows = [("a", dt.datetime(2024, 3, 1), 4.0e15), ("b", dt.datetime(2024, 4, 1), 9.0e15), ("c", dt.datetime(2024, 4, 2), 1.0)]
+    tx = spark.createDataFrame(rows, "order_id string, datetime timestamp_ntz, money double")
+    got = growth(tx, period="month").collect()
+    assert [(r.monthly_revenue, r.revenue_growth_mom) for r in got] == [(4.0e15, None), (9.0e15 + 1, 1.25)]
+    big = spark.range(100_000).select(F.lit("o").alias("order_id"), F.lit(9.0e15).alias("total_value_of_order"),
+                                      F.lit(100_000).alias("total_products_in_order"), F.lit(1.0).alias("money"),
+                                      F.lit("x").alias("d"))
+    one, = kpi_by(big, ["d"]).collect()
+    assert one.total_revenue == 9.0e20 and one.average_order_value == 9.0e15 and one.units_per_transaction == 100_000
+    fine = spark.createDataFrame([("x", 0.001), ("x", 0.004)], "coffee_name string, money double")
+    one, = price_range(fine, ["coffee_name"], avg_name="m", money_scale=3).collect()
+    assert one.m == 0.0  # 0.0025, to two places
+    one, = kpi_by(fine.withColumn("order_id", F.lit("o")), ["coffee_name"], grain="order", money_scale=3).collect()
+    assert one.total_revenue == 0.005
+
+
+def test_deviation_keeps_rows_in_place(spark):
+    """Without static broadcasts the day table is still sent to the rows: no exchange of rows by day."""
+    import datetime as dt
+    rows = [(f"o{i}", dt.datetime(2024, 3, 1 + i % 20), float(i)) for i in range(200)]
+    tx = spark.createDataFrame(rows, "order_id string, datetime timestamp_ntz, total_value_of_order double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = deviation(tx)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+ORDERED = {  # query: columns in the order the original sorts by; a minus sign: descending
+    "value_counts_hour": ["hour_of_day"], "value_counts_payment": ["cash_type"],
+    "value_counts_product": ["-total_transactions"], "value_counts_daypart": ["Time_of_Day"],
+    "daypart_hour_crosstab": ["hour_of_day", "Time_of_Day"], "value_counts_weekday": ["Weekday"],
+    "value_counts_month": ["Month_name"], "value_counts_weekdaysort": ["Weekdaysort"],
+    "value_counts_monthsort": ["Monthsort"], "hour_crosstab": ["hour", "hour_of_day"],
+    "price_by_month_weekday": ["coffee_name", "Monthsort", "Weekdaysort"], "price_by_hour": ["coffee_name", "hour_of_day"],
+    "price_by_daypart": ["coffee_name", "Time_of_Day", "-total_sales"], "price_by_payment": ["coffee_name", "cash_type"],
+    "price_april_card": ["coffee_name", "cash_type", "Monthsort"], "orders_sessionized_debug": ["datetime"],
+    "kpi_cube": ["Monthsort", "Weekdaysort", "hour_of_day"], "rfm": ["-M_lifetime_value"],
+    "retention_month": ["period_month"], "retention_quarter": ["period_quarter"], "growth_month": ["sales_month"],
+    "growth_quarter": ["sales_quarter"], "season_weekday_by_orders": ["-total_orders"],
+    "season_weekday_by_revenue": ["-total_revenue"], "season_weekday_hour": ["Weekdaysort", "hour_of_day"],
+    "season_one_weekday": ["hour_of_day"], "season_daypart": ["Time_of_Day"], "value_counts_money": ["money"],
+    "value_counts_card": ["-count"], "notebook_counts_hour": ["hour_of_day"], "notebook_counts_product": ["-count"],
+    "notebook_counts_daypart": ["-count"], "notebook_counts_weekday": ["-count"], "notebook_counts_month": ["-count"],
+    "notebook_counts_weekdaysort": ["Weekdaysort"], "notebook_counts_monthsort": ["Monthsort"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_result_order(spark, name):
+    from tillroll.plans.catalog import QUERIES
+    rows = [r.asDict() for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
+    wanted = rows
+    for key in reversed(ORDERED[name]):
+        wanted = sorted(wanted, key=lambda r: (r[key.lstrip("-")] is not None, r[key.lstrip("-")]), reverse=key[0] == "-")
+    keys = [k.lstrip("-") for k in ORDERED[name]]
+    assert len(rows) > 1 and [[r[k] for k in keys] for r in rows] == [[r[k] for k in keys] for r in wanted]
+
+
+def test_own_mode_counts_with_nulls(spark):
+    df = spark.createDataFrame([(3,), (None,), (1,), (None,), (None,), (1,)], "h int")
+    assert [tuple(r) for r in value_counts(df, "h", mode="dropna").collect()] == [(1, 2), (3, 1)]
+    assert [tuple(r) for r in value_counts(df, "h", mode="keepna", by_count=True).collect()] == [(None, 3), (1, 2), (3, 1)]
 
 
 def test_profile_long_table(spark):

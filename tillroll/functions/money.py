@@ -1,8 +1,10 @@
 """Money columns and exact ratio arithmetic.
 
-Amounts are carried as integer cents for aggregation: sums are then exact and
-independent of partitioning and summation order (a double sum is not), and the
-result is turned back into a double only at the end.
+Amounts are carried as whole minor units (cents at the default scale) in
+``decimal(28,0)``, whose sums are ``decimal(38,0)``: exact, independent of
+partitioning and summation order (a double sum is not), and wide enough for an
+order total that very many item rows repeat. The result is turned back into a
+double only at the end.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: prices are stated to two decimal places.
 MONEY_SCALE = 2
-_UNIT = 10**MONEY_SCALE
+WHOLE = "decimal(38,0)"
 
 
 def parse_money(col: Column | str, prefix: str = "R", decimal_mark: str = ",", strict: bool = True) -> Column:
@@ -26,20 +28,20 @@ def parse_money(col: Column | str, prefix: str = "R", decimal_mark: str = ",", s
     return text.cast("double") if strict else text.try_cast("double")
 
 
-def to_cents(col: Column | str) -> Column:
-    """Amount -> whole cents (bigint), rounding away the binary noise of the double."""
+def to_cents(col: Column | str, scale: int = MONEY_SCALE) -> Column:
+    """Amount -> whole units of 10**-scale (``decimal(28,0)``), rounding away the binary noise of the double."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c * _UNIT).cast("long")
+    return F.round(c * 10**scale).cast("decimal(28,0)")
 
 
-def cents_to_amount(cents: Column) -> Column:
-    """Whole cents -> amount (double); one correctly rounded division."""
-    return cents / F.lit(_UNIT)
+def cents_to_amount(cents: Column, scale: int = MONEY_SCALE) -> Column:
+    """Whole units -> amount (double); one correctly rounded division."""
+    return cents.cast("double") / F.lit(10**scale)
 
 
-def mean_amount(cents_sum: Column, n: Column) -> Column:
-    """Mean amount from an exact cents sum and a row count (double)."""
-    return cents_sum / (n * F.lit(_UNIT))
+def mean_amount(cents_sum: Column, n: Column, scale: int = MONEY_SCALE) -> Column:
+    """Mean amount from an exact sum of whole units and a row count (double)."""
+    return cents_sum.cast("double") / (n * F.lit(10**scale))
 
 
 def small_floor_div(n: Column, d: Column | int) -> Column:
@@ -53,28 +55,27 @@ def small_floor_div(n: Column, d: Column | int) -> Column:
 
 
 def floor_div(n: Column, d: Column) -> Column:
-    """Exact floor(n / d) for any bigint n and 0 < d < 2**50.
+    """Exact floor(n / d) for whole n and d >= 1 of up to 32 digits (``decimal(38,0)``).
 
-    The double quotient q0 is off by at most a few hundred units; the
-    remainder n - q0*d is exact in bigint arithmetic and small enough that its
-    own floor division by d is exact, which corrects q0.
+    n less its remainder is a multiple of d, so the decimal division is exact.
     """
-    q0 = F.floor(n / d)
-    r = n - q0 * d
-    return q0 + F.floor(r / d)
+    whole = n.cast(WHOLE)
+    return ((whole - F.pmod(whole, d.cast(WHOLE))) / d.cast(WHOLE)).cast(WHOLE)
 
 
 def round_ratio(num: Column, den: Column, places: int) -> Column:
     """num / den rounded half away from zero to ``places`` decimals, exactly.
 
-    ``num`` and ``den`` are integers (counts, cents). Rounding happens on the
-    exact rational, not on a double, so the result does not depend on how a
-    binary fraction happens to fall. NULL when ``den`` is 0 or either side is NULL.
+    ``num`` and ``den`` are whole numbers (counts, cents) of up to 32 digits.
+    Rounding happens on the exact rational, not on a double, so the result does
+    not depend on how a binary fraction happens to fall. NULL when ``den`` is 0
+    or either side is NULL.
     """
     scale = 10**places
-    an = F.abs(num.cast("long"))
-    ad = F.abs(den.cast("long"))
-    k = floor_div(an * F.lit(2 * scale) + ad, ad * F.lit(2))
+    an = F.abs(num.cast(WHOLE))
+    ad = F.abs(den.cast(WHOLE))
+    # a zero divisor must not be reached: ANSI division raises before the outer condition is looked at
+    double = F.when(ad > 0, ad * F.lit(2))
+    k = floor_div(an * F.lit(2 * scale) + ad, double).cast("double")
     negative = (num < 0) != (den < 0)
-    signed = F.when(negative & (num != 0), -k).otherwise(k)
-    return F.when(den != 0, signed / F.lit(scale))
+    return F.when(den != 0, F.when(negative & (num != 0), -k).otherwise(k) / F.lit(scale))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.keys import period_key, period_months, period_start
-from tillroll.functions.money import cents_to_amount, mean_amount, round_ratio, to_cents
+from tillroll.functions.money import MONEY_SCALE, cents_to_amount, mean_amount, round_ratio, to_cents
 
 
 def rfm(
@@ -23,6 +23,7 @@ def rfm(
     grain: str = "item",
     customer_type: str = "CARD",
     customer_name: str = "card",
+    money_scale: int = MONEY_SCALE,
 ) -> DataFrame:
     """Recency, frequency, monetary value per identified customer, largest value first.
 
@@ -33,17 +34,17 @@ def rfm(
     repeated order totals. ``grain="order"``: value = sum of item prices,
     averages per order.
     """
-    # One aggregation over all rows, unidentified customers (NULL) included;
-    # the last day of the table is then the max over that small result, and the
-    # scalar subquery reuses its shuffle instead of scanning the rows again.
+    # One aggregation over all rows, unidentified customers (NULL) included. The
+    # last day of the table is a scalar subquery over it; column pruning leaves
+    # that one its date column only, so it reads that column a second time.
     per = tx.groupBy(customer).agg(
         F.max(F.to_date(ts)).alias("__last"),
         F.countDistinct(order_id).alias("F_total_orders"),
-        F.sum(to_cents(value_col)).alias("__vc"),
+        F.sum(to_cents(value_col, money_scale)).alias("__vc"),
         F.count(value_col).alias("__vn"),
         F.sum(items_col).alias("__items"),
         F.count(items_col).alias("__in"),
-        F.sum(to_cents(money)).alias("__mc"),
+        F.sum(to_cents(money, money_scale)).alias("__mc"),
         F.count(F.lit(1)).alias("__rows"),
     )
     last_day = per.agg(F.max("__last")).scalar()
@@ -51,11 +52,11 @@ def rfm(
     if grain == "item":
         m = F.col("__vc")
         upt = F.col("__items") / F.col("__in")
-        aov = mean_amount(F.col("__vc"), F.col("__vn"))
+        aov = mean_amount(F.col("__vc"), F.col("__vn"), money_scale)
     elif grain == "order":
         m = F.col("__mc")
         upt = F.col("__rows") / F.col("F_total_orders")
-        aov = mean_amount(F.col("__mc"), F.col("F_total_orders"))
+        aov = mean_amount(F.col("__mc"), F.col("F_total_orders"), money_scale)
     else:
         raise ValueError(f"grain must be 'item' or 'order', not {grain!r}")
     return per.select(
@@ -63,7 +64,7 @@ def rfm(
         F.lit(customer_type).alias("customer_type"),
         F.datediff(last_day, F.col("__last")).cast("long").alias("R_recency_days_since_last_purchase"),
         "F_total_orders",
-        cents_to_amount(m).alias("M_lifetime_value"),
+        cents_to_amount(m, money_scale).alias("M_lifetime_value"),
         upt.alias("avg_products_per_order_per_customer"),
         aov.alias("avg_order_value_per_customer"),
     ).orderBy(F.desc("M_lifetime_value"))
@@ -108,4 +109,5 @@ def retention(
         "retained_customers",
     )
     return (out.filter(F.col("start_period_customers").isNotNull())
-               .withColumn(names[1], round_ratio(F.col("retained_customers") * 100, F.col("start_period_customers"), 2)))
+               .withColumn(names[1], round_ratio(F.col("retained_customers") * 100, F.col("start_period_customers"), 2))
+               .orderBy(names[0]))

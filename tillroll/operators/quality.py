@@ -135,27 +135,32 @@ def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, i
     return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("__m")).select("__m.*")
 
 
-def value_counts(df: DataFrame, column: str, mode: str = "sql", count_name: str = "count") -> DataFrame:
-    """Rows per value of ``column``.
+def value_counts(df: DataFrame, column: str, mode: str = "sql", count_name: str = "count",
+                 by_count: bool = False) -> DataFrame:
+    """Rows per value of ``column``, in order of value or, ``by_count``, most frequent first (ties by value).
 
     ``mode="sql"``: ``GROUP BY column`` with ``COUNT(column)``, so a NULL group
     shows 0. ``"dropna"``: NULLs left out. ``"keepna"``: NULL is a value with its
     row count.
     """
     if mode == "sql":
-        return df.groupBy(column).agg(F.count(column).alias(count_name))
-    if mode == "dropna":
-        return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(count_name))
-    if mode == "keepna":
-        return df.groupBy(column).agg(F.count(F.lit(1)).alias(count_name))
-    raise ValueError(f"mode must be 'sql', 'dropna' or 'keepna', not {mode!r}")
+        out = df.groupBy(column).agg(F.count(column).alias(count_name))
+    elif mode == "dropna":
+        out = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(count_name))
+    elif mode == "keepna":
+        out = df.groupBy(column).agg(F.count(F.lit(1)).alias(count_name))
+    else:
+        raise ValueError(f"mode must be 'sql', 'dropna' or 'keepna', not {mode!r}")
+    return out.orderBy(F.desc(count_name), F.asc(column)) if by_count else out.orderBy(column)
 
 
 def crosstab(df: DataFrame, first: str | Column, second: str | Column, count_of: str | None = None,
-             count_name: str = "total_count") -> DataFrame:
-    """Long-form two-way table: rows per (first, second); counts ``count_of`` when given."""
+             count_name: str = "total_count", order_by: list[str] | None = None) -> DataFrame:
+    """Long-form two-way table: rows per (first, second); counts ``count_of`` when
+    given; in order of ``order_by`` (default: first, second)."""
     n = F.count(F.lit(1)) if count_of is None else F.count(count_of)
-    return df.groupBy(first, second).agg(n.alias(count_name))
+    out = df.groupBy(first, second).agg(n.alias(count_name))
+    return out.orderBy(*(order_by or out.columns[:2]))
 
 
 def functional_dependency(df: DataFrame, determinant: str, dependent: str,

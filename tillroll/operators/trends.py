@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.keys import period_key
-from tillroll.functions.money import cents_to_amount, round_ratio, to_cents
+from tillroll.functions.money import MONEY_SCALE, cents_to_amount, round_ratio, to_cents
 
 _GROWTH_NAMES = {
     "month": ("sales_month", "monthly_orders", "monthly_revenue", "orders_growth_mom", "revenue_growth_mom"),
@@ -33,8 +33,9 @@ def growth(
     drop_first: bool = False,
     ts: str = "datetime",
     order_id: str = "order_id",
+    money_scale: int = MONEY_SCALE,
 ) -> DataFrame:
-    """Distinct orders and revenue per period, with relative change to the previous period.
+    """Distinct orders and revenue per period, with relative change to the previous period, in order of period.
 
     ``revenue="money"`` sums item prices; ``revenue="total_value_of_order"`` sums
     the order total repeated on every item row (the reference's quarterly form,
@@ -48,21 +49,21 @@ def growth(
     rows = before_cutoff(tx, ts, cutoff)
     per = rows.groupBy(period_key(F.to_date(ts), period).alias(pname)).agg(
         F.countDistinct(order_id).alias(oname),
-        F.sum(to_cents(revenue)).alias("__cents"),
+        F.sum(to_cents(revenue, money_scale)).alias("__cents"),
     )
     w = Window.orderBy(pname)
     prev_o = F.lag(oname).over(w)
     prev_c = F.lag("__cents").over(w)
     out = per.select(
         pname, oname,
-        cents_to_amount(F.col("__cents")).alias(rname),
+        cents_to_amount(F.col("__cents"), money_scale).alias(rname),
         round_ratio(F.col(oname) - prev_o, prev_o, 4).alias(ogname),
         round_ratio(F.col("__cents") - prev_c, prev_c, 4).alias(rgname),
         prev_o.alias("__prev"),
     )
     if drop_first:
         out = out.filter(F.col("__prev").isNotNull())
-    return out.drop("__prev")
+    return out.orderBy(pname).drop("__prev")
 
 
 def deviation(
@@ -74,6 +75,7 @@ def deviation(
     grain: str = "item",
     extra_cols: tuple[str, ...] = (),
     with_overall: bool = True,
+    money_scale: int = MONEY_SCALE,
 ) -> DataFrame:
     """Percent deviation of each order's value from the mean of its day, largest first.
 
@@ -82,9 +84,9 @@ def deviation(
     order, dated by its first item. Means are exact (cent sums / counts) and
     rounded to 2 places; the deviation uses the unrounded daily mean.
 
-    The daily mean is a per-day aggregate joined back on the day (its size is
-    the number of calendar days, so adaptive execution broadcasts it after
-    measuring it); the overall mean is a window over that per-day table,
+    The daily mean is a per-day aggregate joined back on the day. It is broadcast:
+    its size is bounded by the number of calendar days, whatever the rows, which
+    therefore stay where they are. The overall mean is a window over that per-day table,
     carried by the same join. No window over the rows, no single-partition
     exchange of the rows, one pass over them.
     """
@@ -97,7 +99,7 @@ def deviation(
                   .select(order_id, "order_date", *extra_cols, value))
     else:
         raise ValueError(f"grain must be 'item' or 'order', not {grain!r}")
-    rows = rows.withColumn("__c", to_cents(value))
+    rows = rows.withColumn("__c", to_cents(value, money_scale))
     daily = rows.groupBy("order_date").agg(F.sum("__c").alias("__ds"), F.count("__c").alias("__dn"))
     cols = [order_id, "order_date", *extra_cols, value]
     if with_overall:
@@ -106,11 +108,11 @@ def deviation(
         everything = Window.partitionBy()
         daily = (daily.withColumn("__os", F.sum("__ds").over(everything))
                       .withColumn("__on", F.sum("__dn").over(everything)))
-        cols.append(round_ratio(F.col("__os"), F.col("__on") * 100, 2).alias("avg_overall_aov"))
-    j = rows.join(daily, on="order_date", how="inner")
+        cols.append(round_ratio(F.col("__os"), F.col("__on") * 10**money_scale, 2).alias("avg_overall_aov"))
+    j = rows.join(F.broadcast(daily), on="order_date", how="inner")
     out = j.select(
         *cols,
-        round_ratio(F.col("__ds"), F.col("__dn") * 100, 2).alias("avg_daily_aov"),
+        round_ratio(F.col("__ds"), F.col("__dn") * 10**money_scale, 2).alias("avg_daily_aov"),
         round_ratio((F.col("__c") * F.col("__dn") - F.col("__ds")) * 100, F.col("__ds"), 2).alias("daily_aov_variance_percent"),
     )
     if k is None:

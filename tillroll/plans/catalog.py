@@ -37,6 +37,7 @@ BUSY_WEEKDAY = "pon."
 # decimals the numeric sales columns are exact to (exact mean and std)
 EXACT_SCALES = {"Weekdaysort": 0, "Monthsort": 0, "hour_of_day": 0, "money": 2}
 KPI_DIMS = ["Month_name", "Monthsort", "Weekday", "Weekdaysort", "Time_of_Day", "hour_of_day", "cash_type"]
+KPI_ORDER = ["Monthsort", "Weekdaysort", "hour_of_day", "cash_type", "Month_name", "Weekday", "Time_of_Day"]
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +89,8 @@ def _hour() -> Column:
     return F.hour("datetime").cast("long").alias("hour_of_day")
 
 
-def _vc(column: str, mode: str = "sql", count_name: str = "total_transactions"):
-    return lambda df: value_counts(df, column, mode=mode, count_name=count_name)
+def _vc(column: str, mode: str = "sql", count_name: str = "total_transactions", by_count: bool = False):
+    return lambda df: value_counts(df, column, mode=mode, count_name=count_name, by_count=by_count)
 
 
 def _price(dims, avg_name=None, having=None):
@@ -115,15 +116,24 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "rule_hour_value": ("sales", lambda s: rule_rows(s, F.col("hour_of_day") == CHECK_HOUR)),
     "value_counts_hour": ("sales", _vc("hour_of_day")),
     "value_counts_payment": ("sales", _vc("cash_type")),
-    "value_counts_product": ("sales", _vc("coffee_name")),
+    "value_counts_product": ("sales", _vc("coffee_name", by_count=True)),
     "value_counts_daypart": ("sales", _vc("Time_of_Day")),
     "value_counts_weekday": ("sales", _vc("Weekday")),
     "value_counts_month": ("sales", _vc("Month_name")),
     "value_counts_weekdaysort": ("sales", _vc("Weekdaysort")),
     "value_counts_monthsort": ("sales", _vc("Monthsort")),
-    "value_counts_card": ("sales", _vc("card", mode="keepna", count_name="count")),
+    "value_counts_card": ("sales", _vc("card", mode="keepna", count_name="count", by_count=True)),
+    # the notebook's own modes: sorted by value without NULLs, or most frequent first with NULLs counted
+    "notebook_counts_hour": ("sales", _vc("hour_of_day", mode="dropna", count_name="count")),
+    "notebook_counts_product": ("sales", _vc("coffee_name", mode="keepna", count_name="count", by_count=True)),
+    "notebook_counts_daypart": ("sales", _vc("Time_of_Day", mode="keepna", count_name="count", by_count=True)),
+    "notebook_counts_weekday": ("sales", _vc("Weekday", mode="keepna", count_name="count", by_count=True)),
+    "notebook_counts_weekdaysort": ("sales", _vc("Weekdaysort", mode="dropna", count_name="count")),
+    "notebook_counts_month": ("sales", _vc("Month_name", mode="keepna", count_name="count", by_count=True)),
+    "notebook_counts_monthsort": ("sales", _vc("Monthsort", mode="dropna", count_name="count")),
     "value_counts_money": ("clean", _vc("money", mode="dropna", count_name="count")),
-    "daypart_hour_crosstab": ("sales", lambda s: crosstab(s, "Time_of_Day", "hour_of_day", count_name="total_count")),
+    "daypart_hour_crosstab": ("sales", lambda s: crosstab(s, "Time_of_Day", "hour_of_day", count_name="total_count",
+                                                          order_by=["hour_of_day", "Time_of_Day"])),
     "hour_crosstab": ("sales", lambda s: crosstab(s, F.hour("datetime").cast("long").alias("hour"), "hour_of_day",
                                                   count_of="hour_of_day", count_name="row_count")),
     "fd_weekday": ("sales", lambda s: functional_dependency(s, "Weekday", "Weekdaysort")),
@@ -147,13 +157,12 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
         having=(F.col("Monthsort") == APRIL) & (F.col("cash_type") == "card"))),
     "product_history": ("clean", lambda c: product_history(c, HISTORY_PRODUCT)),
     # orders and reports on them
-    "orders_sessionized_debug": ("tx_debug", lambda t: t),
+    "orders_sessionized_debug": ("tx_debug", lambda t: t.orderBy("datetime")),
     "sales_transactions": ("tx", lambda t: t),
-    "kpi_cube": ("tx", lambda t: kpi_by(t, KPI_DIMS)),
-    "kpi_cube_order_grain": ("tx", lambda t: kpi_by(t, KPI_DIMS, grain="order")),
-    # the product menu and the brand list are fixed, short catalogues: bitmask baskets without a size job
-    "top_pairs": ("tx", lambda t: pair_counts(t, k=10, method="mask")),
-    "pair_rules": ("tx", lambda t: pair_rules(t, k=10, method="mask")),
+    "kpi_cube": ("tx", lambda t: kpi_by(t, KPI_DIMS, order_by=KPI_ORDER)),
+    "kpi_cube_order_grain": ("tx", lambda t: kpi_by(t, KPI_DIMS, grain="order", order_by=KPI_ORDER)),
+    "top_pairs": ("tx", lambda t: pair_counts(t, k=10)),
+    "pair_rules": ("tx", lambda t: pair_rules(t, k=10)),
     "rfm": ("tx", rfm),
     "rfm_order_grain": ("tx", lambda t: rfm(t, grain="order")),
     "retention_month": ("tx", lambda t: retention(t, period="month", cutoff=MONTH_CUTOFF)),
@@ -170,7 +179,8 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
                                                              rank_by="total_orders")),
     "season_weekday_by_revenue": ("tx", lambda t: seasonality(t, ["Weekday"], sort_key="Weekdaysort",
                                                               rank_by="total_revenue")),
-    "season_weekday_hour": ("tx", lambda t: seasonality(t, ["Weekday", "Weekdaysort", _hour()])),
+    "season_weekday_hour": ("tx", lambda t: seasonality(t, ["Weekday", "Weekdaysort", _hour()],
+                                                       order_by=["Weekdaysort", "hour_of_day", "Weekday"])),
     "season_one_weekday": ("tx", lambda t: seasonality(t, [_hour()], where=F.col("Weekday") == BUSY_WEEKDAY)),
     "season_daypart": ("tx", lambda t: seasonality(t, ["Time_of_Day"])),
     "daily_deviation": ("tx", lambda t: deviation(t, k=100)),
@@ -180,9 +190,9 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
                                                          with_overall=False)),
     # the same operators on the star-schema tables
     "brand_pairs": ("brand_lines", lambda b: pair_counts(b, basket="l_orderkey", item="p_brand", k=10,
-                                                         names=("brand_a", "brand_b"), method="mask")),
+                                                         names=("brand_a", "brand_b"))),
     "brand_rules": ("brand_lines", lambda b: pair_rules(b, basket="l_orderkey", item="p_brand", k=10,
-                                                        names=("brand_a", "brand_b"), method="mask")),
+                                                        names=("brand_a", "brand_b"))),
     "customer_retention_month": ("orders", lambda o: retention(o, customer="o_custkey", date="o_day", period="month")),
     "order_growth_month": ("orders", lambda o: growth(o, period="month", revenue="o_totalprice", ts="o_orderdate",
                                                       order_id="o_orderkey")),
