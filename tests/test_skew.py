@@ -1,4 +1,4 @@
-"""One customer holding every row: the bucketed order grouping spreads it, the window form cannot."""
+"""One customer holding every row: the chunked order grouping spreads it, the window form cannot."""
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ def _largest_partition_share(df):
     return max(sizes) / sum(sizes)
 
 
-def test_hot_key_is_spread_over_buckets(spark):
+def test_hot_key_is_spread_over_chunks(spark):
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     old = {k: spark.conf.get(k, None) for k in conf}
@@ -20,11 +20,11 @@ def test_hot_key_is_spread_over_buckets(spark):
     try:
         clean = sales_clean(spark, "/root/testdata/sf0.01").withColumn("card", F.lit(None).cast("string")) \
                                                          .withColumn("cash_type", F.lit("cash"))
-        bucketed = sessionize_orders(clean, method="bucketed")
+        chunked = sessionize_orders(clean, method="chunked")
         window = sessionize_orders(clean, method="window")
         assert _largest_partition_share(window) == 1.0
-        assert _largest_partition_share(bucketed) < 0.3
-        a = bucketed.select("order_id", "total_products_in_order", "total_value_of_order")
+        assert _largest_partition_share(chunked) < 0.3
+        a = chunked.select("order_id", "total_products_in_order", "total_value_of_order")
         b = window.select("order_id", "total_products_in_order", "total_value_of_order")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:

@@ -11,13 +11,14 @@ Two exact forms give the same rows:
 * ``method="window"``: one window partitioned by customer, as the SQL reads.
   Every row of a customer lands in one task, so one hot key (all cash sales
   share ``CASH_cash``) becomes one giant task.
-* ``method="bucketed"`` (default): time is cut into buckets ``gap_seconds``
-  wide. Inside one bucket no gap can reach the threshold, so order starts,
-  order numbers and order totals are all computed on one aggregated row per
-  (customer, bucket); the item rows then take their order from that table in
-  one join on (customer, bucket). A hot key's rows are spread over its
-  buckets; the only per-customer step runs on the bucket table, which has at
-  most (time span / gap) rows per customer however many items it has.
+* ``method="chunked"`` (default): items are exchanged once, by (customer, time
+  chunk); a chunk is a day wide unless ``chunk_seconds`` says otherwise. Windows
+  inside a chunk find the gaps, the groups and their totals. One edge row per
+  (customer, chunk) carries what crosses chunk borders: last instant, open
+  order, totals of the first and the last group. Windows over the edge rows
+  (at most time span / chunk per customer) complete them, and they join the
+  items, which are where the join wants them. A hot key's rows are spread over
+  its chunks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.clock import epoch_seconds, is_ntz, timestamp_text, whole_seconds_between
 from tillroll.functions.keys import customer_key
-from tillroll.functions.money import cents_to_amount, small_floor_div, to_cents
+from tillroll.functions.money import MONEY_SCALE, cents_to_amount, small_floor_div, to_cents
 
 HELPERS = ["customer_key", "previous_datetime", "time_diff_seconds", "order_group_id"]
 
@@ -38,14 +39,15 @@ def sessionize_orders(
     value: str = "money",
     gap_seconds: int = 300,
     key: Column | str | None = None,
-    method: str = "bucketed",
+    method: str = "chunked",
     keep_helpers: bool = False,
     id_digits: int = 6,
     order_id: str = "order_id",
     items_col: str = "total_products_in_order",
     value_col: str = "total_value_of_order",
     tie_break: list[str] | None = None,
-    chunk_buckets: int | None = None,
+    chunk_seconds: int = 86_400,
+    money_scale: int = MONEY_SCALE,
 ) -> DataFrame:
     """Add ``order_id``, ``total_products_in_order``, ``total_value_of_order``.
 
@@ -54,28 +56,26 @@ def sessionize_orders(
     and ``order_group_id``.
     ``tie_break`` orders items of one customer at the same instant for
     ``previous_datetime`` only (which of them sees the earlier instant); order
-    assignment never depends on it. ``chunk_buckets`` (bucketed form only)
-    computes the per-customer running values in two levels, over chunks of that
-    many buckets and then over one row per chunk, so no task holds a whole
-    customer even on the bucket table; use it for very small gaps over long
-    time spans.
+    assignment never depends on it. ``chunk_seconds`` is the width of a chunk:
+    any width gives the same rows; a narrow one spreads a hot customer further,
+    a wide one leaves fewer edge rows.
     """
     if not isinstance(gap_seconds, int) or gap_seconds < 1:
         raise ValueError(f"gap_seconds must be a whole number of seconds >= 1, not {gap_seconds!r}")
-    if chunk_buckets is not None and chunk_buckets < 1:
-        raise ValueError(f"chunk_buckets must be >= 1, not {chunk_buckets!r}")
+    if not isinstance(chunk_seconds, int) or chunk_seconds < 1:
+        raise ValueError(f"chunk_seconds must be a whole number of seconds >= 1, not {chunk_seconds!r}")
     ntz = is_ntz(df, ts)
     k = customer_key() if key is None else (F.col(key) if isinstance(key, str) else key)
     base_cols = df.columns
-    d = df.withColumn("customer_key", k).withColumn("__cents", to_cents(value))
+    d = df.withColumn("customer_key", k).withColumn("__cents", to_cents(value, money_scale))
     if method == "window":
         out = _by_window(d, ts, ntz, gap_seconds, tie_break or [])
-    elif method == "bucketed":
-        out = _by_bucket(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [], chunk_buckets)
+    elif method == "chunked":
+        out = _by_chunk(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [], chunk_seconds)
     else:
-        raise ValueError(f"method must be 'bucketed' or 'window', not {method!r}")
+        raise ValueError(f"method must be 'chunked' or 'window', not {method!r}")
     oid = F.concat(timestamp_text(F.col("__ostart"), ntz, id_digits), F.lit("+00_"), F.col("customer_key"))
-    total = F.when(F.col("__tnn") > 0, cents_to_amount(F.col("__tcents")))
+    total = F.when(F.col("__tnn") > 0, cents_to_amount(F.col("__tcents"), money_scale))
     helpers = HELPERS if keep_helpers else []
     return out.select(
         *base_cols, *helpers,
@@ -98,98 +98,83 @@ def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int, tie: list[str]) -> Da
              .withColumn("__tnn", F.count("__cents").over(wo)))
 
 
-def _by_bucket(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str],
-               chunk: int | None) -> DataFrame:
+_TOTALS = ["n", "c", "nn"]  # rows, cents, rows with an amount
+
+
+def _by_chunk(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str], chunk: int) -> DataFrame:
     t = F.col(ts)
-    # Null-safe customer identity as two plain columns, so every join below is
-    # an ordinary equi-join on the keys the data is partitioned by. The keys are
-    # non-nullable (rows without a timestamp share the lowest bucket), so the
-    # optimizer infers no IS NOT NULL filter to push into the source.
+    # The customer as two plain columns that are never NULL, so that the join
+    # below is an ordinary equi-join on the keys the items are partitioned by.
+    # Rows without a timestamp share a chunk before all others.
     kp = ["__k", "__kn"]
-    p = kp + ["__b"]
+    p = [*kp, "__ch"]
     d = (d.withColumn("__k", F.coalesce(F.col("customer_key"), F.lit("")))
           .withColumn("__kn", F.col("customer_key").isNull())
-          .withColumn("__b", F.coalesce(small_floor_div(epoch_seconds(t, ntz), gap), F.lit(-(2**63)))))
-
-    # Buckets are ``gap`` wide: two items in one bucket are less than ``gap``
-    # apart, so an order can only start at a bucket's first item, and only when
-    # the previous non-empty bucket of the customer ended at least ``gap``
-    # earlier. Everything is decided on one row per (customer, bucket), built
-    # with min/max/sum/count (partial aggregation before the shuffle).
-    s = d.groupBy(*p).agg(
-        F.min(ts).alias("__bmin"), F.max(ts).alias("__bmax"),
-        F.count(F.lit(1)).alias("__n"), F.sum("__cents").alias("__sc"), F.count("__cents").alias("__snn"))
-    s = _orders_on_buckets(s, kp, ntz, gap) if chunk is None else _orders_on_chunks(s, kp, ntz, gap, chunk)
-
-    # One shuffle of the item rows, by (customer, bucket): a busy customer is
-    # spread over its buckets. Shuffled hash join, built on the bucket table: its
-    # partitions are small and even (one row per customer-bucket; a hot customer
-    # adds buckets, not rows per bucket), and the wide item rows stream through
-    # without the sort a sort-merge join would give them. A skewed probe
-    # partition (one very busy bucket) is split by adaptive execution.
-    j = d.join(s.hint("shuffle_hash"), on=p, how="inner")
+          .withColumn("__ch", F.coalesce(small_floor_div(epoch_seconds(t, ntz), chunk), F.lit(-(2**63)))))
+
+    # Inside the chunk: group 0 runs from its first row to the first gap, the
+    # groups after it each start at a gap.
+    w = Window.partitionBy(*p).orderBy(ts)
+    before = F.lag(ts).over(Window.partitionBy(*p).orderBy(ts, *tie))
+    wide = whole_seconds_between(before, t, ntz) >= gap
+    d = d.withColumn("__before", before).withColumn("__g", F.count_if(F.coalesce(wide, F.lit(False))).over(w))
+    group = Window.partitionBy(*p, "__g")
+    d = (d.withColumn("__gstart", F.min(ts).over(group)).withColumn("__gn", F.count(F.lit(1)).over(group))
+          .withColumn("__gc", F.sum("__cents").over(group)).withColumn("__gnn", F.count("__cents").over(group)))
+
+    # One row per chunk: its ends, the number of its last group, and the totals
+    # of its first and last one.
+    last = [F.max_by(f"__g{x}", "__g").alias(f"__l{x}") for x in _TOTALS]
+    first = [F.min_by(f"__g{x}", "__g").alias(f"__f{x}") for x in _TOTALS]
+    e = d.groupBy(*p).agg(F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.max("__g").alias("__last"),
+                          F.max("__gstart").alias("__lstart"), *first, *last)
+    e = _edges(e, kp, ntz, gap)
+    j = d.join(e, on=p, how="inner")
+
+    head, tail = F.col("__g") == 0, (F.col("__g") == F.col("__last")) & (F.col("__last") > 0)
+    j = j.withColumn("order_group_id", (F.col("__first_id") + F.col("__g")).cast("long"))
+    j = j.withColumn("__ostart", F.when(head, F.col("__open_start")).otherwise(F.col("__gstart")))
+    for x, name in zip(_TOTALS, ["__tcnt", "__tcents", "__tnn"]):
+        j = j.withColumn(name, F.when(head, F.col(f"__head_{x}")).when(tail, F.col(f"__tail_{x}")).otherwise(F.col(f"__g{x}")))
     if keep_helpers:
-        lag = F.lag(ts).over(Window.partitionBy(*p).orderBy(ts, *tie))
-        j = j.withColumn("previous_datetime", F.coalesce(lag, F.col("__prevmax")))
+        j = j.withColumn("previous_datetime", F.coalesce(F.col("__before"), F.when(t.isNotNull(), F.col("__prev"))))
         j = j.withColumn("time_diff_seconds", whole_seconds_between(F.col("previous_datetime"), t, ntz))
     return j
 
 
-def _starts(gap: int, ntz: bool) -> tuple[Column, Column]:
-    """(is this bucket an order start, how many starts it counts). Rows without a
-    timestamp (lowest bucket) each count as a start but share one order, as
-    peers do in the single-window form."""
-    fstart = F.col("__prevmax").isNull() | (whole_seconds_between(F.col("__prevmax"), F.col("__bmin"), ntz) >= gap)
-    n = F.when(F.col("__bmin").isNull(), F.col("__n")).otherwise(F.lit(1))
-    return fstart, F.when(F.col("__fstart"), n).otherwise(F.lit(0))
-
-
-_BUCKET_OUT = ["__bmin", "__prevmax", "order_group_id", "__ostart", "__tcnt", "__tcents", "__tnn"]
-
-
-def _orders_on_buckets(s: DataFrame, kp: list[str], ntz: bool, gap: int) -> DataFrame:
-    """Running values per customer over its bucket rows (at most time span / gap
-    rows per customer, however many items it has)."""
-    wk = Window.partitionBy(*kp).orderBy("__b")
-    s = s.withColumn("__prevmax", F.lag("__bmax").over(wk))
-    fstart, starts = _starts(gap, ntz)
-    s = s.withColumn("__fstart", fstart)
-    s = (s.withColumn("order_group_id", F.sum(starts).over(wk).cast("long"))
-          .withColumn("__ostart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wk)))
-    wo = Window.partitionBy(*kp, "order_group_id")   # same customer partitioning: no new shuffle
-    return (s.withColumn("__tcnt", F.sum("__n").over(wo))
-             .withColumn("__tcents", F.sum("__sc").over(wo))
-             .withColumn("__tnn", F.sum("__snn").over(wo))
-             .select(*kp, "__b", *_BUCKET_OUT))
-
-
-def _orders_on_chunks(s: DataFrame, kp: list[str], ntz: bool, gap: int, chunk: int) -> DataFrame:
-    """The same running values in two levels: inside chunks of ``chunk`` buckets,
-    then over one row per chunk; order totals by aggregation and join."""
-    kc = kp + ["__c"]
-    s = s.withColumn("__c", small_floor_div(F.col("__b"), chunk))
-    wc = Window.partitionBy(*kc).orderBy("__b")
-    before = Window.partitionBy(*kp).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    # previous bucket's last timestamp: inside the chunk, else the previous chunk's last
-    s = s.withColumn("__lag_in", F.lag("__bmax").over(wc))
-    ends = s.groupBy(*kc).agg(F.max("__bmax").alias("__cmax"))
-    ends = ends.withColumn("__prev_cmax", F.lag("__cmax").over(Window.partitionBy(*kp).orderBy("__c")))
-    s = s.join(ends.select(*kc, "__prev_cmax"), on=kc, how="inner")
-    s = s.withColumn("__prevmax", F.coalesce(F.col("__lag_in"), F.col("__prev_cmax")))
-    fstart, starts = _starts(gap, ntz)
-    s = s.withColumn("__fstart", fstart).withColumn("__starts", starts)
-    s = (s.withColumn("__lcount", F.sum("__starts").over(wc))
-          .withColumn("__lstart", F.max(F.when(F.col("__fstart"), F.col("__bmin"))).over(wc)))
-    # starts and the open order's start carried from earlier chunks
-    carry = (s.groupBy(*kc).agg(F.sum("__starts").alias("__cn"),
-                                F.max(F.when(F.col("__fstart"), F.col("__bmin"))).alias("__clast"))
-              .withColumn("__off", F.coalesce(F.sum("__cn").over(before), F.lit(0)))
-              .withColumn("__carry", F.max("__clast").over(before)))
-    s = s.join(carry.select(*kc, "__off", "__carry"), on=kc, how="inner")
-    s = (s.withColumn("order_group_id", (F.col("__off") + F.col("__lcount")).cast("long"))
-          .withColumn("__ostart", F.coalesce(F.col("__lstart"), F.col("__carry"))))
-    # order totals: partial aggregation, then a join on the order (a long order is
-    # one skewed key on a bucket-sized table, which adaptive execution can split)
-    totals = s.groupBy(*kp, "order_group_id").agg(
-        F.sum("__n").alias("__tcnt"), F.sum("__sc").alias("__tcents"), F.sum("__snn").alias("__tnn"))
-    return s.join(totals, on=[*kp, "order_group_id"], how="inner").select(*kp, "__b", *_BUCKET_OUT)
+def _edges(e: DataFrame, kp: list[str], ntz: bool, gap: int) -> DataFrame:
+    """What a chunk's rows need from the customer's other chunks: ``__prev`` (the
+    instant before the chunk), ``__first_id`` (order number of group 0), and start
+    and totals of the order that group 0 and the last group belong to."""
+    w = Window.partitionBy(*kp).orderBy("__ch")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("__prev", F.lag("__to").over(w))
+    e = e.withColumn("__new", F.col("__prev").isNull() | (whole_seconds_between(F.col("__prev"), F.col("__from"), ntz) >= gap))
+    # rows without a timestamp each count as a start, but share one order
+    starts = F.when(F.col("__from").isNull(), F.col("__fn")).otherwise(F.col("__new").cast("int") + F.col("__last"))
+    own = F.when(F.col("__from").isNull(), F.col("__fn")).otherwise(F.col("__new").cast("int"))
+    e = e.withColumn("__first_id", F.coalesce(F.sum(starts).over(earlier), F.lit(0)) + own)
+    # the last order that starts in a chunk, which the next chunks may go on with: its start, and
+    # what it has in its last group (nothing if that is group 0, which is counted with its number)
+    more = F.col("__last") > 0
+    opened = F.when(more, F.struct(F.col("__lstart").alias("start"), *(F.col(f"__l{x}").alias(x) for x in _TOTALS))).when(
+        F.col("__new"), F.struct(F.col("__from").alias("start"), F.lit(0).cast("long").alias("n"),
+                                 F.lit(None).cast("decimal(38,0)").alias("c"), F.lit(0).cast("long").alias("nn")))
+    e = e.withColumn("__opened", opened).withColumn("__carried", F.last("__opened", ignorenulls=True).over(earlier))
+    carried = F.when(~F.col("__new"), F.col("__carried"))
+    e = e.withColumn("__open_start", F.when(F.col("__new"), F.col("__from")).otherwise(F.col("__carried.start")))
+    same = Window.partitionBy(*kp, "__first_id")
+    for x in _TOTALS:
+        e = e.withColumn(f"__heads_{x}", F.sum(f"__f{x}").over(same))
+    # the tail's order goes on if the next chunk's group 0 has its number
+    goes_on = F.lead("__first_id").over(w) == F.col("__first_id") + F.col("__last")
+    for x in _TOTALS:
+        e = e.withColumn(f"__head_{x}", _plus(F.col(f"__heads_{x}"), carried[x]))
+        e = e.withColumn(f"__tail_{x}", _plus(F.col(f"__l{x}"), F.when(goes_on, F.lead(f"__heads_{x}").over(w))))
+    return e.select(*kp, "__ch", "__prev", "__first_id", "__last", "__open_start",
+                    *(f"__{side}_{x}" for side in ("head", "tail") for x in _TOTALS))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of two totals of which either may be missing."""
+    return F.coalesce(a + b, a, b)
