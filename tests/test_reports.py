@@ -10,7 +10,7 @@ from tillroll.operators.basket import pair_counts, pair_rules
 from tillroll.operators.customers import retention, rfm
 from tillroll.operators.kpi import kpi_by, seasonality
 from tillroll.operators.pricing import price_range
-from tillroll.operators.quality import check_rules, numeric_describe, profile, value_counts
+from tillroll.operators.quality import check_rules, distinct_counts, numeric_describe, profile, value_counts
 from tillroll.operators.trends import deviation, growth
 
 TX = T.StructType([
@@ -236,6 +236,24 @@ def test_result_order(spark, name):
     assert len(rows) > 1 and [[r[k] for k in keys] for r in rows] == [[r[k] for k in keys] for r in wanted]
 
 
+def test_quartiles_of_many_values(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    wide, few = rng.normal(0, 1e6, 3001).round(3), rng.integers(0, 4, 3001)
+    df = spark.createDataFrame([(float(a), int(b), None) for a, b in zip(wide, few)], "wide double, few int, none double")
+    got = {r.column_name: r for r in numeric_describe(df).collect()}
+    for name, x in (("wide", wide), ("few", few)):
+        assert np.allclose([got[name].q25, got[name].q50, got[name].q75], np.quantile(x, [0.25, 0.5, 0.75]), atol=1e-6)
+    assert got["none"].q50 is None and got["none"]["count"] == 0
+    one = spark.createDataFrame([(5.0,)], "x double")
+    assert tuple(numeric_describe(one).first())[5:8] == (5.0, 5.0, 5.0)
+    assert {r.column_name: r.distinct_count for r in distinct_counts(df).collect()} == {
+        "wide": len(set(wide)), "few": 4, "none": 0}
+    assert [tuple(r) for r in distinct_counts(df.limit(0)).collect()] == [("wide", 0), ("few", 0), ("none", 0)]
+    plan = numeric_describe(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
 def test_own_mode_counts_with_nulls(spark):
     df = spark.createDataFrame([(3,), (None,), (1,), (None,), (None,), (1,)], "h int")
     assert [tuple(r) for r in value_counts(df, "h", mode="dropna").collect()] == [(1, 2), (3, 1)]

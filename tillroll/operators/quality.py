@@ -1,13 +1,14 @@
 """Data profiling, extremes and quality rules (O2, O3, O5).
 
-Each profile is one aggregation pass over the table; per-column results are
-turned into a long table (one row per column) from that single aggregated
-row, never by scanning once per column.
+Counts, sums and extremes come from one aggregation pass over the table, turned
+into a long table (one row per column) from that single aggregated row, never
+by scanning once per column. Distinct counts and quartiles come from unpivoted
+(column, value) rows, which shuffle narrow and are counted before they do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,11 +45,66 @@ def non_null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return _long_from_row(row, per, ["data_type", "non_null_count", "row_count"])
 
 
+def _unpivoted(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
+    """``column_name, value, n``: rows per non-NULL value of each column."""
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast(dtype).alias("value")) for c in cols]
+    return (df.select(F.explode(F.array(*cells)).alias("__c")).select("__c.*")
+              .filter(F.col("value").isNotNull())
+              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _per_column(found: DataFrame, cols: list[str]) -> DataFrame:
+    """``found`` for every column of the list, in its order; missing ones get NULLs."""
+    names = found.sparkSession.createDataFrame(list(enumerate(cols)), "__i int, column_name string")
+    return names.join(found, on="column_name", how="left").orderBy("__i").drop("__i")
+
+
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column_name, distinct_count`` (NULLs not counted)."""
+    """``column_name, distinct_count`` (NULLs not counted).
+
+    Values are compared by their text, which tells apart all values of the
+    atomic types.
+    """
     cols = columns or df.columns
-    row = df.agg(*[F.countDistinct(c).alias(f"__d{i}") for i, c in enumerate(cols)])
-    return _long_from_row(row, {c: [F.col(f"__d{i}")] for i, c in enumerate(cols)}, ["distinct_count"])
+    found = _unpivoted(df, cols, "string").groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return _per_column(found, cols).select("column_name", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
+
+
+_CELLS = 256  # ranges into which a column's values are cut to find order statistics
+
+
+def _quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column_name, q25, q50, q75`` by linear interpolation, exactly, for any number of distinct values.
+
+    Values are counted, cut into ranges at approximate quantiles (any cuts give
+    the same result), and numbered by a running sum inside each range on top of
+    the total of the ranges before it. No task holds a whole column.
+    """
+    counts = _unpivoted(df, cols, "double")
+    cuts = counts.groupBy("column_name").agg(
+        F.percentile_approx("value", [i / _CELLS for i in range(1, _CELLS)], 2000).alias("__cuts"), F.sum("n").alias("__all"))
+    # one row of cuts for each column: bounded, whatever the rows
+    celled = counts.join(F.broadcast(cuts), on="column_name").withColumn(
+        "__cell", F.size(F.filter("__cuts", lambda x: x <= F.col("value")))).drop("__cuts")
+    before = Window.partitionBy("column_name").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = celled.groupBy("column_name", "__cell").agg(F.sum("n").alias("__n")).withColumn(
+        "__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy("column_name", "__cell").orderBy("value")
+    # a row of starts for each column and cell: bounded as well
+    ranked = celled.join(F.broadcast(starts), on=["column_name", "__cell"]).withColumn(
+        "__to", F.col("__start") + F.sum("n").over(inside)).withColumn("__from", F.col("__to") - F.col("n"))
+    aggs = []
+    for q in (25, 50, 75):
+        at = (F.col("__all") - 1) * q
+        for name, rank in (("lo", F.floor(at / 100)), ("hi", F.ceil(at / 100))):
+            aggs.append(F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("value"))).alias(f"__{name}{q}"))
+    found = ranked.groupBy("column_name", "__all").agg(*aggs)
+    out = []
+    for q in (25, 50, 75):
+        at = (F.col("__all") - 1) * q
+        lo, hi = F.col(f"__lo{q}"), F.col(f"__hi{q}")
+        out.append(F.round(lo + (hi - lo) * (at % 100) / 100, 6).alias(f"q{q}"))
+    return found.select("column_name", *out)
 
 
 def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: dict[str, int] | None = None) -> DataFrame:
@@ -58,9 +114,7 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
     integers, 2 for prices; integer types up to 32 bits default to 0). Such
     columns get an exact mean and standard deviation from integer sums,
     independent of how the rows are partitioned (values beyond decimal(38,0)
-    fail loudly); other columns use ``stddev_samp``. Quartiles use
-    Spark's exact ``percentile``, whose state is a map of distinct values, so
-    they suit low-cardinality columns (hours, prices, sort keys).
+    fail loudly); other columns use ``stddev_samp``. Quartiles are exact.
     """
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     scales = dict(scales or {})
@@ -70,8 +124,10 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
         more, stats = _numeric_stats(df, c, i, F.col(f"__n{i}"), scales)
         aggs += more
         per[c] = [F.col(f"__n{i}")] + [v for _, v in stats]
-    row = df.agg(*aggs)
-    return _long_from_row(row, per, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    rest = _long_from_row(df.agg(*aggs), per, ["count", "mean", "std", "min", "max"])
+    # one row for each column on either side
+    return rest.join(F.broadcast(_per_column(_quartiles(df, cols), cols)), on="column_name").select(
+        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -79,10 +135,9 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 def _numeric_stats(df: DataFrame, c: str, i: int, n: Column, scales: dict[str, int]) -> tuple[list[Column], list[tuple[str, Column]]]:
     """Aggregates to add for numeric column ``c`` (number ``i``; ``n`` its non-null
-    count) and the metrics read from them: mean, std, min, q25, q50, q75, max."""
+    count) and the metrics read from them: mean, std, min, max."""
     x = F.col(c)
-    aggs = [F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}"),
-            F.percentile(c, [0.25, 0.5, 0.75]).alias(f"__q{i}")]
+    aggs = [F.min(c).cast("double").alias(f"__lo{i}"), F.max(c).cast("double").alias(f"__hi{i}")]
     scale = _exact_scale(df, c, scales)
     if scale is not None:
         xi = F.round(x * (10**scale)).cast("long").cast("decimal(38,0)")
@@ -94,9 +149,7 @@ def _numeric_stats(df: DataFrame, c: str, i: int, n: Column, scales: dict[str, i
     else:
         aggs += [F.avg(x.cast("double")).alias(f"__m{i}"), F.stddev_samp(x.cast("double")).alias(f"__sd{i}")]
         mean, std = F.col(f"__m{i}"), F.col(f"__sd{i}")
-    q = F.col(f"__q{i}")
-    return aggs, [("mean", mean), ("std", std), ("min", F.col(f"__lo{i}")), ("q25", F.round(q[0], 6)),
-                  ("q50", F.round(q[1], 6)), ("q75", F.round(q[2], 6)), ("max", F.col(f"__hi{i}"))]
+    return aggs, [("mean", mean), ("std", std), ("min", F.col(f"__lo{i}")), ("max", F.col(f"__hi{i}"))]
 
 
 def _exact_scale(df: DataFrame, c: str, scales: dict[str, int]) -> int | None:
@@ -109,7 +162,7 @@ def _exact_scale(df: DataFrame, c: str, scales: dict[str, int]) -> int | None:
 
 def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, int] | None = None) -> DataFrame:
     """Everything a first look at a table reports, as one long table
-    ``column_name, metric, value`` (value as double), from one aggregation pass.
+    ``column_name, metric, value`` (value as double).
 
     Every column: ``rows``, ``non_null``, ``nulls``, ``null_pct`` (rounded to 2
     places), ``distinct`` (NULLs not counted). Numeric columns add ``mean``,
@@ -122,17 +175,24 @@ def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, i
     metrics: list[tuple[str, str, Column]] = []
     rows = F.col("__rows")
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"__v{i}"), F.countDistinct(c).alias(f"__d{i}")]
+        aggs.append(F.count(c).alias(f"__v{i}"))
         nn = F.col(f"__v{i}")
         metrics += [(c, "rows", rows), (c, "non_null", nn), (c, "nulls", rows - nn),
-                    (c, "null_pct", round_ratio((rows - nn) * 100, rows, 2)), (c, "distinct", F.col(f"__d{i}"))]
+                    (c, "null_pct", round_ratio((rows - nn) * 100, rows, 2))]
         if isinstance(df.schema[c].dataType, _NUMERIC):
             more, stats = _numeric_stats(df, c, i, nn, scales)
             aggs += more
             metrics += [(c, m, v) for m, v in stats]
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
                for c, m, v in metrics]
-    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("__m")).select("__m.*")
+    out = df.agg(*aggs).select(F.explode(F.array(*structs)).alias("__m")).select("__m.*")
+    out = out.unionByName(distinct_counts(df, cols).select(
+        "column_name", F.lit("distinct").alias("metric"), F.col("distinct_count").cast("double").alias("value")))
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, _NUMERIC)]
+    if numeric:
+        quartiles = _per_column(_quartiles(df, numeric), numeric)
+        out = out.unionByName(quartiles.unpivot("column_name", ["q25", "q50", "q75"], "metric", "value"))
+    return out
 
 
 def value_counts(df: DataFrame, column: str, mode: str = "sql", count_name: str = "count",
