@@ -19,13 +19,14 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tillroll.plans.catalog import REPORTS, SOURCES  # noqa: E402
-from tillroll.session import build_session, checkpoint_root, materialize  # noqa: E402
+from tillroll.session import build_session, has_root, materialize, use_scratch  # noqa: E402
 
 HEADLINE = [
     "kpi_cube", "top_pairs", "pair_rules", "rfm", "retention_month", "retention_quarter", "growth_month",
@@ -85,7 +86,8 @@ def main() -> None:
     spark = build_session(app="tillroll-bench", master=f"local[{cpus}]", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": mem})
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(spark)
+    if not has_root(spark):
+        use_scratch(spark, tempfile.mkdtemp(prefix="tillroll-bench-"))
     one_pass(spark, sf_dir)                    # warm-up: JIT, file cache
     times = one_pass(spark, sf_dir)
     concurrent = concurrent_pass(spark, sf_dir, threads=4)

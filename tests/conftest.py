@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tillroll.session import build_session, checkpoint_root  # noqa: E402
+from tillroll.session import build_session, use_scratch  # noqa: E402
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -17,6 +17,6 @@ def spark():
     s = build_session(app="tillroll-tests", master="local[*]", shuffle_partitions=8,
                       extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tillroll-wh-")})
     s.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(s)  # tests only: a scratch folder because the setting is unset
+    use_scratch(s, tempfile.mkdtemp(prefix="tillroll-ckpt-"))
     yield s
     s.stop()

@@ -96,6 +96,7 @@ def test_scale_conf():
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
     assert scale_conf(10**6, cores=8)["spark.sql.shuffle.partitions"] == "16"
     assert scale_conf(10**17, cores=8)["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(10**15, cores=8, most_partitions=10**7)["spark.sql.shuffle.partitions"] == "931323"
 
 
 def test_timestamp_text_whole_seconds(spark):
@@ -104,11 +105,14 @@ def test_timestamp_text_whole_seconds(spark):
     assert r[0] == "2024-03-10 02:30:00" and r[1] == "2024-03-10 02:30:00"
 
 
-def test_checkpoint_root_resolution():
-    from tillroll.session import _resolve_root
-    assert _resolve_root("hdfs:///shared/ckpt", "yarn", "app-1") == "hdfs:///shared/ckpt"
-    local = _resolve_root(None, "local[8]", "app-2")
-    assert local == _resolve_root(None, "local[*]", "app-2")      # one scratch folder per application
-    assert local != _resolve_root(None, "local[8]", "app-3")
-    with pytest.raises(ValueError):
-        _resolve_root(None, "spark://master:7077", "app-4")       # never a machine-local folder on a cluster
+def test_checkpoint_root_is_named_by_the_caller(spark, tmp_path, monkeypatch):
+    from tillroll import session
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.a.setting.that.is.unset")
+    monkeypatch.setattr(session, "_SCRATCH", {})
+    assert not session.has_root(spark)
+    with pytest.raises(ValueError, match="shared folder"):
+        session.checkpoint_root(spark)
+    session.use_scratch(spark, str(tmp_path))
+    assert session.has_root(spark) and session.checkpoint_root(spark) == str(tmp_path)
+    monkeypatch.undo()
+    session.checkpoint_root(spark)

@@ -28,7 +28,7 @@ from tillroll.operators.quality import (
     value_counts,
 )
 from tillroll.operators.trends import deviation, growth
-from tillroll.session import build_session, checkpoint_root, materialize, scale_conf
+from tillroll.session import build_session, checkpoint_root, has_root, materialize, scale_conf, use_scratch
 from tillroll.sources.sales import SALES_SCHEMA, export_report, read_sales, write_table
 from tillroll.streaming.orders import start_order_stream, stream_orders
 
@@ -62,6 +62,8 @@ __all__ = [
     "profile",
     "read_sales",
     "scale_conf",
+    "has_root",
+    "use_scratch",
     "retention",
     "rfm",
     "rule_rows",

@@ -1,14 +1,13 @@
 """Session construction and lineage cutting.
 
 Jobs read ``spark.checkpoint.dir`` from the session (a shared folder on a
-cluster). Only tests and local benches, where it is unset, get a fresh scratch
-folder of their own.
+cluster). Where it is unset, as in tests and local benches, the caller names a
+folder with ``use_scratch``; the library never picks one.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,17 +47,19 @@ def build_session(
     return b.getOrCreate()
 
 
-def scale_conf(input_bytes: int, cores: int, split_bytes: int = 256 << 20) -> dict[str, str]:
+def scale_conf(input_bytes: int, cores: int, split_bytes: int = 256 << 20,
+               most_partitions: int = 100_000) -> dict[str, str]:
     """Partition sizing for a given input volume and core count.
 
     Scans read ``split_bytes`` per task. The initial shuffle partition count
     gives about 1 GiB of input per partition, at least two per core and at most
-    100,000 (the map x reduce shuffle file count grows with it). Adaptive
+    ``most_partitions`` (the map x reduce shuffle block count grows with it; past
+    that, about 98 TiB at the default, partitions grow beyond 1 GiB). Adaptive
     execution then coalesces small partitions toward half a split and splits
     join partitions over four times the median and over a split in size.
     For 100 TB on 8,000 cores: 256 MiB splits, 93,133 initial partitions.
     """
-    partitions = min(max(math.ceil(input_bytes / (1 << 30)), 2 * cores), 100_000)
+    partitions = min(max(math.ceil(input_bytes / (1 << 30)), 2 * cores), most_partitions)
     return {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
@@ -69,31 +70,30 @@ def scale_conf(input_bytes: int, cores: int, split_bytes: int = 256 << 20) -> di
     }
 
 
-_SCRATCH_ROOTS: dict[str, str] = {}
+_SCRATCH: dict[str, str] = {}
 
 
-def _resolve_root(configured: str | None, master: str, app_id: str) -> str:
-    """The configured folder; else, in local mode only, one scratch folder per
-    application (kept on the Python side: the setting itself cannot be changed
-    once the session runs)."""
-    if configured:
-        return configured
-    if not master.startswith("local"):
+def use_scratch(spark: SparkSession, folder: str) -> None:
+    """The folder to use in this application where ``spark.checkpoint.dir`` is unset (the setting itself cannot be
+    changed once the session runs). Only sessions in local mode take one: it may be a machine-local folder."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or object storage)")
-    if app_id not in _SCRATCH_ROOTS:
-        _SCRATCH_ROOTS[app_id] = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-    return _SCRATCH_ROOTS[app_id]
+    _SCRATCH[sc.applicationId] = folder
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session (``spark.checkpoint.dir``).
+def has_root(spark: SparkSession) -> bool:
+    """True if there is a folder for intermediate tables."""
+    return bool(spark.conf.get(CHECKPOINT_CONF, None)) or spark.sparkContext.applicationId in _SCRATCH
 
-    A scratch folder is made only when the setting is unset and the session
-    runs in local mode (tests, local benches). On a cluster an unset setting is
-    an error: a machine-local folder would not survive a lost executor.
-    """
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by the session (``spark.checkpoint.dir``), or by ``use_scratch`` where that
+    is unset. Neither: an error, as a folder of the library's own choice would not survive a lost executor."""
     sc = spark.sparkContext
-    root = _resolve_root(spark.conf.get(CHECKPOINT_CONF, None), sc.master, sc.applicationId)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or _SCRATCH.get(sc.applicationId)
+    if not root:
+        raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder (e.g. on HDFS or object storage)")
     sc.setCheckpointDir(root)
     return root
 

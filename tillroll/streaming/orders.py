@@ -9,6 +9,12 @@ gap of ``gap_seconds`` minus one microsecond reproduces "a new order when
 the state: an order is final once event time passed its last item plus the gap
 plus the allowed lateness, and only then appended.
 
+Two limits follow. Rows that come later than ``lateness`` after the newest event
+time seen are dropped by the watermark. An order is only emitted once it is
+closed, so a customer key whose items never pause for ``gap_seconds`` (a busy
+shared cash key) has none emitted and its state grows; the batch form has
+neither limit.
+
 Watermarks need an instant (``timestamp``) column; a ``timestamp_ntz`` wall
 clock is read as UTC, which keeps all distances unchanged.
 """

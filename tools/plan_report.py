@@ -12,12 +12,13 @@ from __future__ import annotations
 import os
 import re
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tillroll.operators.orders import sessionize_orders  # noqa: E402
 from tillroll.plans.catalog import REPORTS, SOURCES  # noqa: E402
-from tillroll.session import build_session, checkpoint_root, materialize  # noqa: E402
+from tillroll.session import build_session, has_root, materialize, use_scratch  # noqa: E402
 
 KINDS = [
     ("hash shuffle", r"Exchange hashpartitioning"),
@@ -61,7 +62,8 @@ def main() -> None:
         os.path.abspath(__file__))), "docs", "PLANS.md")
     spark = build_session(master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(spark)
+    if not has_root(spark):
+        use_scratch(spark, tempfile.mkdtemp(prefix="tillroll-plans-"))
     # as the bench and the original flow: clean and order tables written once
     clean = materialize(SOURCES["clean"](spark, sf_dir), "plan_sales_clean")
     tables = {
