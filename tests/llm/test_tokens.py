@@ -34,6 +34,8 @@ def test_trie_counts_match_plain_dynamic_programming():
     trie, scores = TokenTrie(MODEL), unigram_scores(MODEL)
     words = "thingheheti thing things the a été Übermut 日本語 😀x a▁b".split() + ["ab" * 100, "q", "zzzzzz"]
     assert [trie.count(w) for w in words] == [plain_count(w, scores) for w in words]
+    ended = [w + end for w in words for end in (".", ",", "...", "?!", ".x", ")")]
+    assert trie.total(ended) == sum(plain_count(w, scores) for w in ended)
     again = TokenTrie(MODEL)
     assert [again.count(w) for w in reversed(words)] == [trie.count(w) for w in reversed(words)]
 

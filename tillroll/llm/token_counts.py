@@ -5,6 +5,9 @@ segmentation with the best unigram score; the score of a piece follows its place
 law, -ln(place + 1), as a whole number of 2^-20 units, so ties are exact. Of segmentations with one score the one with
 the fewest pieces counts. A character without a piece of its own counts as one token for each UTF-8 byte.
 
+Where no piece of the vocabulary joins a letter and the mark after it, the marks at a word's end are counted apart:
+every segmentation has a border there.
+
 Each task inserts its distinct pre-tokens in a trie. The state of a node (best score and token count so far, and the
 pieces under way) depends on the path to it only, so words that share a prefix share its work, and a word's count is
 stored at its last node. There is no shuffle.
@@ -13,6 +16,7 @@ stored at its last node. There is no shuffle.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import public_file, text_of, utf8
+from tillroll.llm.common import public_file, text_of, utf8, word_cache
 
 MARK = "▁"
 UNIT = 1 << 20
 BYTE_COST = round(math.log(1 << 20) * UNIT)
-TRIE_NODES = 150_000  # per Python worker; a fuller trie starts afresh
-TERMINALS = 300_000
+TRIE_NODES = 200_000  # per Python worker; a fuller trie starts afresh
+TERMINALS = 400_000  # words whose counts are held
 LONG_WORD = 64  # longer words pass through the same steps without being stored
+LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,!?;:"
+ENDING = re.compile(f"(.*{LETTER})([{MARKS}]+)", re.DOTALL)
 
 
 def unigram_scores(model: bytes) -> dict[str, int]:
@@ -56,8 +62,11 @@ class TokenTrie:
     """Best unigram segmentations of words; a node is [children, score, tokens, pieces under way]."""
 
     def __init__(self, model: bytes):
-        self.vocabulary = piece_trie(unigram_scores(model))
-        self.counts: dict[str, int] = {}
+        scores = unigram_scores(model)
+        self.vocabulary = piece_trie(scores)
+        self.ends_apart = not any(re.search(f"{LETTER}[{MARKS}]", p) for p in scores)
+        self.counts = word_cache(self._word, TERMINALS)
+        self.endings = word_cache(self._marks, TERMINALS)
         self._afresh()
 
     def _afresh(self) -> None:
@@ -99,16 +108,20 @@ class TokenTrie:
             node = on
         return node[2]
 
+    def _marks(self, marks: str) -> int:
+        node = [{}, 0, 0, []]
+        for c in marks:
+            node = self._step(node, c)
+        return node[2]
+
+    def _word(self, word: str) -> int:
+        if word[-1] in MARKS and self.ends_apart and (m := ENDING.fullmatch(word)):
+            return self.counts[m[1]] + self.endings[m[2]]
+        return self.count(word)
+
     def total(self, words: list[str]) -> int:
-        known = self.counts
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > TERMINALS:
-                known.clear()
-            for w in sorted(set(words).difference(known)):
-                known[w] = self.count(w)
-            return sum(map(known.__getitem__, words))
+        """Tokens of all the words."""
+        return sum(map(self.counts.__getitem__, words))
 
 
 _TRIES: dict[int, TokenTrie] = {}
