@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import utf8
+from tillroll.llm.common import materialize, utf8
 
 LEAST_PAGES = 5  # of a host, for a class to be valid
 LEAST_SHARE = 0.5  # of its pages
@@ -243,9 +243,11 @@ def host_templates(rows: DataFrame) -> DataFrame:
     found = rows.where(F.col("host") != "").mapInArrow(tokens, TOKEN_ROWS).groupBy("host", "path", "token").agg(
         F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"),
         F.max("most").alias("most"), F.sum("chars").alias("chars"))
+    # rarer tokens are in no class; what is left is small, and saves reading the pages once for each use of it
+    found = materialize(found.where(F.col("pages") >= LEAST_PAGES), "page_tokens")
     whole = found.where((F.col("path") == "") & (F.col("token") == 0)).select(
         "host", F.col("pages").alias("of_host"), F.col("chars").alias("host_chars"))
-    common = found.where(F.col("pages") >= LEAST_PAGES).join(whole, "host").where(
+    common = found.join(whole, "host").where(
         (F.col("pages") >= LEAST_SHARE * F.col("of_host")) & (F.col("path") != ""))
     classes = common.where(F.col("least") == F.col("most")).groupBy("host", "vector", "pages").agg(
         F.count(F.lit(1)).alias("size"),
