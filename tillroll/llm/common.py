@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import materialize
 
-__all__ = ["HELD_OUT_FOLDS", "carried", "held_out", "labelled_sample", "materialize", "public_file", "table", "text_of", "uncarried", "utf8", "word_cache"]
+__all__ = ["HELD_OUT_FOLDS", "carried", "held_by_worker", "held_out", "labelled_sample", "materialize", "public_file", "table", "text_of", "uncarried", "utf8", "word_cache"]
 
 HELD_OUT_FOLDS = 5  # crc32(doc_id as text) mod 5 = 0 is held out
 
@@ -68,15 +68,34 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
+_HELD: dict[object, object] = {}
+
+
+def held_by_worker(key: object, make: Callable[[], object]) -> object:
+    """State that a Python worker keeps for the tasks of one operator (caches, models). A worker serves many operators
+    in turn, so the state of the one before goes: memory is that of one operator."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def word_cache(compute: Callable[[str], object], limit: int) -> dict:
-    """A dict that computes missing entries and starts afresh at ``limit`` entries, so that its memory is bounded
-    whatever the vocabulary. Entries depend on the key only, so results do not depend on when it starts afresh."""
+    """A dict that computes missing entries and holds ``limit`` of them at most, so that its memory is bounded whatever
+    the vocabulary: when half of that is new, what was there before goes, but for entries that were used again. Entries
+    depend on the key only, so results do not depend on what is held."""
 
     class Cache(dict):
+        older: dict = {}
+
         def __missing__(self, key):
-            if len(self) >= limit:
+            value = self.older.get(key)
+            if value is None:
+                value = compute(key)
+            if 2 * len(self) >= limit:
+                self.older = dict(self)
                 self.clear()
-            value = self[key] = compute(key)
+            self[key] = value
             return value
 
     return Cache()

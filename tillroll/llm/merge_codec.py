@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import public_file, text_of, utf8, word_cache
+from tillroll.llm.common import held_by_worker, public_file, text_of, utf8, word_cache
 
 MARK = "▁"
 CACHE_UNITS = 400_000  # per Python worker
 MASK = (1 << 64) - 1
 RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*")
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+MARKS = ".,!?;:"
 ENDING = re.compile(f"(.*{LETTER})([.,!?;:]+)", re.DOTALL)
 
 
@@ -58,57 +59,67 @@ class MergeCodec:
         self.seed, self.limit = seed & MASK, int(dropout * (1 << 32))
         self.cache = word_cache(self._unit, CACHE_UNITS)
 
-    def _skipped(self, unit: int, at: int, piece: int) -> bool:
-        x = (self.seed * 0x9E3779B97F4A7C15 + unit * 0xD1B54A32D192ED03 + at * 0x8CB92BA72F3D8DD7 + piece) & MASK
-        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
-        return (x ^ (x >> 31)) >> 32 < self.limit
+    def _key(self, unit: str) -> int:
+        """Where the hashes of a unit's candidates start from."""
+        x = (self.seed * 0x9E3779B97F4A7C15 + zlib.crc32(utf8(unit)) * 0xD1B54A32D192ED03) & MASK
+        return (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
 
-    def _merge(self, symbols: list[str], unit: int) -> list[str]:
+    def _merge(self, symbols: list[str], key: int) -> list[str]:
         """The symbols after all merges; '' marks one that was joined to the symbol before it."""
-        ids, rank, limit = self.ids, self.rank, self.limit
+        ids, rank, limit, push, pop = self.ids, self.rank.get, self.limit, heapq.heappush, heapq.heappop
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
             piece = symbols[i] + symbols[i + 1]
-            if piece in ids:
-                agenda.append((rank[piece], i, i + 1, piece))
+            r = rank(piece)
+            if r is not None:
+                agenda.append((r, i, i + 1, piece))
+        if not agenda:
+            return symbols
         heapq.heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, i, j, piece = heapq.heappop(agenda)
-            if not symbols[i] or after[i] != j or symbols[i] + symbols[j] != piece:
-                continue  # one of the two has changed
-            if limit and self._skipped(unit, i, ids[piece]):
-                continue
+            _, i, j, piece = pop(agenda)
+            if after[i] != j or not symbols[i] or len(symbols[i]) + len(symbols[j]) != len(piece):
+                continue  # one of the two has changed: symbols only grow, and only to the right
+            if limit:
+                x = (key + i * 0x8CB92BA72F3D8DD7 + ids[piece] * 0x94D049BB133111EB) & MASK
+                if ((x ^ x >> 29) * 0xD6E8FEB86659FD93 & MASK) >> 32 < limit:
+                    continue
             symbols[i], symbols[j] = piece, ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 joined = piece + symbols[k]
-                if joined in ids:
-                    heapq.heappush(agenda, (rank[joined], i, k, joined))
+                r = rank(joined)
+                if r is not None:
+                    push(agenda, (r, i, k, joined))
             h = before[i]
             if h >= 0:
                 joined = symbols[h] + piece
-                if joined in ids:
-                    heapq.heappush(agenda, (rank[joined], h, i, joined))
+                r = rank(joined)
+                if r is not None:
+                    push(agenda, (r, h, i, joined))
         return symbols
 
     def _unit(self, key: str) -> bytes:
         """Ids of a unit: a line end and what follows, or what follows a blank."""
-        if self.ends_apart and (m := ENDING.fullmatch(key)):
-            return self.cache[m[1]] + self._ids(m[2], zlib.crc32(utf8(key)))
-        return self._ids(key if key[:1] == "\n" else " " + key, zlib.crc32(utf8(key)))
+        if key[-1:] in MARKS and self.ends_apart and (m := ENDING.fullmatch(key)):
+            return self.cache[m[1]] + self._ids(m[2], self._key(key))
+        return self._ids(key if key[:1] == "\n" else " " + key, self._key(key))
 
-    def _ids(self, raw: str, unit: int) -> bytes:
+    def _ids(self, raw: str, key: int) -> bytes:
         # a literal mark in the text is no blank: it has no symbol and goes byte by byte
-        symbols = [MARK if c == " " else "\0" + c if c == MARK else c for c in raw]
+        symbols = list(raw.replace(" ", MARK)) if MARK not in raw else [
+            MARK if c == " " else "\0" + c if c == MARK else c for c in raw]
         out = []
-        for s in self._merge(symbols, unit):
-            if s in self.ids:
-                out.append(self.ids[s])
-            elif s:
+        for s in self._merge(symbols, key):
+            if not s:
+                continue
+            own = self.ids.get(s)
+            if own is not None:
+                out.append(own)
+            else:
                 out += [self.byte_id[b] for b in utf8(s[1:] if s[0] == "\0" and len(s) > 1 else s)]
         return struct.pack(f"<{len(out)}I", *out)
 
@@ -130,15 +141,9 @@ class MergeCodec:
         return raw.decode("utf-8", "replace")[1 if raw[:1] == b" " else 0:]
 
 
-_CODECS: dict[tuple, MergeCodec] = {}
-
-
 def codec(model: bytes, seed: int, dropout: float) -> MergeCodec:
-    """One codec for each Python worker, vocabulary, seed and rate."""
-    key = (zlib.crc32(model), seed, dropout)
-    if key not in _CODECS:
-        _CODECS[key] = MergeCodec(model, seed, dropout)
-    return _CODECS[key]
+    """The worker's codec for this vocabulary, seed and rate."""
+    return held_by_worker(("codec", zlib.crc32(model), seed, dropout), lambda: MergeCodec(model, seed, dropout))
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, seed: int = 0,
