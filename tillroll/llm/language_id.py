@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import labelled_sample, public_file, text_of
+from tillroll.llm.common import held_by_worker, labelled_sample, public_file, text_of
 from tillroll.llm.token_counts import MARK, piece_trie, unigram_scores
 
 SAMPLE_ROWS = 400  # texts of each language to fit on, about
@@ -154,9 +154,6 @@ class WordTable:
         return self.known[at].sum(axis=0)
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def identify_languages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        label_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS,
                        vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
@@ -177,11 +174,11 @@ def identify_languages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     sent = spark.sparkContext.broadcast((names, matrix))  # pieces of the vocabulary times languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _TABLES:
-            _TABLES.clear()
+        def empty_table() -> WordTable:
             pieces, probs = sent.value
-            _TABLES[name] = WordTable(dict(zip(pieces, probs.tolist(), strict=True)), len(languages))
-        table = _TABLES[name]
+            return WordTable(dict(zip(pieces, probs.tolist(), strict=True)), len(languages))
+
+        table = held_by_worker(name, empty_table)
         for batch in batches:
             guess, sure = [], []
             for text in batch.column("text").to_pylist():

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import materialize, public_file, text_of
+from tillroll.llm.common import held_by_worker, materialize, public_file, text_of
 
 CAPACITY = 4096
 QUANTUM = 16
@@ -103,15 +103,9 @@ class WordIds:
                 yield b"".join(map(self.words.__getitem__, words))
 
 
-_ENCODERS: dict[int, WordIds] = {}
-
-
 def word_ids(model: bytes) -> WordIds:
-    """One encoder for each Python worker and model."""
-    key = zlib.crc32(model)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordIds(model)
-    return _ENCODERS[key]
+    """The worker's encoder for this model."""
+    return held_by_worker(("packing", zlib.crc32(model)), lambda: WordIds(model))
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, model: bytes) -> DataFrame:

@@ -20,22 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import carried, labelled_sample, materialize, text_of, uncarried, utf8, word_cache
+from tillroll.llm.common import carried, held_by_worker, labelled_sample, materialize, text_of, uncarried, utf8, word_cache
 
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 2000  # texts of each label to fit on, about
 KEY_UNITS = 1 << 20  # keys are whole numbers of 1 / KEY_UNITS
-CACHE_WORDS = 400_000  # per Python worker
+CACHE_WORDS = 250_000  # per Python worker
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 AGAIN = zlib.crc32(b"\0again")  # stands for a token that repeats the one before it
 
-_HASHES = word_cache(lambda token: zlib.crc32(utf8(token)), CACHE_WORDS)
+def _hashes() -> dict:
+    return held_by_worker("quality", lambda: word_cache(lambda token: zlib.crc32(utf8(token)), CACHE_WORDS))
 
 
 def ngram_buckets(text: str) -> np.ndarray:
     """Buckets of the tokens and token pairs of a text, lower case; words and runs of marks are tokens."""
     tokens = TOKENS.findall(text.lower())
-    one = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    one = np.fromiter(map(_hashes().__getitem__, tokens), np.uint64, len(tokens))
     if len(one) > 1:
         one[1:][one[1:] == one[:-1]] = AGAIN
     two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import public_file, text_of, utf8, word_cache
+from tillroll.llm.common import held_by_worker, public_file, text_of, utf8, word_cache
 
 MARK = "▁"
 UNIT = 1 << 20
@@ -124,9 +124,6 @@ class TokenTrie:
         return sum(map(self.counts.__getitem__, words))
 
 
-_TRIES: dict[int, TokenTrie] = {}
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                  vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_tokens`` (long).
@@ -138,8 +135,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(sent.value)
-        trie = _TRIES.get(key) or _TRIES.setdefault(key, TokenTrie(sent.value))
+        trie = held_by_worker(("trie", zlib.crc32(sent.value)), lambda: TokenTrie(sent.value))
         for batch in batches:
             words, tokens = [], []
             for text in batch.column("text").to_pylist():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import carried, labelled_sample, text_of, uncarried, utf8, word_cache
+from tillroll.llm.common import carried, held_by_worker, labelled_sample, text_of, uncarried, utf8, word_cache
 
 SAMPLE_ROWS = 500  # texts of each class to fit on, about
 WINDOW = 8
@@ -31,7 +31,7 @@ SIZE = 4
 SHORTEST, LONGEST = 3, 5
 STEPS = 40
 ROUNDS = 3
-CACHE_WORDS = 300_000  # per Python worker
+CACHE_WORDS = 200_000  # per Python worker
 WORDS = re.compile(r"[^\s.,!?;:()\"|]+")
 
 
@@ -156,9 +156,6 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> tuple[np.ndarra
     return per_bucket, 6.0 / spread, float(-6.0 / spread * cut)
 
 
-_WORDS: dict[str, dict] = {}
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", *, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5,
                    carry: Sequence[str] = ()) -> DataFrame:
@@ -176,16 +173,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sent = spark.sparkContext.broadcast(per_bucket)  # BUCKETS numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _WORDS:
-            _WORDS.clear()
+        def known_words() -> dict:
             numbers = sent.value.tolist()
 
             def number(word: str) -> float:
                 own = ngrams(word)
                 return sum(numbers[g] for g in own) / len(own)
 
-            _WORDS[name] = word_cache(number, CACHE_WORDS)
-        known = _WORDS[name]
+            return word_cache(number, CACHE_WORDS)
+
+        known = held_by_worker(name, known_words)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
