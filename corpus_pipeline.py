@@ -25,8 +25,14 @@ from tillroll.session import checkpoint_root
 ORACLE_SQL = None
 
 
+ROWS_PER_BATCH = 1000  # sent to a Python worker at once; rows carry their text twice
+
+
 def _with_row(docs: DataFrame) -> DataFrame:
     """Id and text beside the whole row as one column, so that no column name can clash."""
+    conf, most = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(most)) <= ROWS_PER_BATCH:
+        conf.set(most, str(ROWS_PER_BATCH))
     return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
 
 
@@ -57,7 +63,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 4096 tokens."""
-    return best_fit_packing(docs)
+    return best_fit_packing(_with_row(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

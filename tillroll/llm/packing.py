@@ -28,7 +28,7 @@ CAPACITY = 4096
 QUANTUM = 16
 GROUP_PIECES = 8192
 END_ID = 1
-CACHE_WORDS = 300_000  # per Python worker
+CACHE_WORDS = 250_000  # per Python worker
 CHUNK_CHARS = 4_000_000
 LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
 
@@ -48,7 +48,7 @@ class WordIds:
 
         self.full = Tokenizer.from_buffer(model)
         self.full.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.merges = Tokenizer.from_buffer(model).model
+        self.merges = self.full.model
         self.merges._resize_cache(0)  # each run of letters is asked for once
         # bytes with a visible character of their own stand for themselves, the others for characters from 256 on
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
