@@ -144,3 +144,13 @@ def test_min_hashes_estimate_similarity():
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((min_hashes(a) == min_hashes(b)).mean() - true) < 0.2
     assert len(shingles("")) == 0 and len(shingles("a b")) == 1 and len(shingles("a b c d e f")) == 2
+
+
+def test_join_of_long_texts_that_differ_in_their_last_word(spark):
+    rng = random.Random(11)
+    pairs = []
+    for g in range(8):  # more than a searched bucket holds; nearly all min-hash values of a group agree
+        base = " ".join(f"u{rng.randrange(100_000)}" for _ in range(1500))
+        pairs += [(1000 * g + i, f"{base} end{i}") for i in range(140)]
+    got = jaccard_join(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert Counter((r.class_id, r.class_size, r.n_links) for r in got) == {(1000 * g, 140, 139): 140 for g in range(8)}
