@@ -117,3 +117,42 @@ def test_codec_round_trip_of_awkward_rows(spark):
     got = decode_documents(coded).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(r[0]), r[1] or "") for r in rows())
     assert encode_documents(empty(spark)).collect() == decode_documents(encode_documents(empty(spark))).collect() == []
+
+
+def test_occurrences_of_a_word_are_segmented_apart(spark):
+    codec, word = MergeCodec(MODEL, 1, 0.1), "government,"
+    first = [codec.encode(f"{word} {word} {word}", str(k)) for k in range(2000)]
+    assert len(set(first)) > 20
+    assert {codec.decode(ids) for ids in first} == {f"{word} {word} {word}"}
+    ids = [codec.encode(" ".join([word] * 5000), str(k)) for k in range(2)]
+    assert ids[0] != ids[1]
+    df = spark.createDataFrame([(k, "the government of the people") for k in range(60)], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in encode_documents(df, seed=5, dropout=0.2).collect()}) > 5
+
+
+def test_dropout_rate_is_that_of_every_candidate():
+    def plain(symbols: list[str], rng) -> tuple[str, ...]:
+        barred = set()
+        while True:  # symbols as (start, text)
+            pairs = [(codec.rank[a[1] + b[1]], a[0], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))
+                     if a[1] + b[1] in codec.rank and (a, b) not in barred]
+            if not pairs:
+                return tuple(s for _, s in symbols)
+            k = min(pairs)[2]
+            if rng.random() < 0.3:
+                barred.add((symbols[k], symbols[k + 1]))
+            else:
+                symbols = [*symbols[:k], (symbols[k][0], symbols[k][1] + symbols[k + 1][1]), *symbols[k + 2:]]
+
+    codec, rng, n = MergeCodec(MODEL, 3, 0.3), np.random.default_rng(1), 20_000
+    start = list(enumerate(MARK + "thing"))
+    wanted, got = {}, {}
+    for _ in range(n):
+        s = tuple(codec.ids[x] for x in plain(list(start), rng))
+        wanted[s] = wanted.get(s, 0) + 1
+    for k in range(n):
+        ids = codec.encode("thing", str(k))
+        s = struct.unpack(f"<{len(ids) // 4}I", ids)
+        got[s] = got.get(s, 0) + 1
+    for s in wanted.keys() | got.keys():
+        assert abs(wanted.get(s, 0) - got.get(s, 0)) < 0.02 * n

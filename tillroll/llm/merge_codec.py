@@ -1,23 +1,28 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 The encoder runs the merges of a public byte-fallback BPE vocabulary with an agenda, the best merge first and of equals
-the leftmost. Each candidate merge that comes up is skipped if a hash keyed by seed, unit, place and piece falls under
-the dropout rate. Without dropout the ids are those of the SentencePiece library; with it, each seed gives other
-segmentations, always the same ones for one seed, whatever the partitioning. All of them decode to the text.
+the leftmost. Each candidate merge that comes up is skipped with the dropout rate; how many come up before the next one
+that is skipped is drawn by a hash keyed by seed, document, text, and the place in it. Without dropout the ids are those
+of the SentencePiece library; with it, each seed gives other segmentations, and so does each occurrence of a word, always
+the same ones for one seed, whatever the partitioning. All of them decode to the text.
 
 Merges stay inside *units*: a run of blanks with the word after it, a line end with the word after it, and the marks at
-a word's end where no piece joins them to it. A unit's ids do not depend on its neighbours, so each task keeps them in
-a bounded cache.
+a word's end where no piece joins them to it. A unit's ids depend on the unit and on which of its candidates are
+skipped only, so each task keeps those without a skip, and those with a few, in bounded caches.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
+import math
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +31,9 @@ from tillroll.llm.common import held_by_worker, public_file, text_of, utf8, word
 
 MARK = "▁"
 CACHE_UNITS = 400_000  # per Python worker
+CACHE_SKIPS = 400_000  # units with skipped candidates, per Python worker
+HELD_SKIPS = 4  # of a unit, at most
+NEVER = 1 << 60  # more candidates than a text has
 MASK = (1 << 64) - 1
 RUNS = re.compile(r"\n[^ \n]*| +[^ \n]*")
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
@@ -56,17 +64,33 @@ class MergeCodec:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         # merges may join a word's end and the marks after it only if some piece has both
         self.ends_apart = not any(re.search(f"{LETTER}[.,!?;:]", p) for p in self.ids)
-        self.seed, self.limit = seed & MASK, int(dropout * (1 << 32))
+        self.seed, self.rate = seed & MASK, dropout
+        self.log_kept = math.log1p(-dropout) if dropout < 1 else -math.inf
         self.cache = word_cache(self._unit, CACHE_UNITS)
+        self.skipped = word_cache(self._skipped, CACHE_SKIPS)
 
-    def _key(self, unit: str) -> int:
-        """Where the hashes of a unit's candidates start from."""
-        x = (self.seed * 0x9E3779B97F4A7C15 + zlib.crc32(utf8(unit)) * 0xD1B54A32D192ED03) & MASK
-        return (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    def _gaps(self, key: int, units: int) -> np.ndarray:
+        """Candidates of each unit of a text that come up before the first one that is skipped."""
+        x = np.uint64(key) + np.arange(1, units + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return np.floor(np.log(((x >> np.uint64(11)) + 0.5) / (1 << 53)) / self.log_kept)
 
-    def _merge(self, symbols: list[str], key: int) -> list[str]:
-        """The symbols after all merges; '' marks one that was joined to the symbol before it."""
-        ids, rank, limit, push, pop = self.ids, self.rank.get, self.limit, heapq.heappush, heapq.heappop
+    def _later_gaps(self, key: int, unit: int) -> Iterator[int]:
+        """Candidates of that unit of the text between one that is skipped and the next, in turn."""
+        state = (key ^ (unit + 1) * 0xD1B54A32D192ED03) & MASK
+        while True:
+            state = (state + 0x8CB92BA72F3D8DD7) & MASK
+            x = (state ^ state >> 30) * 0xD6E8FEB86659FD93 & MASK
+            x = (x ^ x >> 27) * 0xBF58476D1CE4E5B9 & MASK
+            yield int(math.log((((x ^ x >> 31) >> 11) + 0.5) / (1 << 53)) / self.log_kept)
+
+    def _merge(self, symbols: list[str], left: int, gaps: Iterator[int], since: int) -> tuple[list[str], int, int]:
+        """The symbols after all merges, where '' marks one that was joined to the symbol before it; how many candidates
+        came up since the last one that was skipped; and how many more may come up before the next one. ``left`` are
+        those before the first, ``gaps`` those between it and later ones, ``since`` the count so far."""
+        rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
         n = len(symbols)
         agenda = []
         for i in range(n - 1):
@@ -75,17 +99,18 @@ class MergeCodec:
             if r is not None:
                 agenda.append((r, i, i + 1, piece))
         if not agenda:
-            return symbols
+            return symbols, since, left
         heapq.heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
             _, i, j, piece = pop(agenda)
             if after[i] != j or not symbols[i] or len(symbols[i]) + len(symbols[j]) != len(piece):
                 continue  # one of the two has changed: symbols only grow, and only to the right
-            if limit:
-                x = (key + i * 0x8CB92BA72F3D8DD7 + ids[piece] * 0x94D049BB133111EB) & MASK
-                if ((x ^ x >> 29) * 0xD6E8FEB86659FD93 & MASK) >> 32 < limit:
-                    continue
+            if not left:
+                left, since = next(gaps), 0
+                continue
+            left -= 1
+            since += 1
             symbols[i], symbols[j] = piece, ""
             k = after[i] = after[j]
             if k < n:
@@ -100,20 +125,23 @@ class MergeCodec:
                 r = rank(joined)
                 if r is not None:
                     push(agenda, (r, h, i, joined))
-        return symbols
+        return symbols, since, left
 
-    def _unit(self, key: str) -> bytes:
-        """Ids of a unit: a line end and what follows, or what follows a blank."""
-        if key[-1:] in MARKS and self.ends_apart and (m := ENDING.fullmatch(key)):
-            return self.cache[m[1]] + self._ids(m[2], self._key(key))
-        return self._ids(key if key[:1] == "\n" else " " + key, self._key(key))
+    def _parts(self, unit: str) -> tuple[str, str]:
+        """The unit, a line end and what follows or what follows a blank, without the marks that are merged apart; and
+        these."""
+        if unit[-1:] in MARKS and self.ends_apart and (m := ENDING.fullmatch(unit)):
+            return m[1], m[2]
+        return unit, ""
 
-    def _ids(self, raw: str, key: int) -> bytes:
+    def _ids(self, raw: str, left: int, gaps: Iterator[int], since: int = 0) -> tuple[bytes, int, int]:
+        """Ids, and the counts of ``_merge``."""
         # a literal mark in the text is no blank: it has no symbol and goes byte by byte
         symbols = list(raw.replace(" ", MARK)) if MARK not in raw else [
             MARK if c == " " else "\0" + c if c == MARK else c for c in raw]
         out = []
-        for s in self._merge(symbols, key):
+        symbols, since, left = self._merge(symbols, left, gaps, since)
+        for s in symbols:
             if not s:
                 continue
             own = self.ids.get(s)
@@ -121,17 +149,57 @@ class MergeCodec:
                 out.append(own)
             else:
                 out += [self.byte_id[b] for b in utf8(s[1:] if s[0] == "\0" and len(s) > 1 else s)]
-        return struct.pack(f"<{len(out)}I", *out)
+        return struct.pack(f"<{len(out)}I", *out), since, left
+
+    def _run(self, unit: str, gaps: Iterator[int]) -> tuple[bytes, int]:
+        """Ids of a unit, and how many of its candidates came up since the last one that was skipped."""
+        word, marks = self._parts(unit)
+        ids, since, left = self._ids(word if word[:1] == "\n" else " " + word, next(gaps), gaps)
+        if marks:
+            more, since, _ = self._ids(marks, left, gaps, since)
+            ids += more
+        return ids, since
+
+    def _unit(self, unit: str) -> tuple[bytes, int]:
+        """Ids of a unit without a skip, and its number of candidates."""
+        word, marks = self._parts(unit)
+        if marks:
+            (ids, n), (more, m, _) = self.cache[word], self._ids(marks, NEVER, iter(()))
+            return ids + more, n + m
+        return self._run(unit, iter((NEVER,)))
+
+    def _skipped(self, key: tuple) -> tuple[bytes, int]:
+        """Ids of a unit with skips after so many candidates each, and the number that come up after the last."""
+        return self._run(key[0], iter((*key[1:], NEVER)))
+
+    def _drawn(self, unit: str, first: int, key: int, place: int) -> bytes:
+        """Ids of the unit at that place of the text, of which so many candidates come up before the first skip."""
+        gaps, held = self._later_gaps(key, place), (unit, first)
+        while len(held) <= HELD_SKIPS:
+            ids, n = self.skipped[held]
+            gap = next(gaps)
+            if gap >= n:
+                return ids
+            held += (gap,)
+        return self._run(unit, itertools.chain(held[1:], gaps))[0]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes."""
+    def encode(self, text: str, document: str = "") -> bytes:
+        """Ids as little-endian unsigned 32-bit bytes; the same text has other ones in another document."""
         if not text:
             return b""
         if "  " in text:
             units = [u if u[0] == "\n" else u[1:] for u in RUNS.findall(" " + text)]
         else:
             units = text.replace("\n", " \n").split(" ")
-        return b"".join(map(self.cache.__getitem__, units))
+        if not self.rate:
+            return b"".join([self.cache[u][0] for u in units])
+        raw = utf8(f"{self.seed}\0{document}\0{text}")
+        key = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+        found, counts = map(list, zip(*map(self.cache.__getitem__, units), strict=True))
+        gaps = self._gaps(key, len(units))
+        for k in np.flatnonzero(gaps < np.array(counts)).tolist():
+            found[k] = self._drawn(units[k], int(gaps[k]), key, k)
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         """The text of such ids; broken UTF-8, as cut ids may hold, becomes U+FFFD."""
@@ -150,8 +218,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      dropout: float = 0.1, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """One row per input row: id, ``ids`` (array of int).
 
-    Null and empty texts have no ids. Rows with the same id, or none, each give a row. An empty table gives an empty
-    result. Other columns are not read.
+    Null and empty texts have no ids. Rows with the same id, or none, each give a row; if they have the same text, they
+    have the same ids. An empty table gives an empty result. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(public_file(vocabulary))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -159,7 +227,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value, seed, dropout)
         for batch in batches:
-            coded = [own.encode(t) for t in batch.column("text").to_pylist()]
+            coded = [own.encode(t, "" if k is None else str(k)) for k, t in zip(
+                batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             ends = [0]
             for c in coded:
                 ends.append(ends[-1] + len(c) // 4)
