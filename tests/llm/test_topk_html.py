@@ -77,3 +77,22 @@ def test_parts_of_a_page():
     }
     for page, text in cases.items():
         assert main_text(page, frozenset(), None) == text
+
+
+def test_layout_wrappers_are_no_furniture():
+    cases = {
+        '<div class="content-sidebar-wrap"><main><p>all of it</p></main></div>': "all of it",
+        '<div class="site has-sidebar"><div class="sidebar">no</div><p>all of it</p></div>': "all of it",
+        '<div class="layout no-ads"><article><p>all of it</p></article></div>': "all of it",
+        '<form id="aspnetForm"><nav>menu</nav><div><p>all of it</p></div><div class="comments"><p>no, no</p></div></form>':
+            "all of it",
+        '<div class="sidebar"><main role="main"><p>all of it</p></main></div><p>no</p>': "all of it",
+        '<form><article><p>all of it</p></article><div class="comments"><article>no</article></div></form>': "all of it",
+        '<article><div class="post-header"><h1>Title</h1></div><p>text</p></article>': "Title text",
+        '<article><div class="header"><h1>Title</h1></div><p>text</p><div class="share">no</div></article>': "Title text",
+        "<article><figure><img><figcaption>caption</figcaption></figure><p>text <math><mi>x</mi><mo>=</mo><mn>1</mn>"
+        "<annotation>x=1</annotation></math></p></article>": "caption text x=1",
+        '<div class="modal"><p>Sign up</p></div><div><p>the longer text of the page</p></div>': "the longer text of the page",
+    }
+    for page, text in cases.items():
+        assert main_text(page, frozenset(), None) == text, page

@@ -36,23 +36,28 @@ FLUSH_TOKENS = 100_000  # of a task's partial aggregation
 
 # fixed values: elements and class words of page furniture, and how elements break text
 FURNITURE = frozenset("head title nav footer aside form button select option label fieldset dialog menu iframe object "
-                      "figcaption".split())
+                      "annotation annotation-xml".split())
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side rail aside ad ads "
     "adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login form search share sharing "
     "social related recommended comment comments commentlist disqus respond reply replies pagination pager widget "
     "skip toolbar copyright legal".split())
+# words that a name of furniture may have besides
+PLACES = frozenset("site page global main top bottom left right primary secondary area list links link block box bar item "
+                   "items inner outer wrap wrapper container section group button buttons icons posts articles".split())
+NEVER_LAYOUT = frozenset("comment comments commentlist disqus respond reply replies".split())
 ARTICLE = frozenset(("article", "main"))
 RUNNING = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dd td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup "
+                   "msubsup munder mover munderover mstyle mspace mpadded mphantom semantics".split())
 CLOSED_BY_THEMSELVES = frozenset("p li dt dd tr td th option".split())
 
 PIECE = re.compile(
     r"<(?:!--.*?(?:-->|\Z)"
-    r"|(?i:(script|style|noscript|template|textarea|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z))"
+    r"|(?i:(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z))"
     r"|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)"
     r"|[!?/][^>]*(?:>|\Z))", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -69,11 +74,11 @@ def _hash(*parts: object) -> int:
 class Node:
     """A text node: text with references decoded, element path, and where it stands."""
 
-    __slots__ = ("article", "furniture", "link", "path", "running", "text")
+    __slots__ = ("article", "furniture", "link", "path", "running", "text", "wrappers")
 
     def __init__(self, text: str, element: tuple):
         self.text = text
-        _, self.path, self.furniture, self.article, self.link, self.running = element
+        _, self.path, self.furniture, self.wrappers, self.article, self.link, self.running = element
 
     @property
     def token(self) -> int:
@@ -95,24 +100,64 @@ def _element(tag: str, attributes: str, around: tuple) -> tuple:
     return known
 
 
+def _names_furniture(words: list[str], article: bool) -> bool:
+    """Whether a whole class name or id is that of furniture: no word in it is about something else."""
+    own = FURNITURE_WORDS.intersection(words)
+    if not own or not FURNITURE_WORDS.issuperset(set(words) - PLACES):
+        return False
+    # the header of an article or of a page's text holds its headline
+    return not (own <= {"header", "masthead"} and (article or "page" in words))
+
+
 def _new_element(tag: str, telling: tuple, around: tuple) -> tuple:
-    """(tag, path, in furniture, in article, in link, in running text) of an element."""
-    _, path, furniture, article, link, running = around
-    article = article or tag in ARTICLE
+    """(tag, path, in furniture, in wrappers, in article, in link, in running text) of an element. Wrappers are those
+    that are furniture unless they hold the text of the page: forms, and what is known by its names only."""
+    _, path, furniture, wrappers, article, link, running = around
+    main = tag == "main" or any(k.lower() == "role" and "main" in (v.lower() for v in values) for k, *values in telling)
+    if main and not article:
+        furniture, wrappers = False, ()
+    article = article or main or tag in ARTICLE
     name = tag
-    own = tag in FURNITURE or (tag == "header" and not article)
+    own = (tag in FURNITURE and tag != "form") or (tag == "header" and not article)
+    soft, layout = tag == "form", True
     for key, *values in telling:
         value = next((v for v in values if v), "").lower()
         if key.lower() == "role":
-            article = article or value == "main"
-            own = own or value in ROLES
+            soft, own = soft or value == "form", own or (value in ROLES and value != "form")
             continue
         words = WORD.findall(value)
-        if tag not in ("html", "body") and tag not in ARTICLE:
-            own = own or not FURNITURE_WORDS.isdisjoint(words)
+        if tag not in ("html", "body") and tag not in ARTICLE and not main:
+            for one in value.split():
+                parts = WORD.findall(one)
+                if _names_furniture(parts, article):
+                    soft, layout = True, layout and NEVER_LAYOUT.isdisjoint(parts)
         if key.lower() == "class" and words:
             name += "." + "-".join(words)
-    return (tag, f"{path}/{name}", furniture or own, article, link or tag == "a", running or tag in RUNNING)
+    path = f"{path}/{name}"
+    if soft and layout:
+        wrappers = (*wrappers, path)
+    return (tag, path, furniture or own or (soft and not layout), wrappers, article, link or tag == "a",
+            running or tag in RUNNING)
+
+
+def _judge(nodes: list[Node | None]) -> None:
+    """Text in a wrapper is furniture, unless the page has no article outside one and the wrapper holds most of its
+    running text."""
+    texts = [n for n in nodes if n is not None]
+    if not any(n.wrappers for n in texts):
+        return
+    able = [n for n in texts if not n.furniture]
+    opened: set[str] = set()
+    if not any(n.article and not n.wrappers for n in able):
+        telling = [n for n in able if n.running and not n.link] or [n for n in able if not n.link]
+        held: dict[str, int] = {}
+        for n in telling:
+            for w in set(n.wrappers):
+                held[w] = held.get(w, 0) + len(n.text)
+        total = sum(len(n.text) for n in telling)
+        opened = {w for w, size in held.items() if 2 * size > total}
+    for n in able:
+        n.furniture = not opened.issuperset(n.wrappers)
 
 
 def parse(page: str) -> tuple[list[Node | None], list[str]]:
@@ -120,7 +165,7 @@ def parse(page: str) -> tuple[list[Node | None], list[str]]:
     it goes: a tag without an end counts as a tag, an element without an end ends with the one around it."""
     nodes: list[Node | None] = []
     paths: list[str] = []
-    stack: list[tuple] = [("", "", False, False, False, False)]
+    stack: list[tuple] = [("", "", False, (), False, False, False)]
     at = 0
     for m in PIECE.finditer(page):
         if m.start() > at:
@@ -154,6 +199,7 @@ def parse(page: str) -> tuple[list[Node | None], list[str]]:
             stack.append(element)
     if at < len(page):
         _text(nodes, page[at:], stack[-1])
+    _judge(nodes)
     return nodes, paths
 
 
