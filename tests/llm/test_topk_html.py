@@ -96,3 +96,25 @@ def test_layout_wrappers_are_no_furniture():
     }
     for page, text in cases.items():
         assert main_text(page, frozenset(), None) == text, page
+
+
+SPLIT = """<body><div class="x1"><span>Home</span><span>News</span></div><div class="x2"><h1>Story {n}</h1>
+<div class="lead">Lead of {n}{lead}.</div><div class="body"><p>Body of {n}{body}.</p></div></div></body>"""
+
+
+def test_text_of_pages_without_an_article_stays_whole(spark):
+    fill = {"lead": " and more of it" * 6, "body": " and still more of it" * 9}
+    pages = [(n, f"http://a.example/{n}", SPLIT.format(n=n, **fill)) for n in range(12)]
+    pages.append((50, "http://a.example/50", f"<body><div class='y'>Other {'layout ' * 20}</div><div class='x2'>scrap</div>"))
+    # more than half of a host's pages copy one article, and all pages of another are copies
+    pages += [(100 + n, f"http://b.example/{n}", PAGE.format(n=max(n, 11), more="")) for n in range(20)]
+    pages += [(200 + n, f"http://c.example/{n}", PAGE.format(n=7, more="")) for n in range(20)]
+    got = {r.page_id: r.text for r in extract_main_text(
+        spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in range(12):
+        assert got[n] == f"Story {n} Lead of {n}{fill['lead']}. Body of {n}{fill['body']}."
+    assert got[50] == f"Other {'layout ' * 20}scrap"
+    for n in range(20):
+        k = max(n, 11)
+        assert got[100 + n] == f"Story {k} Body of story {k}, with <tags> & more. Second part {k}"
+        assert "Story 7 Body of story 7, with <tags> & more. Second part 7" in got[200 + n]

@@ -3,16 +3,17 @@
 Tokens of a page are its elements (by path: tags and classes from the root) and its text nodes (by path and text). The
 occurrence vector of a token counts it on each page of one host. Tokens that come the same number of times wherever
 they occur, and whose vectors are the same up to that number, form an equivalence class; a class is valid if it has
-several tokens and is on most pages of the host. A text token of a valid class belongs to the host's template if the element around it does too:
-valid classes nest along the element paths. What the template leaves are slots. The slot region that holds most of the
-host's text is its main region.
+several tokens and is on most pages of the host. A text token of a valid class belongs to the host's template if the
+element around it is in the same class: wherever the element is, so is the text. (Copies of one article on many pages
+stand in elements that have other texts elsewhere.) What the template leaves are slots. The deepest element that holds
+nearly all of the slots' text of a host is its main region.
 
 Vectors are never built: each page adds its hash to a token's signature by exclusive or, and the least and the largest
 count are kept, so classes come from partial aggregations by (host, token), and the page side of the last join is a
 plain equi-join on the host.
 
 The text of a page is that of its slots inside its article (the ``article`` or ``main`` element or, if it has none, the
-host's main region), without menus, headers, footers, sidebars, notices, adverts, forms and comments, which are known
+host's main region and running text elsewhere, or all of its slots where the region holds less of them), without menus, headers, footers, sidebars, notices, adverts, forms and comments, which are known
 by their elements, roles and class names. Running text inside an explicit article stays even if many pages share it.
 """
 
@@ -32,6 +33,7 @@ from tillroll.llm.common import materialize, utf8
 LEAST_PAGES = 5  # of a host, for a class to be valid
 LEAST_SHARE = 0.5  # of its pages
 LEAST_TOKENS = 2  # in a class
+NEARLY_ALL = 0.9  # of the slots' text, for a region to hold it
 FLUSH_TOKENS = 100_000  # of a task's partial aggregation
 
 # fixed values: elements and class words of page furniture, and how elements break text
@@ -218,9 +220,11 @@ def main_text(page: str, template: frozenset[int], region: str | None) -> str:
     if any(n.article for n in able):
         chosen = {id(n) for n in able if n.article and (n.running or not template or n.token not in template)}
     else:
-        slots = [n for n in able if n.token not in template]
-        inside = [n for n in slots if region and (n.path + "/").startswith(region + "/")]
-        chosen = {id(n) for n in inside or slots}
+        # a page of which nothing is its own is a copy among copies: no template tells its text apart
+        slots = [n for n in able if n.token not in template] or able
+        inside = {id(n) for n in slots if region and (n.path + "/").startswith(region + "/")}
+        held, whole = (sum(len(n.text) for n in x if not n.link) for x in ([n for n in slots if id(n) in inside], slots))
+        chosen = {id(n) for n in slots if n.running or id(n) in inside or held < NEARLY_ALL * whole}
     parts: list[str] = []
     for n in nodes:
         if n is None:
@@ -268,6 +272,7 @@ def host_templates(rows: DataFrame) -> DataFrame:
                     counts[token] = counts.get(token, 0) + 1
                     if not (n.furniture or n.link):
                         own[n.path] = own.get(n.path, 0) + len(n.text)
+                        chars[token] = chars.get(token, 0) + len(n.text)
                 for path, size in own.items():  # text counts for every element around it
                     chars["", 0] = chars.get(("", 0), 0) + size
                     while path:
@@ -298,17 +303,26 @@ def host_templates(rows: DataFrame) -> DataFrame:
     classes = common.where(F.col("least") == F.col("most")).groupBy("host", "vector", "pages").agg(
         F.count(F.lit(1)).alias("size"),
         F.collect_set(F.when(F.col("token") == 0, F.col("path"))).alias("elements"),
-        F.collect_list(F.when(F.col("token") != 0, F.struct("path", "token"))).alias("texts"),
+        F.collect_list(F.when(F.col("token") != 0, F.struct("path", "token", "chars"))).alias("texts"),
     ).where(F.col("size") >= LEAST_TOKENS)
-    # nesting: a class's texts stand in an element of its own or of a class around it, that is of any valid class
-    nested = classes.groupBy("host").agg(F.flatten(F.collect_list("elements")).alias("elements"),
-                                         F.flatten(F.collect_list("texts")).alias("texts")).select(
-        "host", F.expr("transform(filter(texts, t -> array_contains(elements, t.path)), t -> t.token)").alias("template"))
+    # a class's texts that stand in elements of its own
+    texts = classes.select("host", F.explode(F.expr("filter(texts, t -> array_contains(elements, t.path))")).alias("t"))
+    texts = texts.select("host", "t.*")
+    template = texts.groupBy("host").agg(F.collect_list("token").alias("template"))
+    # what they hold of the text of every element around them
+    around = F.expr("transform(sequence(1, size(split(path, '/'))), k -> array_join(slice(split(path, '/'), 1, k), '/'))")
+    taken = texts.select("host", "chars", F.explode(around).alias("path")).groupBy("host", "path").agg(
+        F.sum("chars").alias("taken"))
+    of_host = whole.join(taken.where("path = ''").drop("path"), "host", "left").select(
+        "host", (F.col("host_chars") - F.coalesce("taken", F.lit(0))).alias("host_slots"))
     depth = F.size(F.split("path", "/"))
     name = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1)
     holds = (F.col("token") == 0) & ~name.isin(*RUNNING, *INLINE)  # elements that hold blocks, not running text
-    region = common.where(holds & (F.col("chars") >= 0.5 * F.col("host_chars")) & (F.col("chars") > 0)).groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("region"))
-    return nested.join(region, "host", "full")
+    slots = common.where(holds & (F.col("chars") > 0)).join(taken, ["host", "path"], "left").join(of_host, "host").select(
+        "host", "path", "host_slots", (F.col("chars") - F.coalesce("taken", F.lit(0))).alias("chars"))
+    region = slots.where((F.col("chars") >= NEARLY_ALL * F.col("host_slots")) & (F.col("chars") > 0)).groupBy("host").agg(
+        F.max_by("path", F.struct(depth, "chars", "path")).alias("region"))
+    return template.join(region, "host", "full")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
