@@ -150,3 +150,11 @@ def test_resampling_of_awkward_rows(spark):
     assert all(r.kept for r in resample(df, df.select("doc_id", F.lit(1).alias("quality"))).collect())
     assert not any(r.kept for r in resample(df, labels, k=0).collect())
     assert resample(empty(spark), empty(spark).select("doc_id", F.lit(1).alias("quality"))).collect() == []
+
+
+def test_sample_is_drawn_among_the_rows_that_are_left(spark):
+    from tillroll.llm.common import labelled_sample
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k in range(4000)], "doc_id long, toxic boolean")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(4000) if k % 2 or k < 100], "doc_id long, text string")
+    sample = labelled_sample(docs, labels, "doc_id", "text", "toxic", 60)
+    assert sum(label for label, _ in sample) >= 50  # all 50, as there are fewer than 60 left

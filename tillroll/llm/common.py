@@ -52,10 +52,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
                     seed: int = 0) -> list[tuple[object, str]]:
     """(label, text) of about n rows of each label, or all if it has fewer, chosen by a hash of the id.
 
-    The rows are chosen among ``labels`` (id and label, no texts), so only the chosen ids, about n for each label, go
+    The rows are chosen among ``labels`` (id and label, no texts) whose id is in ``docs``, so only the chosen ids, about n for each label, go
     to the tasks that read the texts. Null labels are left out. Labels are a small set. In order of label and text.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
+    own = own.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = own.join(sizes, "label").where(draw * F.col("of_label") < n).select("id", "label").dropDuplicates()
