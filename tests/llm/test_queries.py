@@ -18,11 +18,15 @@ COLUMNS = {
     "op5_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op7_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_exact_top_k": ["query_id", "rank", "vec_id", "score"],
+    "op11_centroid_clustering": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op12_hilbert_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op13_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost",
+                          "toxic_lost", "shapley"],
 }
 
 
-def test_eleven_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_all_queries_are_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
@@ -32,7 +36,7 @@ def test_columns_and_sql(spark, name):
     assert got.columns == COLUMNS[name]
     if name in ORACLE:
         con = duckdb.connect()
-        for table in ("documents", "embeddings"):
+        for table in ("documents", "embeddings", "labels"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF001}/{table}.parquet')")
         want = con.execute(ORACLE[name])
         names = [d[0] for d in want.description]
