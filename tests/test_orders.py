@@ -27,13 +27,15 @@ def _orders(spark, rows, method, **kw):
     df = spark.createDataFrame(rows, SCHEMA)
     if method == "narrow":  # chunks narrower than the gap
         method, kw = "chunked", {**kw, "chunk_seconds": 120}
+    if method == "dense":  # chunks of one or two items
+        method, kw = "density", {**kw, "chunk_rows": 2}
     out = sessionize_orders(df, method=method, keep_helpers=True, tie_break=["coffee_name", "money"], **kw)
     got = [(r.datetime, r.coffee_name, r.customer_key, r.order_group_id, r.order_id, r.total_products_in_order,
             r.total_value_of_order, r.previous_datetime, r.time_diff_seconds) for r in out.collect()]
     return sorted(got, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-@pytest.mark.parametrize("method", ["window", "chunked", "narrow"])
+@pytest.mark.parametrize("method", ["window", "chunked", "narrow", "dense"])
 def test_gap_boundaries(spark, method):
     # gaps: 300.000 s (new order), then 299.999 s twice (joined)
     rows = [(_s(0), "A", "card", "x", 1.0), (_s(300), "A", "card", "y", 2.0),
@@ -47,7 +49,7 @@ def test_gap_boundaries(spark, method):
     assert [g[8] for g in got] == [None, 300, 299, 299]
 
 
-@pytest.mark.parametrize("method", ["window", "chunked", "narrow"])
+@pytest.mark.parametrize("method", ["window", "chunked", "narrow", "dense"])
 def test_whole_seconds_not_clock_boundaries(spark, method):
     rows = [(_s(0, 900000), "A", "card", "x", 1.0), (_s(300, 100000), "A", "card", "y", 2.0)]
     got = _orders(spark, rows, method)
@@ -55,7 +57,7 @@ def test_whole_seconds_not_clock_boundaries(spark, method):
     assert got[1][8] == 299
 
 
-@pytest.mark.parametrize("method", ["window", "chunked", "narrow"])
+@pytest.mark.parametrize("method", ["window", "chunked", "narrow", "dense"])
 def test_ties_share_one_order(spark, method):
     rows = [(_s(0), "A", "card", "x", 1.5), (_s(0), "A", "card", "y", 2.25), (_s(1000), "A", "card", "z", 1.0)]
     got = _orders(spark, rows, method)
@@ -65,7 +67,7 @@ def test_ties_share_one_order(spark, method):
     assert [g[8] for g in got] == [None, 0, 1000]
 
 
-@pytest.mark.parametrize("method", ["window", "chunked", "narrow"])
+@pytest.mark.parametrize("method", ["window", "chunked", "narrow", "dense"])
 def test_cash_and_null_keys(spark, method):
     rows = [(_s(0), None, "cash", "x", 1.0), (_s(10), None, "cash", "y", 2.0),
             (_s(0), None, None, "x", 5.0), (_s(20), None, None, "y", 6.0)]
@@ -84,6 +86,15 @@ def test_methods_agree_on_test_data(spark, chunk):
     assert w.exceptAll(k).count() == 0 and k.exceptAll(w).count() == 0
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 7, 100, 10**6])
+def test_density_agrees_on_test_data(spark, chunk_rows):
+    from tillroll.plans.catalog import sales_clean
+    c = sales_clean(spark, "/root/testdata/sf0.001")
+    w = sessionize_orders(c, method="window", keep_helpers=True, tie_break=["coffee_name", "money"])
+    k = sessionize_orders(c, keep_helpers=True, tie_break=["coffee_name", "money"], chunk_rows=chunk_rows)
+    assert w.exceptAll(k).count() == 0 and k.exceptAll(w).count() == 0
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 5_000_000), st.integers(0, 3)), min_size=1, max_size=40))
 def test_chunked_equals_window(spark, events):
@@ -94,6 +105,7 @@ def test_chunked_equals_window(spark, events):
         rows.append((T0 + dt.timedelta(milliseconds=ms * 7), card, "cash" if card is None else "card",
                      f"p{i}", float(price) + 0.25))
     assert _orders(spark, rows, "window") == _orders(spark, rows, "chunked") == _orders(spark, rows, "narrow")
+    assert _orders(spark, rows, "dense") == _orders(spark, rows, "window")
 
 
 def test_item_rows_partition_input(spark):
@@ -113,9 +125,10 @@ def test_null_timestamps_agree(spark):
     rows = [(None, "A", "card", "x", 1.0), (None, "A", "card", "y", 2.0), (_s(0), "A", "card", "z", 3.0),
             (_s(100), "A", "card", "w", 4.0), (None, None, None, "v", 5.0)]
     assert _orders(spark, rows, "window") == _orders(spark, rows, "chunked") == _orders(spark, rows, "narrow")
+    assert _orders(spark, rows, "dense") == _orders(spark, rows, "window")
 
 
-@pytest.mark.parametrize("bad", [{"gap_seconds": 0}, {"gap_seconds": -5}, {"gap_seconds": 2.5}, {"chunk_seconds": 0}])
+@pytest.mark.parametrize("bad", [{"gap_seconds": 0}, {"gap_seconds": -5}, {"gap_seconds": 2.5}, {"chunk_seconds": 0}, {"chunk_rows": 0}])
 def test_rejects_bad_parameters(spark, bad):
     df = spark.createDataFrame([(_s(0), "A", "card", "x", 1.0)], SCHEMA)
     with pytest.raises(ValueError):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tillroll.operators.orders import sessionize_orders
+from tillroll.operators.orders import density_chunks, sessionize_orders
 from tillroll.plans.catalog import sales_clean
 
 
@@ -35,6 +35,27 @@ def test_hot_key_is_spread_over_chunks(spark):
                 spark.conf.set(k, v)
 
 
+def test_busy_day_of_one_key_is_cut_by_density(spark):
+    """One key holds every row and one second of one day most of them: no chunk over the limit but a single instant."""
+    start = F.lit("2024-03-01 10:00:00").cast("timestamp_ntz")
+    spread = spark.range(2000).select((F.col("id") * 7_200_000_000).alias("us"))
+    busy = spark.range(6000).select((F.lit(86_400_000_000 * 30) + F.col("id") * 150).alias("us"))
+    tie = spark.range(300).select(F.lit(86_400_000_000 * 31 + 5).cast("long").alias("us"))
+    rows = spread.unionByName(busy).unionByName(tie).select(
+        F.timestamp_add("MICROSECOND", F.col("us"), start).alias("datetime"), F.lit(None).cast("string").alias("card"),
+        F.lit("cash").alias("cash_type"), F.pmod("us", F.lit(900)).cast("double").alias("money"))
+    cold, hot = density_chunks(rows.select("*", F.lit("CASH_cash").alias("__k"), F.lit(False).alias("__kn")),
+                               "datetime", True, 100)
+    sizes = hot.groupBy("__ch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("datetime").alias("instants")).collect()
+    assert cold.count() == 0 and sum(r["n"] for r in sizes) == 8300
+    assert all(r["n"] <= 100 or r["instants"] == 1 for r in sizes) and max(r["n"] for r in sizes) == 300
+    assert len(sizes) < 600
+    columns = ["datetime", "order_id", "total_products_in_order", "total_value_of_order"]
+    dense = sessionize_orders(rows, chunk_rows=100).select(*columns)
+    window = sessionize_orders(rows, method="window").select(*columns)
+    assert dense.exceptAll(window).count() == 0 and window.exceptAll(dense).count() == 0
+
+
 def test_hot_basket_pairs(spark):
     """One basket holds a third of all rows (with repeats)."""
     from tillroll.operators.basket import pair_counts

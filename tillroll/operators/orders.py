@@ -6,12 +6,12 @@ stay at item grain; each row gets the order id (text of the order's first
 timestamp + ``_`` + customer key), the order's item count and its total value.
 Items at the same instant share one order (the running count includes peers).
 
-Two exact forms give the same rows:
+Three exact forms give the same rows:
 
 * ``method="window"``: one window partitioned by customer, as the SQL reads.
   Every row of a customer lands in one task, so one hot key (all cash sales
   share ``CASH_cash``) becomes one giant task.
-* ``method="chunked"`` (default): items are exchanged once, by (customer, time
+* ``method="chunked"``: items are exchanged once, by (customer, time
   chunk); a chunk is a day wide unless ``chunk_seconds`` says otherwise. Windows
   inside a chunk find the gaps, the groups and their totals. One edge row per
   (customer, chunk) carries what crosses chunk borders: last instant, open
@@ -19,6 +19,15 @@ Two exact forms give the same rows:
   (at most time span / chunk per customer) complete them, and they join the
   items, which are where the join wants them. A hot key's rows are spread over
   its chunks.
+* ``method="density"`` (default): chunk borders follow the rows. Items are counted
+  per customer first. A customer of up to ``chunk_rows`` items goes through the
+  window, which is one exchange. Only the others (few: total / ``chunk_rows`` of
+  them at most) are cut into chunks: cells whose width comes from the customer's
+  items per time span, then, where a cell holds more than ``chunk_rows`` items,
+  narrower cells inside it, again by its own density, until no cell is over that
+  or it is a single instant, which no border can part. So a chunk is bounded
+  however the time line is filled: one busy day or second is cut as finely as
+  it needs.
 """
 
 from __future__ import annotations
@@ -26,10 +35,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.clock import epoch_seconds, is_ntz, timestamp_text, whole_seconds_between
+from tillroll.functions.clock import epoch_micros, epoch_seconds, is_ntz, timestamp_text, whole_seconds_between
 from tillroll.functions.keys import customer_key
 from tillroll.functions.money import MONEY_SCALE, cents_to_amount, small_floor_div, to_cents
 
+# Cells of a customer's time line that are counted or broadcast at once; beyond it chunks grow with the input.
+MOST_CHUNKS = 100_000
 HELPERS = ["customer_key", "previous_datetime", "time_diff_seconds", "order_group_id"]
 
 
@@ -39,7 +50,7 @@ def sessionize_orders(
     value: str = "money",
     gap_seconds: int = 300,
     key: Column | str | None = None,
-    method: str = "chunked",
+    method: str = "density",
     keep_helpers: bool = False,
     id_digits: int = 6,
     order_id: str = "order_id",
@@ -48,6 +59,7 @@ def sessionize_orders(
     tie_break: list[str] | None = None,
     chunk_seconds: int = 86_400,
     money_scale: int = MONEY_SCALE,
+    chunk_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add ``order_id``, ``total_products_in_order``, ``total_value_of_order``.
 
@@ -56,14 +68,18 @@ def sessionize_orders(
     and ``order_group_id``.
     ``tie_break`` orders items of one customer at the same instant for
     ``previous_datetime`` only (which of them sees the earlier instant); order
-    assignment never depends on it. ``chunk_seconds`` is the width of a chunk:
-    any width gives the same rows; a narrow one spreads a hot customer further,
-    a wide one leaves fewer edge rows.
+    assignment never depends on it. ``chunk_seconds`` is the width of a chunk of
+    the chunked form, ``chunk_rows`` the most items of a chunk of the density
+    form (which counts items when it is called): any value gives the same rows;
+    a small one spreads a hot customer further, a large one leaves fewer edge
+    rows.
     """
     if not isinstance(gap_seconds, int) or gap_seconds < 1:
         raise ValueError(f"gap_seconds must be a whole number of seconds >= 1, not {gap_seconds!r}")
     if not isinstance(chunk_seconds, int) or chunk_seconds < 1:
         raise ValueError(f"chunk_seconds must be a whole number of seconds >= 1, not {chunk_seconds!r}")
+    if not isinstance(chunk_rows, int) or chunk_rows < 1:
+        raise ValueError(f"chunk_rows must be a whole number >= 1, not {chunk_rows!r}")
     ntz = is_ntz(df, ts)
     k = customer_key() if key is None else (F.col(key) if isinstance(key, str) else key)
     base_cols = df.columns
@@ -71,9 +87,12 @@ def sessionize_orders(
     if method == "window":
         out = _by_window(d, ts, ntz, gap_seconds, tie_break or [])
     elif method == "chunked":
-        out = _by_chunk(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [], chunk_seconds)
+        d = _plain_keys(d).withColumn("__ch", small_floor_div(epoch_seconds(F.col(ts), ntz), chunk_seconds))
+        out = _by_chunk(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [])
+    elif method == "density":
+        out = _by_density(d, ts, ntz, gap_seconds, keep_helpers, tie_break or [], chunk_rows)
     else:
-        raise ValueError(f"method must be 'chunked' or 'window', not {method!r}")
+        raise ValueError(f"method must be 'density', 'chunked' or 'window', not {method!r}")
     oid = F.concat(timestamp_text(F.col("__ostart"), ntz, id_digits), F.lit("+00_"), F.col("customer_key"))
     total = F.when(F.col("__tnn") > 0, cents_to_amount(F.col("__tcents"), money_scale))
     helpers = HELPERS if keep_helpers else []
@@ -99,18 +118,73 @@ def _by_window(d: DataFrame, ts: str, ntz: bool, gap: int, tie: list[str]) -> Da
 
 
 _TOTALS = ["n", "c", "nn"]  # rows, cents, rows with an amount
-
-
-def _by_chunk(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str], chunk: int) -> DataFrame:
+_KEY = ["__k", "__kn"]
+
+
+def _plain_keys(d: DataFrame) -> DataFrame:
+    """The customer as two plain columns that are never NULL, so that joins on them are ordinary equi-joins on the
+    keys the items are partitioned by."""
+    return (d.withColumn("__k", F.coalesce(F.col("customer_key").cast("string"), F.lit("")))
+             .withColumn("__kn", F.col("customer_key").isNull()))
+
+
+def _cell_width(least: int, most: int, n: int, rows: int) -> int:
+    """Microseconds of cells that would hold half of ``rows`` of the ``n`` items each, were they spread evenly."""
+    return -(-(most - least + 1) // -(-2 * n // rows))
+
+
+def density_chunks(d: DataFrame, ts: str, ntz: bool, chunk_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """(items of customers with up to ``chunk_rows`` items, the other items with their chunk ``__ch``), of items with the
+    plain keys; or None if no customer has more. A chunk is named by the microsecond it starts with; items without a
+    timestamp have none. It holds ``chunk_rows`` items at most, or those of one instant; if that would need more than
+    ``MOST_CHUNKS`` cells at once, as many more as bring it down to that number."""
+    spark, micros = d.sparkSession, epoch_micros(F.col(ts), ntz)
+    counted = d.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("__from"), F.max(ts).alias("__to"))
+    ends = [epoch_micros(F.col(c), ntz).alias(c) for c in ("__from", "__to")]
+    # the largest ones: a customer beyond the limit has at most a MOST_CHUNKS-th of all items
+    hot = counted.where(F.col("n") > chunk_rows).orderBy(F.desc("n")).limit(MOST_CHUNKS).select(*_KEY, "n", *ends).collect()
+    if not hot:
+        return None
+    rows = max(chunk_rows, sum(r["n"] for r in hot) // MOST_CHUNKS)
+    first = [(r["__k"], r["__kn"], r["__from"], 1 if r["__from"] is None else
+              _cell_width(r["__from"], r["__to"], r["n"], rows)) for r in hot]
+    keys = F.broadcast(spark.createDataFrame(first, "__k string, __kn boolean, __from bigint, __width bigint"))
+    cold = d.join(keys, _KEY, "left_anti")
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumn("__ch", micros - F.pmod(micros - F.col("__from"), F.col("__width"))).drop("__from", "__width")
+
+    chunked = cells(d.join(keys, _KEY))
+    while True:
+        crowded = chunked.where(F.col(ts).isNotNull()).groupBy(*_KEY, "__ch").agg(
+            F.count(F.lit(1)).alias("n"), F.min(ts).alias("__from"), F.max(ts).alias("__to"))
+        crowded = crowded.where((F.col("n") > rows) & (F.col("__from") < F.col("__to"))).select(
+            *_KEY, "__ch", "n", *ends).collect()  # at most 1 / rows of the items
+        if not crowded:
+            return cold, chunked
+        finer = spark.createDataFrame([(r["__k"], r["__kn"], r["__ch"], r["__from"],
+                                        _cell_width(r["__from"], r["__to"], r["n"], rows)) for r in crowded],
+                                      "__k string, __kn boolean, __ch bigint, __from bigint, __width bigint")
+        parted = chunked.join(F.broadcast(finer), [*_KEY, "__ch"], "left").withColumn("__parent", F.col("__ch"))
+        chunked = cells(parted).withColumn("__ch", F.coalesce("__ch", "__parent")).drop("__parent")
+
+
+def _by_density(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str], rows: int) -> DataFrame:
+    parts = density_chunks(_plain_keys(d), ts, ntz, rows)
+    if parts is None:
+        return _by_window(d, ts, ntz, gap, tie)
+    cold, hot = _by_window(parts[0], ts, ntz, gap, tie), _by_chunk(parts[1], ts, ntz, gap, keep_helpers, tie)
+    both = [c for c in cold.columns if c in hot.columns]
+    return cold.select(*both).unionByName(hot.select(*both))
+
+
+def _by_chunk(d: DataFrame, ts: str, ntz: bool, gap: int, keep_helpers: bool, tie: list[str]) -> DataFrame:
+    """Items with the plain keys and their chunk ``__ch``, in order of time; those without a timestamp share a chunk
+    before all others."""
     t = F.col(ts)
-    # The customer as two plain columns that are never NULL, so that the join
-    # below is an ordinary equi-join on the keys the items are partitioned by.
-    # Rows without a timestamp share a chunk before all others.
-    kp = ["__k", "__kn"]
+    kp = _KEY
     p = [*kp, "__ch"]
-    d = (d.withColumn("__k", F.coalesce(F.col("customer_key"), F.lit("")))
-          .withColumn("__kn", F.col("customer_key").isNull())
-          .withColumn("__ch", F.coalesce(small_floor_div(epoch_seconds(t, ntz), chunk), F.lit(-(2**63)))))
+    d = d.withColumn("__ch", F.coalesce("__ch", F.lit(-(2**63))))
 
     # Inside the chunk: group 0 runs from its first row to the first gap, the
     # groups after it each start at a gap.
