@@ -2,17 +2,23 @@
 
 Counts, sums and extremes come from one aggregation pass over the table, turned
 into a long table (one row per column) from that single aggregated row, never
-by scanning once per column. Distinct counts and quartiles come from unpivoted
-(column, value) rows, which shuffle narrow and are counted before they do.
+by scanning once per column. Distinct counts come from unpivoted rows of typed
+values, which collapse before they are exchanged; quartiles from passes that
+count ranges, which exchange no values at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions.money import round_ratio
+from tillroll.session import local_table
 
 
 def _long_from_row(agg_row: DataFrame, per_column: dict[str, list[Column]], names: list[str]) -> DataFrame:
@@ -45,66 +51,179 @@ def non_null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return _long_from_row(row, per, ["data_type", "non_null_count", "row_count"])
 
 
-def _unpivoted(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
-    """``column_name, value, n``: rows per non-NULL value of each column."""
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast(dtype).alias("value")) for c in cols]
-    return (df.select(F.explode(F.array(*cells)).alias("__c")).select("__c.*")
-              .filter(F.col("value").isNotNull())
-              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-
-
-def _per_column(found: DataFrame, cols: list[str]) -> DataFrame:
-    """``found`` for every column of the list, in its order; missing ones get NULLs."""
-    names = found.sparkSession.createDataFrame(list(enumerate(cols)), "__i int, column_name string")
-    return names.join(found, on="column_name", how="left").orderBy("__i").drop("__i")
+def _cell(df: DataFrame, c: str) -> tuple[str, Column]:
+    """The class of a column's type and its value as that type: whole numbers, days, instants and truth values as
+    ``bigint``, the others as they are. Texts need no cast; types without an order are compared by their JSON."""
+    x, dt = F.col(c), df.schema[c].dataType
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "double", x.cast("double")  # grouping makes -0.0 and 0.0 one, and all NaN
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "bigint", x.cast("bigint")
+    if isinstance(dt, T.DateType):
+        return "bigint", F.unix_date(x).cast("bigint")
+    if isinstance(dt, T.TimestampType):
+        return "bigint", F.unix_micros(x)
+    if isinstance(dt, (T.StringType, T.BinaryType, T.DecimalType, T.TimestampNTZType)):
+        return dt.simpleString(), x
+    return "string", F.when(x.isNotNull(), F.to_json(F.struct(x.alias("v"))))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column_name, distinct_count`` (NULLs not counted).
+    """``column_name, distinct_count``: ``COUNT(DISTINCT)`` of every column (NULLs not counted; -0.0 and 0.0 are one
+    value, and so are all NaN).
 
-    Values are compared by their text, which tells apart all values of the
-    atomic types.
+    One read of the input. Each row becomes a narrow row per column, with the value in the field of its type;
+    equal values collapse before they are exchanged, then the distinct ones are counted.
     """
     cols = columns or df.columns
-    found = _unpivoted(df, cols, "string").groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-    return _per_column(found, cols).select("column_name", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
-
-
-_CELLS = 256  # ranges into which a column's values are cut to find order statistics
-
-
-def _quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``column_name, q25, q50, q75`` by linear interpolation, exactly, for any number of distinct values.
-
-    Values are counted, cut into ranges at approximate quantiles (any cuts give
-    the same result), and numbered by a running sum inside each range on top of
-    the total of the ranges before it. No task holds a whole column.
-    """
-    counts = _unpivoted(df, cols, "double")
-    cuts = counts.groupBy("column_name").agg(
-        F.percentile_approx("value", [i / _CELLS for i in range(1, _CELLS)], 2000).alias("__cuts"), F.sum("n").alias("__all"))
-    # one row of cuts for each column: bounded, whatever the rows
-    celled = counts.join(F.broadcast(cuts), on="column_name").withColumn(
-        "__cell", F.size(F.filter("__cuts", lambda x: x <= F.col("value")))).drop("__cuts")
-    before = Window.partitionBy("column_name").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = celled.groupBy("column_name", "__cell").agg(F.sum("n").alias("__n")).withColumn(
-        "__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy("column_name", "__cell").orderBy("value")
-    # a row of starts for each column and cell: bounded as well
-    ranked = celled.join(F.broadcast(starts), on=["column_name", "__cell"]).withColumn(
-        "__to", F.col("__start") + F.sum("n").over(inside)).withColumn("__from", F.col("__to") - F.col("n"))
-    aggs = []
-    for q in (25, 50, 75):
-        at = (F.col("__all") - 1) * q
-        for name, rank in (("lo", F.floor(at / 100)), ("hi", F.ceil(at / 100))):
-            aggs.append(F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("value"))).alias(f"__{name}{q}"))
-    found = ranked.groupBy("column_name", "__all").agg(*aggs)
+    cells = {c: _cell(df, c) for c in cols}
+    kinds = sorted({kind for kind, _ in cells.values()})
+
+    def row(i: int, c: str) -> Column:
+        kind, value = cells[c]
+        return F.struct(F.lit(i).alias("__i"), *((value if k == kind else F.lit(None).cast(k)).alias(f"__v{j}")
+                                                 for j, k in enumerate(kinds)))
+
+    rows = df.select(F.explode(F.array(*(row(i, c) for i, c in enumerate(cols)))).alias("__c")).select("__c.*")
+    values = [f"__v{j}" for j in range(len(kinds))]
+    some = reduce(or_, (F.col(v).isNotNull() for v in values))
+    counts = rows.where(some).distinct().groupBy("__i").agg(F.count(F.lit(1)).alias("distinct_count"))
+    names = local_table(df.sparkSession, list(enumerate(cols)), "__i int, column_name string")
+    # one row for each column
+    return names.join(F.broadcast(counts), "__i", "left").orderBy("__i").select(
+        "column_name", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
+
+
+QUARTILES = (25, 50, 75)
+_CUTS = 256      # ranges that a pass counts in each open bracket
+_SKETCH = 2_000  # accuracy of the cuts; any cuts give the same result
+_NEAR = 2 / _SKETCH  # how far from a quartile the first cuts are
+_LAST = 10_000   # values of a bracket that one aggregate may list
+_MANY = 1 << 62  # values of a bracket that has not been counted
+
+
+def _number(x: float) -> str:
+    """A double as SQL."""
+    return f"double('{x}')" if math.isinf(x) else f"{x!r}D"
+
+
+def _cuts(column: str, shares: list[float]) -> str:
+    """Approximate quantiles of a column, as SQL."""
+    return f"percentile_approx({column}, array({', '.join(map(_number, shares))}), {_SKETCH})"
+
+
+class _Rank:
+    """One order statistic: the value of the given rank (from 0) of a column's numbers lies in the bracket from ``low``
+    to ``high``, which has about ``n`` values between its ends; or it is ``found``."""
+
+    def __init__(self, column: int, rank: int, low: float, high: float, n: float):
+        self.column, self.rank, self.low, self.high, self.n = column, rank, low, high, n
+        self.found: float | None = None
+
+    @property
+    def bracket(self) -> tuple[int, float, float]:
+        return self.column, self.low, self.high
+
+    def answer(self, below: int, at_low: int, inside: int, at_high: int, values: list[float] | None, listed: bool,
+               ends: tuple[float, float]) -> None:
+        """What a pass counted: values under the bracket, at its ends and in it; and those, or cuts of them."""
+        place = self.rank - below
+        if 0 <= place < at_low:
+            self.found = self.low
+        elif at_low + inside <= place < at_low + inside + at_high:
+            self.found = self.high
+        elif at_low <= place < at_low + inside:
+            if listed:
+                self.found = values[place - at_low]
+            else:
+                # between two cuts around the rank, with room for the error of the sketch
+                at, room = (place - at_low) * _CUTS // inside, 1 + 2 * _CUTS // _SKETCH
+                self.low, self.high = values[max(at - room, 0)], values[min(at + 1 + room, _CUTS)]
+                self.n = inside * ((2 * room + 1) / _CUTS + 4 / _SKETCH)
+        elif place < 0:  # outside the bracket: the sketch was further off than it says
+            self.low, self.high, self.n = ends[0], self.low, _MANY
+        else:
+            self.low, self.high, self.n = self.high, ends[1], _MANY
+
+
+def _count_ranges(df: DataFrame, brackets: list[tuple[int, float, float]], listed: list[bool]) -> list[list]:
+    """One pass over the columns ``__x0``, ... for all brackets (see ``_Rank.answer``). As SQL, one text an aggregate: the
+    many small expressions would each cross to the JVM."""
+    shares = [k / _CUTS for k in range(_CUTS + 1)]
+    inside, aggs = ["*"], []
+    for i, ((c, low, high), whole) in enumerate(zip(brackets, listed, strict=True)):
+        x, least, most = f"__x{c}", _number(low), _number(high)
+        aggs += [f"count_if({x} < {least})", f"count_if({x} = {least})"]
+        if low < high:
+            inside.append(f"if({x} > {least} AND {x} < {most}, {x}, NULL) AS __in{i}")
+            aggs += [f"count(__in{i})", f"count_if({x} = {most})",
+                     f"sort_array(collect_list(__in{i}))" if whole else _cuts(f"__in{i}", shares)]
+        else:
+            aggs += ["0", "0", "NULL"]
+    row = df.selectExpr(*inside).selectExpr(*(f"{a} AS a{i}" for i, a in enumerate(aggs))).first()
+    return [list(row[5 * i:5 * i + 5]) for i in range(len(brackets))]
+
+
+def _order_statistics(df: DataFrame, ranks: list[_Rank], ends: list[tuple[float, float]]) -> None:
+    """Finds the ranks exactly by counting ranges: every pass is one aggregation over the input, without an exchange of
+    values, that narrows all brackets at once by a factor of some fifty; a bracket of a few thousand values is listed
+    in the last one."""
+    while True:
+        sizes: dict[tuple[int, float, float], float] = {}  # ranks may share a bracket
+        for r in ranks:
+            if r.found is None:
+                sizes[r.bracket] = max(r.n, sizes.get(r.bracket, 0))
+        if not sizes:
+            return
+        listed = {key: n <= _LAST for key, n in sizes.items()}
+        answers = dict(zip(sizes, _count_ranges(df, list(sizes), list(listed.values())), strict=True))
+        for r in ranks:
+            if r.found is None:
+                key = r.bracket
+                r.answer(*answers[key], listed[key], ends[r.column])
+
+
+def _described(df: DataFrame, cols: list[str], more: list[Column]) -> tuple[Row, DataFrame, list[list[float | None]]]:
+    """The one row of the aggregates ``more``, also as a table, and of each numeric column the values on both sides of its quartiles. The
+    first pass gives the aggregates and the first brackets; NaN ranks above all other values."""
+    numbers = df.select("*", *(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"__x{i}")
+                               for i, c in enumerate(cols)))
+    shares = [min(max(q / 100 + side, 0.0), 1.0) for q in QUARTILES for side in (-_NEAR, _NEAR)]
+    first = []
+    for i, c in enumerate(cols):
+        x = f"__x{i}"
+        first += [F.count(x).alias(f"__r{i}"), F.count(c).alias(f"__a{i}"), F.min(x).alias(f"__b{i}"),
+                  F.max(x).alias(f"__t{i}"), F.expr(_cuts(x, shares)).alias(f"__c{i}")]
+    counted = numbers.agg(*more, *first)
+    row = counted.first()
+    sides: list[list[_Rank | float]] = [[] for _ in cols]
+    for i in range(len(cols)):
+        n, values, cuts = row[f"__r{i}"], row[f"__a{i}"], row[f"__c{i}"]
+        for k, q in enumerate(QUARTILES if values else ()):
+            for rank in ((values - 1) * q // 100, -(-(values - 1) * q // 100)):
+                if rank >= n:
+                    sides[i].append(float("nan"))
+                elif values == n:
+                    sides[i].append(_Rank(i, rank, cuts[2 * k], cuts[2 * k + 1], n * (2 * _NEAR + 4 / _SKETCH) + 8))
+                else:  # the quartiles of all values are not those of the numbers
+                    sides[i].append(_Rank(i, rank, row[f"__b{i}"], row[f"__t{i}"], n))
+    ranks = [r for own in sides for r in own if isinstance(r, _Rank)]
+    _order_statistics(numbers, ranks, [(row[f"__b{i}"], row[f"__t{i}"]) for i in range(len(cols))])
+    own = len(more)
+    known = local_table(df.sparkSession, [tuple(row)[:own]], T.StructType(counted.schema.fields[:own]))
+    return row, known, [[r.found if isinstance(r, _Rank) else r for r in own] or [None] * 6 for own in sides]
+
+
+def _quartiles(n: str) -> list[Column]:
+    """The quartiles by linear interpolation between the columns ``__lo25``, ``__hi25``, ..."""
     out = []
-    for q in (25, 50, 75):
-        at = (F.col("__all") - 1) * q
+    for q in QUARTILES:
         lo, hi = F.col(f"__lo{q}"), F.col(f"__hi{q}")
-        out.append(F.round(lo + (hi - lo) * (at % 100) / 100, 6).alias(f"q{q}"))
-    return found.select("column_name", *out)
+        out.append(F.round(lo + (hi - lo) * ((F.col(n) - 1) * q % 100) / 100, 6).alias(f"q{q}"))
+    return out
+
+
+_SIDES = [f"__{side}{q}" for q in QUARTILES for side in ("lo", "hi")]
 
 
 def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: dict[str, int] | None = None) -> DataFrame:
@@ -114,20 +233,27 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None, scales: di
     integers, 2 for prices; integer types up to 32 bits default to 0). Such
     columns get an exact mean and standard deviation from integer sums,
     independent of how the rows are partitioned (values beyond decimal(38,0)
-    fail loudly); other columns use ``stddev_samp``. Quartiles are exact.
+    fail loudly); other columns use ``stddev_samp``. Quartiles are exact: they
+    are found by counting ranges, two or three aggregations over the input when
+    this is called, and nothing that grows with the rows is exchanged or collected.
     """
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
-    scales = dict(scales or {})
-    aggs, per = [], {}
+    stats, _ = _numeric_table(df, cols, dict(scales or {}), [])
+    return stats.select("column_name", "count", "mean", "std", "min", *_quartiles("count"), "max")
+
+
+def _numeric_table(df: DataFrame, cols: list[str], scales: dict[str, int], more: list[Column]) -> tuple[DataFrame, object]:
+    """A row for each numeric column with its statistics and the values beside its quartiles; and the one row of the
+    aggregates ``more``."""
+    aggs, per, names = list(more), {}, ["count", "mean", "std", "min", "max"]
     for i, c in enumerate(cols):
         aggs.append(F.count(c).alias(f"__n{i}"))
-        more, stats = _numeric_stats(df, c, i, F.col(f"__n{i}"), scales)
-        aggs += more
+        own, stats = _numeric_stats(df, c, i, F.col(f"__n{i}"), scales)
+        aggs += own
         per[c] = [F.col(f"__n{i}")] + [v for _, v in stats]
-    rest = _long_from_row(df.agg(*aggs), per, ["count", "mean", "std", "min", "max"])
-    # one row for each column on either side
-    return rest.join(F.broadcast(_per_column(_quartiles(df, cols), cols)), on="column_name").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    row, known, sides = _described(df, cols, aggs)
+    per = {c: [*stats, *(F.lit(v).cast("double") for v in own)] for (c, stats), own in zip(per.items(), sides)}
+    return _long_from_row(known, per, [*names, *_SIDES]), row
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -170,28 +296,24 @@ def profile(df: DataFrame, columns: list[str] | None = None, scales: dict[str, i
     :func:`numeric_describe`.
     """
     cols = columns or df.columns
-    scales = dict(scales or {})
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    metrics: list[tuple[str, str, Column]] = []
-    rows = F.col("__rows")
-    for i, c in enumerate(cols):
-        aggs.append(F.count(c).alias(f"__v{i}"))
-        nn = F.col(f"__v{i}")
-        metrics += [(c, "rows", rows), (c, "non_null", nn), (c, "nulls", rows - nn),
-                    (c, "null_pct", round_ratio((rows - nn) * 100, rows, 2))]
-        if isinstance(df.schema[c].dataType, _NUMERIC):
-            more, stats = _numeric_stats(df, c, i, nn, scales)
-            aggs += more
-            metrics += [(c, m, v) for m, v in stats]
-    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
-               for c, m, v in metrics]
-    out = df.agg(*aggs).select(F.explode(F.array(*structs)).alias("__m")).select("__m.*")
-    out = out.unionByName(distinct_counts(df, cols).select(
-        "column_name", F.lit("distinct").alias("metric"), F.col("distinct_count").cast("double").alias("value")))
     numeric = [c for c in cols if isinstance(df.schema[c].dataType, _NUMERIC)]
+    counts = [F.count(F.lit(1)).alias("__rows"), *(F.count(c).alias(f"__v{i}") for i, c in enumerate(cols))]
     if numeric:
-        quartiles = _per_column(_quartiles(df, numeric), numeric)
-        out = out.unionByName(quartiles.unpivot("column_name", ["q25", "q50", "q75"], "metric", "value"))
+        stats, row = _numeric_table(df, numeric, dict(scales or {}), counts)
+        stats = stats.select("column_name", "mean", "std", "min", *_quartiles("count"), "max")
+    else:
+        stats, row = None, df.agg(*counts).first()
+    held = local_table(df.sparkSession, [(c, row["__rows"], row[f"__v{i}"]) for i, c in enumerate(cols)],
+                       "column_name string, rows bigint, non_null bigint")
+    nulls = F.col("rows") - F.col("non_null")
+    held = held.select("column_name", *(c.cast("double").alias(name) for name, c in {
+        "rows": F.col("rows"), "non_null": F.col("non_null"), "nulls": nulls,
+        "null_pct": round_ratio(nulls * 100, F.col("rows"), 2)}.items()))
+    out = held.unpivot("column_name", held.columns[1:], "metric", "value")
+    out = out.unionByName(distinct_counts(df, cols).select(
+        "column_name", F.lit("distinct").alias("metric"), F.col("distinct_count").cast("double").alias("value")))
+    if stats is not None:
+        out = out.unionByName(stats.unpivot("column_name", stats.columns[1:], "metric", "value"))
     return out
 
 

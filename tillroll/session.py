@@ -11,6 +11,7 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -70,6 +71,17 @@ def scale_conf(input_bytes: int, cores: int, split_bytes: int = 256 << 20,
     }
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few rows known to the driver as a table; sent through Arrow, they are part of the plan and need no job."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    fields = to_arrow_schema(kinds)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), kinds)
+
+
 _SCRATCH: dict[str, str] = {}
 
 
