@@ -285,3 +285,42 @@ def test_describe_bigint_uses_floating_std_unless_scaled(spark):
     assert abs(r["std"] - 1.5811388300841898) < 1e-3
     r2 = numeric_describe(df, scales={"us": 0}).collect()[0]
     assert r2["std"] == 1.5811388300841898
+
+
+def test_retention_over_many_words_of_periods(spark):
+    """Thirteen years of months: sets of three words, against plain sets of periods."""
+    import random
+    rng = random.Random(6)
+    visits = [(f"c{rng.randrange(40)}", dt.date(2011 + m // 12, m % 12 + 1, rng.randint(1, 28)))
+              for m in (rng.randrange(160) for _ in range(700))] + [(None, dt.date(2011, 1, 1)), ("c1", None)]
+    visits += [("edge", dt.date(2011 + m // 12, m % 12 + 1, 5)) for m in (61, 62, 63, 64, 125, 126)]
+    df = spark.createDataFrame(visits, "card string, date date")
+    active = {}
+    for card, day in visits:
+        if card and day:
+            active.setdefault(day.year * 12 + day.month - 1, set()).add(card)
+    for adjacent in (False, True):
+        want, before, periods = [], set(), sorted(active)
+        for i, p in enumerate(periods):
+            base = before if not adjacent else active.get(p - 1, set())
+            if i:
+                kept, start = len(active[p] & base), len(active[periods[i - 1]])
+                want.append((f"{p // 12}-{p % 12 + 1:02d}", len(active[p]), start, kept))
+            before |= active[p]
+        assert [tuple(r)[:4] for r in retention(df, adjacent=adjacent).collect()] == want
+    assert retention(df.limit(0)).count() == 0
+    plan = retention(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "hashpartitioning(__c" in plan
+
+
+def test_dependency_pairs(spark):
+    from tillroll.operators.quality import dependency_pairs
+    rows = [("a", 1, 0.0), ("a", 1, -0.0), ("a", 2, 0.0), ("b", 3, 1.0), (None, None, None), (None, 4, None)]
+    df = spark.createDataFrame(rows, "x string, y int, z double")
+    got = {(r.determinant, r.dependent): tuple(r)[2:] for r in dependency_pairs(df, ["x", "y", "z"]).collect()}
+    assert len(got) == 6
+    assert got["x", "y"] == (3, 2, 2, 33.33, False) and got["y", "x"] == (5, 0, 0, 0.0, True)
+    assert got["x", "z"] == (3, 0, 0, 0.0, True)
+    one = dependency_pairs(df, ["x"], ["z"]).collect()
+    assert [(r.determinant, r.dependent, r.holds) for r in one] == [("x", "z", True)]
+    assert dependency_pairs(df.limit(0), ["x", "y"]).select("rows_to_remove", "holds").distinct().collect() == [(0, True)]

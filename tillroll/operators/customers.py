@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.keys import period_key, period_months, period_start
+from tillroll.functions.keys import period_key, period_months
 from tillroll.functions.money import MONEY_SCALE, cents_to_amount, mean_amount, round_ratio, to_cents
 
+WORD = 63  # periods of a word: all bits of a long but its sign
+
 
 def rfm(
     tx: DataFrame,
@@ -86,21 +91,42 @@ def retention(
     first period (no base) is dropped; rate = round(retained * 100 / base, 2).
     The base is the previous period present in the data (a period with no
     active customers has no row), as in the original.
-    After the distinct (period, customer) step a customer has one row per
-    period, so the per-customer window is bounded by the number of periods even
-    for the heaviest customer.
+    A customer becomes one set of bits, one for each period, in words of 63;
+    the span of dates is read first to know how many words (one for five
+    years of months). Rows collapse to such sets before the one exchange by
+    customer, and both readings are bit operations on them.
     """
     names = {"month": ("period_month", "monthly_retention_rate"),
              "quarter": ("period_quarter", "quarterly_retention_rate")}[period]
     rows = tx.filter(F.col(customer).isNotNull())
     if cutoff is not None:
         rows = rows.filter(F.col(date) < F.lit(str(cutoff)).cast("date"))
-    active = rows.select(period_start(F.col(date), period).alias("__p"), F.col(customer).alias("__c")).distinct()
-    prev = F.lag("__p").over(Window.partitionBy("__c").orderBy("__p"))
-    flag = prev.isNotNull() if not adjacent else (prev == F.add_months(F.col("__p"), -period_months(period)))
-    per = (active.withColumn("__ret", flag)
-                 .groupBy("__p")
-                 .agg(F.count("__c").alias("end_period_customers"), F.count_if("__ret").alias("retained_customers")))
+    ends = rows.agg(F.min(date).alias("a"), F.max(date).alias("b")).first()
+    step = period_months(period)
+    first, last = ((d.year * 12 + d.month - 1) // step if d else 0 for d in (ends["a"], ends["b"]))
+    words = (last - first) // WORD + 1
+    number = F.floor((F.year(date) * 12 + F.month(date) - 1) / step).cast("int") - first
+    bit = F.expr(f"shiftleft(1L, cast(__n % {WORD} AS int))")
+    sets = (rows.where(F.col(date).isNotNull()).select(F.col(customer).alias("__c"), number.alias("__n"))
+                .groupBy("__c").agg(*(F.coalesce(F.bit_or(F.when(F.floor(F.col("__n") / WORD) == w, bit)), F.lit(0).cast("bigint"))
+                                      .alias(f"__w{w}") for w in range(words))))
+    active = [F.col(f"__w{w}") for w in range(words)]
+    if adjacent:  # active in the period before: the bits one place up, with the last bit of the word before
+        full = F.lit((1 << WORD) - 1).cast("bigint")
+        carry = [F.lit(0).cast("bigint"), *(F.shiftright(a, WORD - 1) for a in active[:-1])]
+        kept = [a.bitwiseAND(F.shiftleft(a, 1).bitwiseAND(full).bitwiseOR(c)) for a, c in zip(active, carry)]
+    else:  # all but the lowest bit of the first word that has any
+        kept = [F.when(reduce(or_, (b != 0 for b in active[:w]), F.lit(False)), a)
+                .when(a != 0, a.bitwiseAND(a - 1)).otherwise(F.lit(0).cast("bigint")) for w, a in enumerate(active)]
+    # one row for each period of a customer, counted before it is exchanged
+    places = [F.struct(F.lit(w * WORD).alias("at"), a.alias("active"), k.alias("kept")) for w, (a, k) in enumerate(zip(active, kept))]
+    bits = sets.select(F.inline(F.array(*places))).where("active <> 0").select(
+        "at", "active", "kept", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))).alias("k")).where("getbit(active, k) = 1")
+    month = (F.col("at") + F.col("k") + first) * step
+    per = (bits.groupBy((F.col("at") + F.col("k")).alias("__p"), F.make_date(
+                    F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1)).alias("__start"))
+               .agg(F.count(F.lit(1)).alias("end_period_customers"), F.sum(F.expr("getbit(kept, k)").cast("bigint")).alias("retained_customers")))
+    per = per.select(F.col("__start").alias("__p"), "end_period_customers", "retained_customers")
     start = F.lag("end_period_customers").over(Window.orderBy("__p"))
     out = per.select(
         period_key(F.col("__p"), period).alias(names[0]),

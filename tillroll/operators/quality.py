@@ -351,6 +351,39 @@ def functional_dependency(df: DataFrame, determinant: str, dependent: str,
     return df.groupBy(determinant).agg(F.countDistinct(dependent).alias(count_name))
 
 
+def dependency_pairs(df: DataFrame, columns: list[str], dependents: list[str] | None = None) -> DataFrame:
+    """Every functional dependency between two columns at once: ``determinant, dependent, groups, broken_groups,
+    rows_to_remove, remove_percent, holds``.
+
+    ``groups`` are the values of the determinant, ``broken_groups`` those with more than one value of the dependent;
+    ``rows_to_remove`` is the least number of rows without which it would hold, ``remove_percent`` (2 places) their
+    share. NULL is a value as any other. ``dependents`` are checked against ``columns`` (default: among themselves).
+
+    The rows are counted once by all these columns; pairs are unpivoted from the counted combinations, so every pair
+    costs rows in the number of combinations, not of rows.
+    """
+    others = columns if dependents is None else dependents
+    pairs = [(a, b) for a in columns for b in others if a != b]
+    counted = df.groupBy(*dict.fromkeys([*columns, *others])).agg(F.count(F.lit(1)).alias("__n"))
+
+    def value(c: str) -> Column:
+        kind, x = _cell(df, c)
+        return F.coalesce(F.concat(F.lit("v"), (x + F.lit(0.0) if kind == "double" else x).cast("string")), F.lit("null"))
+
+    cells = [F.struct(F.lit(i).alias("__i"), value(a).alias("x"), value(b).alias("y")) for i, (a, b) in enumerate(pairs)]
+    per = counted.select("__n", F.explode(F.array(*cells)).alias("c")).groupBy("c.__i", "c.x", "c.y").agg(F.sum("__n").alias("n"))
+    per = per.groupBy("__i", "x").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("values"))
+    per = per.groupBy("__i").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("values") > 1).alias("broken_groups"),
+                                 F.sum(F.col("n") - F.col("most")).alias("rows_to_remove"), F.sum("n").alias("rows"))
+    names = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)],
+                        "__i int, determinant string, dependent string")
+    zero = F.lit(0).cast("bigint")  # an empty table breaks nothing
+    held = names.join(F.broadcast(per), "__i", "left").orderBy("__i")
+    return held.select("determinant", "dependent", *(F.coalesce(c, zero).alias(c) for c in ("groups", "broken_groups", "rows_to_remove")),
+                       F.coalesce(round_ratio(F.col("rows_to_remove") * 100, F.col("rows"), 2), F.lit(0.0)).alias("remove_percent"),
+                       (F.coalesce("broken_groups", zero) == 0).alias("holds"))
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """Any ``n`` rows (a look at the data; which rows is not defined)."""
     return df.limit(n)

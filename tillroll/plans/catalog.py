@@ -21,7 +21,7 @@ from tillroll.operators.kpi import kpi_by, seasonality
 from tillroll.operators.orders import HELPERS, sessionize_orders
 from tillroll.operators.pricing import price_range, product_history
 from tillroll.operators.quality import (
-    check_rules, crosstab, distinct_counts, extremes, functional_dependency, non_null_counts,
+    check_rules, crosstab, dependency_pairs, distinct_counts, extremes, functional_dependency, non_null_counts,
     null_audit, null_percent, numeric_describe, profile, rule_rows, value_counts,
 )
 from tillroll.operators.trends import deviation, growth
@@ -36,6 +36,7 @@ HISTORY_PRODUCT = "purchase"          # a product of the test data
 BUSY_WEEKDAY = "pon."
 # decimals the numeric sales columns are exact to (exact mean and std)
 EXACT_SCALES = {"Weekdaysort": 0, "Monthsort": 0, "hour_of_day": 0, "money": 2}
+LABELS = ["Weekday", "Weekdaysort", "Month_name", "Monthsort", "Time_of_Day", "hour_of_day"]
 KPI_DIMS = ["Month_name", "Monthsort", "Weekday", "Weekdaysort", "Time_of_Day", "hour_of_day", "cash_type"]
 KPI_ORDER = ["Monthsort", "Weekdaysort", "hour_of_day", "cash_type", "Month_name", "Weekday", "Time_of_Day"]
 
@@ -138,6 +139,7 @@ REPORTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
                                                   count_of="hour_of_day", count_name="row_count")),
     "fd_weekday": ("sales", lambda s: functional_dependency(s, "Weekday", "Weekdaysort")),
     "fd_month": ("sales", lambda s: functional_dependency(s, "Month_name", "Monthsort")),
+    "fd_pairs": ("sales", lambda s: dependency_pairs(s, LABELS)),
     "rule_hour_mismatch": ("sales", _hour_mismatch),
     "sales_clean": ("clean", lambda c: c),
     "rule_hour_mismatch_after_clean": ("clean", lambda c: check_rules(
