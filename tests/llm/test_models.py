@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, empty, rows
@@ -158,3 +159,53 @@ def test_sample_is_drawn_among_the_rows_that_are_left(spark):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(4000) if k % 2 or k < 100], "doc_id long, text string")
     sample = labelled_sample(docs, labels, "doc_id", "text", "toxic", 60)
     assert sum(label for label, _ in sample) >= 50  # all 50, as there are fewer than 60 left
+
+
+def test_language_words_are_letters_only(spark):
+    from tillroll.llm.language_id import words_of
+    assert words_of("² ½ Ⅷ ٣ 42 _") == [] and words_of("x² Straße½ok") == ["x", "straße", "ok"]
+    docs = spark.createDataFrame([(1, "² ½"), (2, "Ⅷ"), (3, "the house"), (4, "das Haus")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, "en"), (4, "de")], "doc_id long, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(docs, labels).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en" and got[4][0] == "de"
+    none = identify_languages(docs.limit(0), labels)
+    assert none.count() == 0
+    assert {r.lang_pred for r in identify_languages(docs.where("doc_id < 3"), labels).collect()} == {"und"}
+
+
+def test_language_fit_learns_from_long_words():
+    """Words of any length add what their parts add, as the plain sums in logarithms say."""
+    import math
+    from collections import Counter
+
+    from tillroll.llm import language_id as module
+    pieces = {"▁": -1 << 20, "a": -2 << 20, "b": -3 << 20, "ab": -4 << 20, "ba▁": -5 << 20}
+    for word in ("ab" * 100, "a" * 47 + "b" * 90, "abba" * 50 + "c" + "b" * 33):
+        words = [Counter({word: 2}), Counter({"ab": 1})]
+        got = module.fit(words, pieces, rounds=1)
+        start = {p: math.exp(s / (1 << 20)) for p, s in pieces.items()}
+        total = sum(start.values())
+        prob = {p: x / total for p, x in start.items()}
+        marked = "▁" + word
+        n = len(marked)
+
+        def plus(values):
+            top = max(values, default=-math.inf)
+            return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+        def step(i, j):
+            p = prob.get(marked[i:j])
+            return math.log(p) if p else (math.log(module.UNKNOWN) if j == i + 1 else -math.inf)
+
+        ahead, back = [0.0] + [0.0] * n, [0.0] * n + [0.0]
+        for j in range(1, n + 1):
+            ahead[j] = plus([ahead[i] + step(i, j) for i in range(max(0, j - 3), j)])
+        for i in range(n - 1, -1, -1):
+            back[i] = plus([back[j] + step(i, j) for j in range(i + 1, min(n, i + 3) + 1)])
+        uses = {p: module.SMOOTHING * len(pieces) * prob[p] for p in pieces}
+        for i in range(n):
+            for j in range(i + 1, min(n, i + 3) + 1):
+                if marked[i:j] in prob:
+                    uses[marked[i:j]] += 2 * math.exp(ahead[i] + step(i, j) + back[j] - ahead[n])
+        for p in pieces:
+            assert got[p][0] == pytest.approx(uses[p] / sum(uses.values()), rel=1e-9)

@@ -51,7 +51,6 @@ def test_token_counts_of_awkward_rows(spark):
 def test_packing_of_awkward_rows(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_buffer(public_file("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     got = best_fit_packing(awkward(spark)).collect()
     wanted = []
     for row in rows():
@@ -156,3 +155,52 @@ def test_dropout_rate_is_that_of_every_candidate():
         got[s] = got.get(s, 0) + 1
     for s in wanted.keys() | got.keys():
         assert abs(wanted.get(s, 0) - got.get(s, 0)) < 0.02 * n
+
+
+def test_word_ids_equal_the_plain_call():
+    """Also where the strings of special tokens stand in a text, alone, inside words and beside marks."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tillroll.llm.packing import WordIds
+    model = public_file("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_buffer(model), random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "Hello", "wörld", "it's", "don't", "a", ",", ".",
+             "!!", "42", "日本", "😀", "x" * 70, "é", "\u00a0", "\u2003", "|", "it''s"]
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "", " ", "\n\n"]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\n", "\t", "\r\n"]) for _ in range(rng.randint(1, 30)))
+              for _ in range(3000)]
+    got = list(WordIds(model).encode(pa.array(texts)))
+    for text, ids in zip(texts, got, strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, text
+    assert list(struct.unpack("<3I", got[0])) == [320, 49407, 321]
+
+
+def test_token_counts_of_stretches(monkeypatch):
+    """White space of every kind, texts cut into many stretches, and a cache that forgets, against the plain sums."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tillroll.llm import token_counts as module
+    monkeypatch.setattr(module, "STRETCH_CHARS", 100)
+    monkeypatch.setattr(module, "TERMINALS", 20)
+    rng = random.Random(1)
+    blanks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000"]
+    texts = ["".join(rng.choice(["a", "the", "word,", "wörd", "日本", "x" * 90, "\u200b"]) + rng.choice([*blanks, ""])
+                     for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(300)] + ["  lead", "trail  ", " ", ""]
+    trie, plain = module.TokenTrie(public_file("piece_bpe_32k.model")), module.TokenTrie(public_file("piece_bpe_32k.model"))
+    at = 0
+    for part in module.stretches(pa.array(texts)):
+        words, places, bounds = module.split_words(part, pc.utf8_split_whitespace)
+        counts = np.array([n if w else 0 for w, n in zip(words, trie.counts([w or "x" for w in words]))])
+        real = np.array([bool(w) for w in words])
+        for n, tokens, text in zip(module.sums(real[places], bounds), module.sums(counts[places], bounds), part.to_pylist()):
+            assert text == texts[at] and n == len(text.split()) and tokens == plain.total(text.split())
+            at += 1
+    assert at == len(texts)

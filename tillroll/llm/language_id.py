@@ -28,26 +28,33 @@ ROUNDS = 2
 SMOOTHING = 0.1  # expected uses of a piece besides those in the sample
 CHAR_SCALE = 16.0  # each character counts this factor, which keeps forward sums of words in range
 UNKNOWN = 1e-7  # probability of a character that has no piece
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDLIKE = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 300_000  # per Python worker
 SAFE_CHARS = 48  # longer words are rescaled on the way
+LONGEST = 64  # no piece of the vocabulary is longer
 
 
-def _forward(trie: dict, word: str, languages: int) -> tuple[list[list[float]], float]:
-    """Forward sums of every place of a word, and the logarithm of what they were divided by on the way."""
+def _rescaled(sums: list[list[float]], lost: list[float], window: range, onward: range) -> None:
+    """Divides the sums of a window, which alone are read on, by their greatest; ``lost`` keeps the logarithm of what
+    each place was or will be divided by."""
+    most = max(max(sums[i]) for i in window)
+    if most > 0:
+        for i in window:
+            sums[i][:] = [x / most for x in sums[i]]
+        for i in onward:
+            lost[i] += math.log(most)
+
+
+def _forward(trie: dict, word: str, languages: int) -> tuple[list[list[float]], list[float]]:
+    """Forward sums of every place of a word, and the logarithm of what each was divided by on the way."""
     n, each = len(word), range(languages)
     sums = [[0.0] * languages for _ in range(n + 1)]
     sums[0] = [1.0] * languages
-    scaled = 0.0
+    lost = [0.0] * (n + 1)
     for i in range(n):
         here = sums[i]
         if i and i % SAFE_CHARS == 0:
-            window = sums[i:i + 64]
-            most = max(max(s) for s in window)
-            if most > 0:
-                scaled += math.log(most)
-                for s in window:
-                    s[:] = [x / most for x in s]
+            _rescaled(sums, lost, range(i, min(i + LONGEST, n + 1)), range(i, n + 1))
         node, j = trie, i
         while j < n:
             node = node.get(word[j])
@@ -63,14 +70,14 @@ def _forward(trie: dict, word: str, languages: int) -> tuple[list[list[float]],
             there = sums[i + 1]
             for k in each:
                 there[k] += here[k] * UNKNOWN * CHAR_SCALE
-    return sums, scaled
+    return sums, lost
 
 
 def word_scores(trie: dict, word: str, languages: int) -> tuple[float, ...]:
     """Log probability of a word in each language."""
     marked = MARK + word
-    sums, scaled = _forward(trie, marked, languages)
-    lost = scaled - len(marked) * math.log(CHAR_SCALE)
+    sums, divided = _forward(trie, marked, languages)
+    lost = divided[-1] - len(marked) * math.log(CHAR_SCALE)
     return tuple(math.log(max(x, 1e-300)) + lost for x in sums[-1])
 
 
@@ -91,14 +98,16 @@ def fit(words: list[Counter], pieces: dict[str, int], rounds: int = ROUNDS) -> d
         for word in everything:
             marked = MARK + word
             n = len(marked)
-            if n > SAFE_CHARS:
-                continue  # no rescaled backward pass; the sample has other words enough
             counts = [w[word] for w in words]
-            sums, _ = _forward(trie, marked, languages)
+            sums, ahead = _forward(trie, marked, languages)
             back = [[0.0] * languages for _ in range(n + 1)]
             back[n] = [1.0] * languages
+            behind = [0.0] * (n + 1)
             used = []
             for i in range(n - 1, -1, -1):
+                if n - 1 - i and (n - 1 - i) % SAFE_CHARS == 0:
+                    end = min(i + 1 + LONGEST, n + 1)
+                    _rescaled(back, behind, range(i + 1, end), range(end))
                 node, j, here = trie, i, back[i]
                 while j < n:
                     node = node.get(marked[j])
@@ -117,16 +126,25 @@ def fit(words: list[Counter], pieces: dict[str, int], rounds: int = ROUNDS) -> d
             weight = [c / s if c and s > 0 else 0.0 for c, s in zip(counts, sums[n], strict=True)]
             for i, j, p in used:
                 use, a, b = uses[marked[i:j]], sums[i], back[j]
+                # both sums in the range of the whole word's
+                again = math.exp(ahead[i] + behind[j] - ahead[n]) if n > SAFE_CHARS else 1.0
                 for k in range(languages):
                     if weight[k]:
-                        use[k] += weight[k] * a[k] * p[k] * b[k]
+                        use[k] += weight[k] * a[k] * p[k] * b[k] * again
         totals = [sum(u[k] for u in uses.values()) for k in range(languages)]
         model = {p: [u[k] / totals[k] for k in range(languages)] for p, u in uses.items()}
     return model
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters (Unicode categories L*), lower case."""
+    out = []
+    for run in WORDLIKE.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:  # numbers that are no decimal digits, as in a fraction or a superscript
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 class WordTable:

@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import held_by_worker, materialize, public_file, text_of
+from tillroll.llm.token_counts import split_words, stretches
 
 CAPACITY = 4096
 QUANTUM = 16
 GROUP_PIECES = 8192
 END_ID = 1
 CACHE_WORDS = 250_000  # per Python worker
-CHUNK_CHARS = 4_000_000
 LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
 
 PIECES = "id {id_type}, piece int, start long, length long, ids_crc32 long, row_key long"
@@ -38,7 +39,8 @@ PIECES = "id {id_type}, piece int, start long, length long, ids_crc32 long, row_
 class WordIds:
     """Token ids (little-endian unsigned 32-bit bytes) of texts, through a bounded cache of blank-separated words.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in turn.
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in turn. A
+    word that holds the string of a special token goes to the tokenizer whole, which takes it out as that token.
     Runs of Latin letters go straight to the tokenizer's merges: its normaliser and splitting pattern leave lower-cased
     ones whole, and its byte alphabet is applied here.
     """
@@ -47,7 +49,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_buffer(model)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merges = self.full.model
         self.merges._resize_cache(0)  # each run of letters is asked for once
         # bytes with a visible character of their own stand for themselves, the others for characters from 256 on
@@ -56,6 +57,7 @@ class WordIds:
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
 
     def _letters(self, word: str) -> bytes:
@@ -67,14 +69,16 @@ class WordIds:
         ids = self.full.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the words that the cache lacks; a full cache keeps only those of them that it has."""
-        known, letters, others = self.words, self.letters, self.others
+    def learn(self, words: list[str]) -> None:
+        """Adds the words that the cache lacks; a full cache keeps only those of them that it has. Runs of letters, which
+        many words share, are held longer: in two generations, and those used again move to the new one."""
+        known, letters, older, others = self.words, self.letters, self.older, self.others
         if len(known) + len(words) > CACHE_WORDS:
             known = self.words = {w: known[w] for w in words if w in known}
-            letters.clear()
             others.clear()
-        for w in words.difference(known):
+        for w in words:
+            if w in known:
+                continue
             m = LATIN_WORD.fullmatch(w)
             if m is None:
                 known[w] = self._other(w)
@@ -82,25 +86,32 @@ class WordIds:
             run, marks = m[1].lower(), m[2]
             ids = letters.get(run)
             if ids is None:
-                ids = letters[run] = self._letters(run)
+                ids = older.get(run) or self._letters(run)
+                if 2 * len(letters) >= CACHE_WORDS:
+                    older = self.older = letters
+                    letters = self.letters = {}
+                letters[run] = ids
             if marks:
                 if marks not in others:
                     others[marks] = self._other(marks)
                 ids += others[marks]
             known[w] = ids
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        done = 0
-        while done < len(texts):
-            chunk, chars = [], 0
-            while done < len(texts) and chars < CHUNK_CHARS:
-                chars += len(texts[done])
-                chunk.append(texts[done].replace("\n", " ").split(" "))
-                done += 1
-            self.learn(set().union(*chunk))
-            for words in chunk:
-                yield b"".join(map(self.words.__getitem__, words))
+        for part in stretches(texts):
+            words, places, bounds = split_words(
+                part, lambda t: pc.split_pattern(pc.replace_substring(t, "\n", " "), " "))
+            self.learn(words)
+            ids = [self.words[w] for w in words]
+            flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            sizes = np.array([len(b) // 4 for b in ids], dtype=np.int64)
+            starts = np.cumsum(sizes) - sizes
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                at = places[a:b]
+                size = sizes[at]
+                before = np.cumsum(size) - size
+                yield flat[np.repeat(starts[at] - before, size) + np.arange(size.sum())].tobytes()
 
 
 def word_ids(model: bytes) -> WordIds:
@@ -118,7 +129,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, mod
         encoder, key = word_ids(sent.value), TaskContext.get().partitionId() << 40
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
+            for i, ids in enumerate(encoder.encode(batch.column("text"))):
                 ids += struct.pack("<I", END_ID)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
