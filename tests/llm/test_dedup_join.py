@@ -154,3 +154,61 @@ def test_join_of_long_texts_that_differ_in_their_last_word(spark):
         pairs += [(1000 * g + i, f"{base} end{i}") for i in range(140)]
     got = jaccard_join(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
     assert Counter((r.class_id, r.class_size, r.n_links) for r in got) == {(1000 * g, 140, 139): 140 for g in range(8)}
+
+
+def by_leaders(spark, pairs):
+    return jaccard_join(spark.createDataFrame(pairs, "doc_id long, text string"), count_links=False).collect()
+
+
+def check_leaders(got, pairs):
+    """Classes as brute force has them; every row's representative is in its class and as similar as it says."""
+    plain = plain_join(pairs)
+    want = Counter()
+    for (k, c, _, _, n), times in plain.items():
+        want[k, c, n] += times
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want
+    assert sum(r.kept for r in got) == round(sum(1 / r.class_size for r in got))
+    texts, classes = dict(pairs), {r.doc_id: r.class_id for r in got}
+    for r in got:
+        a, b = shingles(texts[r.doc_id] or ""), shingles(texts[r.representative_id] or "")
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b)) if len(a) else 1.0
+        assert abs(r.similarity - true) < 1e-9 and r.similarity >= 0.8 and classes[r.representative_id] == r.class_id
+
+
+def test_leaders_match_brute_force(spark):
+    pairs = near_copies(largest=30)
+    check_leaders(by_leaders(spark, pairs), pairs)
+    got = jaccard_join(awkward(spark), count_links=False).collect()
+    assert len(got) == len(rows()) and jaccard_join(empty(spark), count_links=False).collect() == []
+
+
+def test_leaders_of_groups_larger_than_a_block(spark, monkeypatch):
+    """Tight groups, and a chain of small changes whose ends differ wholly: links cross the followers of many leaders."""
+    from tillroll.llm import jaccard_join as module
+    monkeypatch.setattr(module, "BLOCK", 12)
+    monkeypatch.setattr(module, "LEAF", 12)
+    rng = random.Random(3)
+    texts = []
+    for g in range(2):
+        base = [f"g{g}v{rng.randrange(3000)}" for _ in range(80)]
+        for i in range(90):
+            words = list(base)
+            words[rng.randrange(80)] = f"edit{i}"
+            texts.append(" ".join(words))
+    words = [f"c{i}" for i in range(120)]
+    for i in range(100):
+        words[i] = f"d{i}"
+        if i % 2:
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    pairs = list(enumerate(texts))
+    check_leaders(by_leaders(spark, pairs), pairs)
+
+
+def test_leaders_make_rows_in_proportion(spark):
+    """One piece of work for each row of a large group, not one for each block of it."""
+    from tillroll.llm.jaccard_join import BLOCK, _in_blocks
+    rows_ = spark.range(40 * BLOCK).select(F.col("id").alias("rec"), F.lit(1).alias("root"), F.lit(40 * BLOCK).alias("size"))
+    dealt = _in_blocks(rows_, "root", "size", stuck=F.lit(False))
+    assert dealt.count() == 40 * BLOCK and dealt.where("not lead or side <> 0").count() == 0
+    assert _in_blocks(rows_.limit(2 * BLOCK).withColumn("size", F.lit(2 * BLOCK)), "root", "size").count() == 4 * BLOCK
