@@ -58,7 +58,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id."""
-    return jaccard_join(_with_row(docs), carry=["row"]).where("kept").select("row.*")
+    return jaccard_join(_with_row(docs), carry=["row"], count_links=False).where("kept").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
