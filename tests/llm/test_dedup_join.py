@@ -212,3 +212,35 @@ def test_leaders_make_rows_in_proportion(spark):
     dealt = _in_blocks(rows_, "root", "size", stuck=F.lit(False))
     assert dealt.count() == 40 * BLOCK and dealt.where("not lead or side <> 0").count() == 0
     assert _in_blocks(rows_.limit(2 * BLOCK).withColumn("size", F.lit(2 * BLOCK)), "root", "size").count() == 4 * BLOCK
+
+
+def test_late_links_between_parts_of_leaders(spark, monkeypatch):
+    """Groups around texts that are too far from each other to be linked; some have a text between them."""
+    from tillroll.llm import jaccard_join as module
+
+    texts = []
+    words = [f"w{k}" for k in range(60)]
+    for step in range(12):
+        words[(step * 14) % 60] = f"s{step}"
+        if step % 3:
+            texts.append(" ".join(words))  # one word from the text before and from the next
+        words[(step * 14 + 7) % 60] = f"t{step}"
+        texts += [" ".join([*words[:k], f"c{step}", *words[k + 1:]]) for k in range(5, 55, 4)] + [" ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(module, "BLOCK", 16)
+    calls = []
+    between = module._between
+    monkeypatch.setattr(module, "_between", lambda *a: calls.append(1) or between(*a))
+    got = {r.doc_id: r.class_id for r in module.jaccard_join(df, count_links=False).collect()}
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):  # classes by brute force
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    assert calls
