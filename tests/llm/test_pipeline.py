@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import SCHEMA, near_copies
+from tests.llm.helpers import SCHEMA, awkward, near_copies
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -47,3 +47,32 @@ def test_duplicate_stages_keep_one_of_each(spark, tmp_path):
     assert all(10 * len(a & b) < 8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.quality, corpus_pipeline.toxicity):
         assert stage(spark, docs.limit(0), SF001).collect() == []
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    awkward(spark).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    whole = sorted(map(str, docs.collect()))
+    for stage in (corpus_pipeline.quality, corpus_pipeline.toxicity, corpus_pipeline.exact, corpus_pipeline.near):
+        left = stage(spark, docs, SF001)
+        assert left.columns == docs.columns
+        got = sorted(map(str, left.collect()))
+        assert got and set(got) <= set(whole) and len(got) <= len(whole), stage.__name__
+        if stage in (corpus_pipeline.quality, corpus_pipeline.toxicity):
+            # rows with one id and text have one decision
+            assert all(got.count(row) in (0, whole.count(row)) for row in whole)
+    # exact dedup: of empty and null texts one stays, white space alone is another text
+    unique = corpus_pipeline.exact(spark, docs, SF001).collect()
+    assert [r.doc_id for r in unique if not (r.text or "").strip()] == [3, 5]
+    packed = corpus_pipeline.packing(spark, docs, SF001)
+    pieces = packed.collect()
+    assert sum(r.piece == 0 for r in pieces) == len(whole)  # every row, repeated ones and those without an id
+    assert all(r.length == 1 for r in pieces if r.doc_id in (3, 4))
+    by_sequence = {}
+    for r in pieces:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in by_sequence.values():
+        placed.sort()
+        assert [o for o, _ in placed] == [sum(n for _, n in placed[:k]) for k in range(len(placed))]
+        assert sum(n for _, n in placed) <= 4096
+    assert corpus_pipeline.packing(spark, docs.limit(0), SF001).collect() == []
