@@ -37,18 +37,34 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
+    """Documents that importance resampling draws.
+
+    Null and empty texts have weight 0 (log) like any other text without n-grams; texts of any length are weighed
+    whole. Rows of one id and text share their draw, so ties and repeated rows stay or go together, as do rows without
+    an id and of one text. Rows that stay keep all columns, of any name. No documents give no rows; without labels of
+    both kinds every document stays.
+    """
     return resample(_with_row(docs), learned_labels(spark, sf_dir), carry=["row"]).where("kept").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic.
+
+    Null and empty texts are judged as a passage whose words say nothing; the worst passage decides for texts of any
+    length. Equal texts have equal scores, so ties and repeated rows stay or go together; ids are not read, null ones
+    included. Rows that stay keep all columns, of any name. No documents give no rows; with labels of one kind only,
+    every text gets that kind.
+    """
     scored = score_toxicity(_with_row(docs), learned_labels(spark, sf_dir), carry=["row"])
     return scored.where("predicted = 0").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id; of rows with one id and text one."""
+    """Of documents with equal texts the one with the smallest id; of rows with one id and text one.
+
+    Null texts count as empty, and a row without an id stays only where no row with one has its text. Texts are
+    compared whole. The row that stays keeps all columns, of any name. No documents give no rows.
+    """
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_hash"))
     rows = _with_row(docs).select("doc_id", F.sha2(normalised("text").cast("binary"), 256).alias("hash"), "row")
     same = Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64("row"))
@@ -57,12 +73,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id."""
+    """Of each class of near copies the document with the smallest id.
+
+    Null, empty and blank texts are each a class of their own and stay; a text under five words is one shingle. Texts
+    of any length are compared whole. Of repeated rows with words one stays. Rows that stay keep all columns, of any
+    name. No documents give no rows.
+    """
     return jaccard_join(_with_row(docs), carry=["row"], count_links=False).where("kept").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 4096 tokens."""
+    """The documents' pieces in sequences of at most 4096 tokens.
+
+    Null and empty texts are their end id alone; longer texts than a sequence are cut into pieces. Repeated rows and
+    rows without an id are packed as documents of their own. Other columns are not read. No documents give no rows.
+    """
     return best_fit_packing(_with_row(docs))
 
 
