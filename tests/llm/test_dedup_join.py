@@ -138,6 +138,55 @@ def test_join_of_a_group_larger_than_a_block(spark):
     assert Counter((r.doc_id, r.class_id, r.n_links, r.n_text_links, r.class_size) for r in got) == plain_join(pairs)
 
 
+def test_join_misses_no_pair_at_the_threshold(spark):
+    pairs = []
+    for g in range(2500):  # 45 shingles each, of which 40 are shared: 40 of 50 is the threshold
+        words = [f"g{g}w{k}" for k in range(54)]
+        pairs += [(2 * g, " ".join(words[:49])), (2 * g + 1, " ".join(words[5:]))]
+    got = jaccard_join(spark.createDataFrame(pairs, "doc_id long, text string").repartition(8)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter((k, k - k % 2, 1) for k, _ in pairs)
+
+
+def test_query_counts_every_link(spark, tmp_path):
+    from tillroll.llm.queries import op8_jaccard_join
+    pairs = near_copies(7)
+    spark.createDataFrame(pairs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_jaccard_join(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_text_links, r.class_size) for r in got) == plain_join(pairs)
+
+
+def test_buckets_over_batches_and_the_leaf():
+    """Buckets that go on in later batches, larger ones than the leaf, and rows that come twice."""
+    import pyarrow as pa
+    from tillroll.llm.jaccard_join import _met
+    rng = random.Random(9)
+    sizes = [1, 2, 3, 1, 4, 9, 5, 1, 30, 2, 1, 4]
+    rows_ = sorted((value, rec, (40 << 32) + 3) for value, n in enumerate(sizes) for rec in rng.sample(range(100), n))
+    rows_ = [r for r in rows_ for _ in range(1 + (r[1] % 7 == 0))]
+    want = set()
+    for value, n in enumerate(sizes):
+        own = sorted({r[1] for r in rows_ if r[0] == value})
+        want |= {(own[0], v, True) for v in own[1:]} if n > 4 else {(u, v, False) for u in own for v in own if u < v}
+    for step in (1, 2, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_[k:k + step])], ["value", "rec", "at"])
+                   for k in range(0, len(rows_), step)]
+        got = [tuple(r.values()) for b in _met(0.8, 4)(iter(batches)) for r in b.to_pylist()]
+        assert set(got) == want
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    from tillroll.llm.jaccard_join import differing, parities
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (40, 45), (500, 600), (1000, 1030), (3000, 5000), (9000, 8000), (30, 5000)):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([own[n // 10:], rng.integers(0, 1 << 63, m, dtype=np.uint64)])[:m])
+        apart = len(np.setxor1d(own, other))
+        assert differing(parities(own), parities(other)) == differing(parities(other), parities(own)) <= apart
+        assert differing(parities(own), parities(own)) == 0
+        new = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))  # unlike ones are told apart, long ones too
+        assert n < 40 or differing(parities(own), parities(new)) > 2 * n / 9
+
+
 def test_min_hashes_estimate_similarity():
     words = [f"t{i}" for i in range(400)]
     a, b = shingles(" ".join(words)), shingles(" ".join(words[40:]))

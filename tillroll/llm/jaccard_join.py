@@ -2,31 +2,30 @@
 
 A text's set has its word shingles (five words, lower case). Texts with one set are one record.
 
-1. *Chosen paths.* A record is embedded as min-hash values (place, value), which two records share as often as their
-   sets' Jaccard similarity. Each run splits the records recursively: at a node every place is sampled with probability
-   1 / (threshold * places), and a record goes to the child of each sampled place's value. A bucket of up to ``LEAF``
-   records is searched by brute force, larger ones split on; what is still larger at the last level is searched by
-   leaders. Runs repeat with other samples until a pair at the threshold is met with the target recall.
-2. Brute force compares min-hash values, well below the threshold, and keeps a bucket's similar records together by a
-   few links, never by all pairs. The links' components hold every pair that can be similar. A few runs come first;
-   a bucket of later runs whose records the first ones have put in one component has nothing to add and is left out,
-   so a large group of near copies is searched a few times, not in every run.
-3. *Exact check.* Inside each component, by leaders, the whole sets are compared, and the links that span the verified
-   groups give the classes.
+1. *Chosen paths.* A record is embedded as the least values of its set under one hash, shingles that very many texts
+   have (as a sample of the texts shows) last. It goes to the bucket of each of its ``n - ceil(threshold n) + 1`` least
+   values: two sets at the threshold differ in too few shingles to share none of these, so no pair is missed. The sample
+   decides on the order only, that is on the size of buckets, never on results.
+2. Brute force pairs the records of a bucket, unless their sizes, the places of the shared value in both, or the parity
+   of their shingles in some cells show that they differ in too much; each of these bounds holds for every pair at the
+   threshold. The records of a bucket over ``LEAF`` are linked to one of them instead of to each other, unproven. The
+   links' components hold every pair that can be similar.
+3. *Exact check.* Inside each component the whole sets are compared, and the links that span the verified groups give
+   the classes. With ``count_links`` blocks of ``PAIR_BLOCK`` records meet by twos, otherwise leaders do.
 
 *Leaders.* A group larger than a block is dealt to blocks, each record to one. A block compares its records with each
 other and elects leaders: a record within the threshold of a leader follows it. Only leaders go on, with their radius
 (how far their followers are at most), to be dealt again, until they fit one block; so a group of copies costs rows in
-proportion to its size. Both distances used (of min-hash values, and one less Jaccard similarity) obey the triangle
-inequality: two records of different leaders can only be linked if their leaders' distance is at most the linking
-distance and both radii. The search links such leaders. The exact check, unless it finds the two in one class anyway,
-compares those of their followers that are far enough out to be linked. Leaders that hardly grow fewer are records that
-differ: of them alone, all blocks meet.
+proportion to its size. One less the Jaccard similarity obeys the triangle inequality: two records of different leaders
+can only be linked if their leaders' distance is at most the linking distance and both radii. The exact check, unless
+it finds the two in one class anyway, compares those of their followers that are far enough out to be linked. Leaders
+that hardly grow fewer are records that differ: of them alone, all blocks meet.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -42,14 +41,17 @@ from tillroll.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-PLACES = 64  # min-hash values of a record
-RECALL = 0.9995  # of a pair at the threshold, over all runs
-LEVELS = 3
-FIRST_RUNS = 3
-LEAF = 128
-BLOCK = 256  # records of a block; two blocks meet in one task
-LOOSE = 0.2  # how far below the threshold min-hash similarity may lie (4 standard deviations)
+PLACES = 64  # of ``min_hashes``
+LEAF = 256  # records of a bucket that are paired
+CELLS = 512  # parities of a record, at least
+SAMPLE = 16  # of so many texts one shows which shingles are frequent
+FREQUENT = 3  # times in the sample
+MOST_FREQUENT = 1 << 16
+BLOCK = 256  # records of a block of leaders; two blocks meet in one task
+PAIR_BLOCK = 1024  # records of a block whose links are counted, of up to BLOCK_SHINGLES in all
+BLOCK_SHINGLES = 1 << 20
 CACHE_WORDS = 250_000  # per Python worker
+SEEN = 100_000  # sets of which a task gives the values once
 
 _MIX = np.uint64(0xD1B54A32D192ED03)
 _RNG = np.random.default_rng(20240229)
@@ -90,24 +92,105 @@ def min_hashes(own: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def runs_needed(recall: float = RECALL, levels: int = LEVELS) -> int:
-    """Runs after which a pair at the threshold has met with this probability: at each level the two share a Poisson
-    number of children with mean 1, so the chance to meet at a level is 1 - exp(-chance at the next)."""
-    meet = 1.0
-    for _ in range(levels):
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
-
-
-def _children(node: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of every sampled place of each (node, sketch) row; the sample depends on the node only."""
-    draw = _mixed(node[:, None] + np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    row, place = np.nonzero(draw < np.uint64(2.0 ** 64 / (threshold * PLACES)))
-    return row, _mixed(draw[row, place] + sketches[row, place].astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
-
+def _taken(n: int, threshold: float) -> int:
+    """Least values of a set of n: two sets at the threshold share as many as leaves one among these."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
+
+def least_values(own: np.ndarray, frequent: np.ndarray, threshold: float) -> np.ndarray:
+    """The first of a set's values, in ascending order but for those in ``frequent`` (sorted), which come last."""
+    if len(own) and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        late = frequent[at] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[:_taken(len(own), threshold)]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """Of each of a power of two of cells, one or two for a value, whether an odd number of the set's values fall into
+    it: sets differ in as many values as cells at least."""
+    cells = max(CELLS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((_mixed(own) >> np.uint64(20) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def differing(first: bytes, second: bytes) -> int:
+    """Cells in which two sets' parities differ, as many cells as the one with fewer has."""
+    x, y = (int.from_bytes(b, "little") for b in (first, second))
+    bits, least = 8 * max(len(first), len(second)), 8 * min(len(first), len(second))
+    while bits > least:  # the parity of two cells together
+        bits //= 2
+        x, y = (z >> bits ^ z & (1 << bits) - 1 if 8 * len(b) > bits else z for z, b in ((x, first), (y, second)))
+    return (x ^ y).bit_count()
+
+
+def _most_apart(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many values two sets with this sum of sizes may differ in."""
+    return (1 - threshold) / (1 + threshold) * sizes + 1e-6
+
+
+MET_ROWS = "u bigint, v bigint, sure boolean"
+
+
+def _met(threshold: float, leaf: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (value, rec, at) sorted by value and rec, where ``at`` is the set's size << 32 | place of the value. Gives the
+    pairs of each bucket that may be at the threshold, and of a large one a link (sure) to its first record."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 3  # rows of the last bucket, which may go on
+        large = None  # its value, once it is over the leaf: then one row is held
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            rows = held if batch is None else [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            value, rec, at = rows
+            new = np.ones(len(value), dtype=bool)
+            new[1:] = (value[1:] != value[:-1]) | (rec[1:] != rec[:-1])  # copies of a set in several tasks
+            value, rec, at = value[new], rec[new], at[new]
+            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            end = np.append(start[1:], len(value))
+            bucket = np.repeat(np.arange(len(start)), end - start)
+            hot = (end - start > leaf) | (value[start] == large if large is not None else False)
+            last = batch is not None and not hot[-1]
+            us, vs = [rec[start[bucket]][hot[bucket]]], [rec[hot[bucket]]]
+            n_sure = len(us[0])
+            cold = np.flatnonzero(~hot[bucket] & (bucket < len(start) - last))
+            size, place = at >> 32, at & 0xFFFFFFFF
+            for step in range(1, leaf):
+                cold = cold[cold + step < end[bucket[cold]]]
+                if not len(cold):
+                    break
+                i, j = cold, cold + step
+                near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+                near &= place[i] + place[j] <= _most_apart(size[i] + size[j], threshold)
+                us.append(rec[i[near]])
+                vs.append(rec[j[near]])
+            if batch is not None:
+                keep = slice(start[-1], None if last else start[-1] + 1)
+                held, large = [value[keep], rec[keep], at[keep]], None if last else value[-1]
+            u, v = np.concatenate(us), np.concatenate(vs)
+            sure = np.arange(len(u)) < n_sure
+            apart = u != v
+            yield pa.RecordBatch.from_arrays([pa.array(c[apart]) for c in (u, v, sure)], ["u", "v", "sure"])
+
+    return meet
+
+
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Sorted shingles that many texts have, by a sample of the different texts; MOST_FREQUENT at most."""
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(text, words) for text in batch.column("words").to_pylist()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["value"])
 
-def _sketches(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype="<u4").reshape(len(blobs), PLACES)
+    sample = texts.where(F.pmod(F.xxhash64("words"), F.lit(SAMPLE)) == 0).select("words").distinct()
+    counted = sample.mapInArrow(values, "value bigint").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).select("value").collect()
+    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -154,12 +237,12 @@ def _span(alike: np.ndarray, union: _Union, first: np.ndarray, second: np.ndarra
             union.join(own, j)
 
 
-def _in_blocks(rows: DataFrame, key: str, size: str, round_: int = 0, stuck: Column | None = None) -> DataFrame:
-    """Rows of (key, rec, size, ...) with ``work``, ``side`` and ``lead``. A group of up to BLOCK rows is one piece of
-    work; of a larger one every block is a piece that elects leaders or, where ``stuck`` (default: all), every two
+def _in_blocks(rows: DataFrame, key: str, size: str, round_: int = 0, stuck: Column | None = None, block: int | None = None) -> DataFrame:
+    """Rows of (key, rec, size, ...) with ``work``, ``side`` and ``lead``. A group of up to BLOCK (``block``) rows is one
+    piece of work; of a larger one every block is a piece that elects leaders or, where ``stuck`` (default: all), every two
     blocks, or one with itself, are one."""
     # powers of two: a record that is in many groups of like size meets the same records there, and their links are one
-    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col(size) / F.lit(BLOCK), F.lit(1.0))))).cast("int")
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col(size) / F.lit(block or BLOCK), F.lit(1.0))))).cast("int")
     stuck = F.lit(True) if stuck is None else stuck
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("rec", F.lit(round_)), blocks.cast("bigint")).cast("int")).withColumn(
         "other", F.explode(F.when(stuck, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
@@ -204,41 +287,6 @@ def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
-LOOSE_ROWS = "kind int, u bigint, v bigint, group bigint, size bigint, radius double, small binary, known bigint"
-
-
-def _loose_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each piece of work links that span the records with similar min-hash values, given between what is known of
-    them (their component so far, or themselves), and the leaders that go on."""
-    for group in _grouped(batches, "work"):
-        records, radius, known = group["rec"].to_numpy(), group["radius"].to_numpy(), group["known"].to_numpy()
-        blobs = group["small"].to_pylist()
-        sketches = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(len(records), PLACES)
-        side = group["side"].to_numpy()
-        lead = bool(group["lead"][0].as_py())
-        first, second = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
-        union = _Union(len(records))
-        far = np.zeros((len(first), len(second)), dtype=np.float64)
-        for a in range(0, len(first), 64):
-            part = first[a:a + 64]
-            far[a:a + 64] = 1 - (sketches[part][:, None, :] == sketches[second][None, :, :]).sum(axis=2) / PLACES
-        most = 1 - (THRESHOLD - LOOSE) + radius[first][:, None] + radius[second][None, :]
-        _span(far <= most + 1e-9, union, first, second)
-        roots = known[[union.root(i) for i in range(len(records))]]
-        out = [(MEMBER, a, b, *[None] * 5) for a, b in sorted({(a, b) for a, b in zip(known.tolist(), roots.tolist()) if a != b})]
-        if lead:
-            key, size = group["node"][0].as_py(), group["size"][0].as_py()
-            leader = _elected(far <= 1 - THRESHOLD + 1e-9)
-            reach = np.zeros(len(records))
-            np.maximum.at(reach, leader, far[np.arange(len(records)), leader] + radius)
-            out += [(LEADER, int(records[i]), None, key, size, float(reach[i]), blobs[i], int(known[i]))
-                    for i in np.unique(leader).tolist()]
-        if out:
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64()]
-            names = ["kind", "u", "v", "group", "size", "radius", "small", "known"]
-            yield _batch({n: (list(c), t) for n, c, t in zip(names, zip(*out), kinds, strict=True)})
-
-
 EXACT_ROWS = ("kind int, u bigint, v bigint, leader bigint, distance double, group bigint, size bigint, radius double, "
               "other_radius double, copies bigint, elements binary")
 
@@ -387,12 +435,12 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD,
-                 words: int = WORDS, recall: float = RECALL, carry: Sequence[str] = (), count_links: bool = True) -> DataFrame:
+                 words: int = WORDS, carry: Sequence[str] = (), count_links: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id``, ``n_links``, ``n_text_links``, ``class_size``, ``kept``, and the
     columns ``carry`` (other names than these) as they were.
 
-    ``count_links`` compares all records of a component, as every link is counted: work and rows grow with the square of
-    a component's size. Without it ``representative_id`` and ``similarity`` stand in place of the counts: a document of
+    ``count_links`` compares all records of a component, as every link is counted: the work grows with the square of a
+    component's size, the rows with that of its number of blocks. Without it ``representative_id`` and ``similarity`` stand in place of the counts: a document of
     the class that the row is linked to, and the exact Jaccard similarity with it (1 for a set of its own or the same).
     The classes are the same; a group of near copies then costs rows in proportion to its size.
 
@@ -412,7 +460,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, size, high, low, blobs, bytes_of = [], [], [], [], [], []
+            keys, size, high, low, parity = [], [], [], [], []
             for text in batch.column("words").to_pylist():
                 own = shingles(text, words)
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
@@ -420,83 +468,67 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size.append(len(own))
                 high.append(int.from_bytes(digest[:8], "little", signed=True) if len(own) else key)
                 low.append(int.from_bytes(digest[8:], "little", signed=True) if len(own) else -1)
-                least = min_hashes(own)
-                blobs.append(least.astype("<u4").tobytes() if len(own) else None)
-                bytes_of.append(least.astype(np.uint8).tobytes() if len(own) else None)
+                parity.append(parities(own) if len(own) else None)
                 key += 1
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("id", "words", "carried")), pa.array(keys, pa.int64()), pa.array(size, pa.int64()), pa.array(high, pa.int64()),
-                 pa.array(low, pa.int64()), pa.array(blobs, pa.binary()), pa.array(bytes_of, pa.binary())],
-                ["id", "words", "carried", "key", "n", "high", "low", "sketch", "small"])
+                 pa.array(low, pa.int64()), pa.array(parity, pa.binary())],
+                ["id", "words", "carried", "key", "n", "high", "low", "parity"])
 
     sketched = materialize(rows.mapInArrow(
-        sketch, f"id {kind}, words string, carried {rest}, key bigint, n bigint, high bigint, low bigint, sketch binary, small binary"),
+        sketch, f"id {kind}, words string, carried {rest}, key bigint, n bigint, high bigint, low bigint, parity binary"),
         "jaccard_sketches")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(sketched.where("n > 0"), words))
     # texts with one set are one record: the row with the least key stands for them
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     sets = sketched.groupBy("high", "low").agg(F.min("key").alias("rec"), F.count(F.lit(1)).alias("copies"),
-                                                F.min(first).alias("first"))
+                                                F.min("n").alias("n"), F.min(first).alias("first"))
     sets = materialize(sets, "jaccard_sets")
-    records = sketched.where("n > 0").join(sets.select(F.col("rec").alias("key")), "key", "left_semi").select(
-        F.col("key").alias("rec"), "sketch", "small")
-    records = materialize(records, "jaccard_records")
+    marks = sketched.where("n > 0").join(sets.select(F.col("rec").alias("key")), "key", "left_semi").select(
+        "high", F.col("key").alias("rec"), "n", "parity")
+    marks = materialize(marks, "jaccard_records")
 
-    runs = runs_needed(recall)
-    roots = _mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(value, rec, at) of the sets that the task has not seen; a set goes by its digest."""
+        seen: set[int] = set()
+        for batch in batches:
+            values, recs, ats = [], [], []
+            for rec, text in zip(batch.column("high").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if rec in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(rec)
+                own = shingles(text, words)
+                values.append(least_values(own, frequent.value, threshold).view(np.int64))
+                recs.append(np.full(len(values[-1]), rec, dtype=np.int64))
+                ats.append((len(own) << 32) + np.arange(len(values[-1])))
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (values, recs, ats)], ["value", "rec", "at"])
+
+    met = sketched.where("n > 0").select("high", "words").mapInArrow(least, "value bigint, rec bigint, at bigint").repartition(
+        "value").sortWithinPartitions("value", "rec").mapInArrow(_met(threshold, LEAF), MET_ROWS)
+    met = materialize(met.groupBy("u", "v").agg(F.max("sure").alias("sure")), "jaccard_met")
+    for side in ("u", "v"):
+        met = met.withColumnRenamed(side, "high").join(marks.select("high", *(
+            F.col(c).alias(f"{c}_{side}") for c in ("rec", "n", "parity"))), "high").drop("high")
 
-    def meet(own: DataFrame, starts: np.ndarray) -> DataFrame:
-        """Loose links from runs that start at these roots, between records (rec, known, sketch, small)."""
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs whose parities do not show that they differ in too much."""
+        for batch in batches:
+            differ = np.fromiter(map(differing, *(batch.column(c).to_pylist() for c in ("parity_u", "parity_v"))), np.int64, batch.num_rows)
+            sizes = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            near = (differ <= _most_apart(sizes, threshold)) | batch.column("sure").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[near]) for c in ("rec_u", "rec_v")], ["u", "v"])
 
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Children of (rec, known, sketch, node); rows without a node start at every root."""
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                sketches = _sketches(batch.column("sketch").to_pylist())
-                rec, known = batch.column("rec").to_numpy(), batch.column("known").to_numpy()
-                if "node" in batch.schema.names:
-                    nodes = [batch.column("node").to_numpy().view(np.uint64)]
-                else:
-                    nodes = [np.full(len(rec), start) for start in starts]
-                for node in nodes:
-                    for a in range(0, len(rec), 4096):
-                        row, child = _children(node[a:a + 4096], sketches[a:a + 4096], threshold)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(rec[a + row]), pa.array(known[a + row]), pa.array(child.view(np.int64))],
-                            ["rec", "known", "node"])
-
-        members = None
-        rows_of = "rec bigint, known bigint, node bigint"
-        level = materialize(own.select("rec", "known", "sketch").mapInArrow(split, rows_of), "jaccard_level")
-        for depth in range(1, LEVELS + 1):
-            sizes = level.groupBy("node").agg(
-                F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rec")).alias("members"),
-                F.min("known").alias("least"), F.max("known").alias("most")).where("least <> most")
-            last = depth == LEVELS
-            # runs meet the same records again and again: of the buckets with the same members that are searched here
-            # one is enough, but every larger one splits on, as each has samples of its own
-            done = sizes if last else sizes.where(F.col("size") <= LEAF)
-            once = done.groupBy("members", "size").agg(F.min("node").alias("node"))
-            found = level.join(once.select("node", "size"), "node")
-            members = found if members is None else members.unionByName(found)
-            if not last:
-                large = level.join(sizes.where(F.col("size") > LEAF).select("node"), "node").select(
-                    "rec", "known", "node")
-                level = materialize(large.join(own.select("rec", "sketch"), "rec").mapInArrow(split, rows_of),
-                                    "jaccard_level")
-        found = members.join(own.select("rec", "small"), "rec").withColumn("radius", F.lit(0.0))
-        rounds = _by_leaders(found, "node", _loose_links, LOOSE_ROWS, ["small", "known"], "jaccard_loose")
-        return reduce(DataFrame.unionByName, rounds).where(F.col("kind") == MEMBER).select("u", "v")
-
-    early = meet(records.withColumn("known", F.col("rec")), roots[:FIRST_RUNS])
-    groups = materialize(components(early), "jaccard_groups").select(F.col("node").alias("rec"), F.col("root").alias("known"))
-    late = meet(records.join(groups, "rec", "left").withColumn("known", F.coalesce("known", "rec")), roots[FIRST_RUNS:])
-    near = materialize(_joined(groups.select(F.col("rec").alias("node"), F.col("known").alias("root")), late), "jaccard_near")
+    near = materialize(components(materialize(met.mapInArrow(apart, "u bigint, v bigint"), "jaccard_met")), "jaccard_near")
 
     # whole sets, of the records that have a near one only
-    counted = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = near.select(F.col("node").alias("key"), "root").join(counted, "root").join(
-        sets.select(F.col("rec").alias("key"), "copies"), "key")
+    wanted = near.select(F.col("node").alias("key"), "root").join(sets.select(F.col("rec").alias("key"), "copies", "n"), "key")
+    if count_links:  # a block is as large as its sets allow
+        size = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * F.lit(PAIR_BLOCK / BLOCK_SHINGLES)))
+    else:
+        size = F.count(F.lit(1))
+    wanted = wanted.drop("n").join(wanted.groupBy("root").agg(size.alias("size")), "root")
     texts = sketched.select("key", "words").join(wanted, "key")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,7 +540,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     set_rows = "rec bigint, root bigint, copies bigint, size bigint, elements binary"
     whole = texts.mapInArrow(elements, set_rows)
     if count_links:
-        compared = _in_blocks(whole, "root", "size")
+        compared = _in_blocks(whole, "root", "size", block=PAIR_BLOCK)
         verified = materialize(
             compared.select("work", "side", "rec", "copies", "elements").repartition("work").sortWithinPartitions("work")
             .mapInArrow(_exact_links(threshold), "u bigint, v bigint, texts bigint, documents bigint"), "jaccard_links")
