@@ -204,3 +204,12 @@ def test_token_counts_of_stretches(monkeypatch):
             assert text == texts[at] and n == len(text.split()) and tokens == plain.total(text.split())
             at += 1
     assert at == len(texts)
+
+
+def test_codec_holds_few_rows_at_once():
+    import pyarrow as pa
+    from tillroll.llm.merge_codec import ROWS_AT_ONCE, _slices
+    rows_ = pa.record_batch({"id": list(range(2 * ROWS_AT_ONCE + 7))})
+    got = list(_slices(iter([rows_, rows_.slice(0, 0), rows_.slice(3, 1)])))
+    assert [b.num_rows for b in got] == [ROWS_AT_ONCE, ROWS_AT_ONCE, 7, 1]
+    assert [i for b in got for i in b.column("id").to_pylist()] == [*range(2 * ROWS_AT_ONCE + 7), 3]

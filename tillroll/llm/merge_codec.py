@@ -31,7 +31,8 @@ from tillroll.llm.common import held_by_worker, public_file, text_of, utf8, word
 
 MARK = "▁"
 CACHE_UNITS = 400_000  # per Python worker
-CACHE_SKIPS = 400_000  # units with skipped candidates, per Python worker
+CACHE_SKIPS = 200_000  # units with skipped candidates, per Python worker
+ROWS_AT_ONCE = 500  # whose texts and ids a worker holds
 HELD_SKIPS = 4  # of a unit, at most
 NEVER = 1 << 60  # more candidates than a text has
 MASK = (1 << 64) - 1
@@ -209,6 +210,13 @@ class MergeCodec:
         return raw.decode("utf-8", "replace")[1 if raw[:1] == b" " else 0:]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ROWS_AT_ONCE at most in a batch."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(a, ROWS_AT_ONCE)
+
+
 def codec(model: bytes, seed: int, dropout: float) -> MergeCodec:
     """The worker's codec for this vocabulary, seed and rate."""
     return held_by_worker(("codec", zlib.crc32(model), seed, dropout), lambda: MergeCodec(model, seed, dropout))
@@ -226,7 +234,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value, seed, dropout)
-        for batch in batches:
+        for batch in _slices(batches):
             coded = [own.encode(t, "" if k is None else str(k)) for k, t in zip(
                 batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             ends = [0]
@@ -248,7 +256,7 @@ def decode_documents(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "i
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent.value, 0, 0.0)
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column("ids")
             flat = lists.flatten().to_numpy().astype("<u4").tobytes()
             texts, at = [], 0
