@@ -111,6 +111,49 @@ def test_codec_is_lossless_and_seeded(rate):
     assert ([one.encode(t) for t in TEXTS] != [other.encode(t) for t in TEXTS]) == (0 < rate < 1)
 
 
+def codec_texts() -> list[str]:
+    """Words of every length about LONGEST, marks, blanks, line ends, literal marks, and characters without a piece."""
+    import random
+    rng = random.Random(3)
+    parts = ["a", "the", "government,", " ", "  ", "\n", "▁", "😀", "日本", "x" * 60, "...", "!?;:", ".", "q.", "\0", "\t", "é",
+             "word.", "thing", "ERROR", "y" * 46, "y" * 47, "y" * 48, "z" * 49, ",,,," * 20]
+    return TEXTS + ["".join(rng.choice(parts) + rng.choice(["", " ", ""]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 1.0])
+def test_codec_in_step_is_the_heap(rate, monkeypatch):
+    """Units merged in step, in blocks of any size and with a cache that forgets, against one at a time with a heap."""
+    import tillroll.llm.merge_codec as module
+    texts = codec_texts()
+    names = [str(k) for k in range(len(texts))]
+
+    def ids(**settings) -> list[bytes]:
+        for name, value in settings.items():
+            monkeypatch.setattr(module, name, value)
+        flat, counts = MergeCodec(MODEL, 7, rate).encode_all(texts, names)
+        return [x.tobytes() for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+    own = ids()
+    assert ids(UNITS_AT_ONCE=17, CHARS_AT_ONCE=2000, CACHE_UNITS=50) == own
+    assert ids(LONGEST=-1) == own
+
+
+def test_codec_ids_are_those_of_round_3():
+    """Digests of the ids that the encoder gave when it merged one unit at a time."""
+    codec = MergeCodec(MODEL, 20240501, 0.1)
+    raw = b"".join(codec.encode(t, str(k)) for k, t in enumerate(codec_texts()))
+    assert (len(raw) // 4, zlib.crc32(raw)) == (257189, 1864899760)
+
+
+def test_short_units_are_not_merged_one_by_one(monkeypatch):
+    def refuse(*args):
+        raise AssertionError("one unit alone")
+    monkeypatch.setattr(MergeCodec, "_merge", refuse)
+    text = " ".join(f"government{k}, thing." for k in range(300))
+    codec = MergeCodec(MODEL, 1, 0.3)
+    assert codec.decode(codec.encode(text, "1")) == text
+
+
 def test_codec_round_trip_of_awkward_rows(spark):
     coded = encode_documents(awkward(spark), seed=5, dropout=0.2)
     got = decode_documents(coded).collect()
